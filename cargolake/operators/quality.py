@@ -157,9 +157,10 @@ def key_sql(table: str) -> str:
     return "concat_ws('|', " + ", ".join(f"cast({c} as string)" for c in cols) + ")"
 
 
-def row_violations(df: DataFrame, table: str, families=None) -> DataFrame:
+def row_violations(df: DataFrame, table: str, families=None, rules: list[RowRule] | None = None) -> DataFrame:
     """Q1-Q4, Q7: all row rules of one table in a single scan."""
-    rules = [r for r in ROW_RULES.get(table, []) if families is None or r.family in families]
+    if rules is None:
+        rules = [r for r in ROW_RULES.get(table, []) if families is None or r.family in families]
     if not rules:
         return df.sparkSession.createDataFrame([], "table_name string, row_key string, rule string, value string")
     hits = [F.when(F.expr(_engine_rule_sql(r, "spark")),

@@ -49,12 +49,4 @@ _CHECK_RULE = q.domain_rule("status", q.schemas.SHIPMENT_CHECK)
 SELECT 'shipments' AS table_name, cast(shipment_id as varchar) AS row_key, 'domain:status' AS rule, status AS value
 FROM shipments WHERE {_CHECK_RULE.violated}""")
 def q1_check(t):
-    saved = q.ROW_RULES["shipments"]
-    rules = {"shipments": [_CHECK_RULE]}
-    df = t.shipments
-    hits = q.F.when(q.F.expr(_CHECK_RULE.violated),
-                    q.F.struct(q.F.lit(_CHECK_RULE.name).alias("rule"), q.F.col("status").alias("value")))
-    del saved, rules
-    return (df.select(q.F.expr(q.key_sql("shipments")).alias("row_key"), hits.alias("_h"))
-            .where("_h IS NOT NULL")
-            .select(q.F.lit("shipments").alias("table_name"), "row_key", "_h.rule", "_h.value"))
+    return q.row_violations(t.shipments, "shipments", rules=[_CHECK_RULE])

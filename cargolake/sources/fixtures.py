@@ -187,6 +187,40 @@ SELECT concat('@u', cast(conv_id as string)) AS username,
 FROM conversations""",
 }
 
+# Change sets derived from the driver tables (inputs of the keyed writes).
+SHARED_VIEWS.update({
+    "shipment_patches": """
+SELECT change_seq AS patch_seq, shipment_id,
+       case when change_seq % 3 = 0 then null else status end AS status,
+       case when change_seq % 7 = 0 then concat('{"country":"PATCHED","city":"C', cast(change_seq % 10 as string), '","address":""}') end AS destination
+FROM shipment_changes""",
+    "delivery_patches": """
+SELECT event_id AS patch_seq, aggregate_id AS delivery_id,
+       case when event_id % 2 = 0 then 'IN_TRANSIT' end AS status,
+       case when event_id % 5 = 0 then ts end AS actual_arrival,
+       case when event_id % 3 = 0 then ts + interval '2' day end AS estimated_arrival,
+       case when event_id % 4 = 0 then event_id % 120 end AS courier_id
+FROM domain_events""",
+    "saga_context_patches": """
+SELECT event_id AS patch_seq, correlation_id AS saga_id,
+       case when event_type = 'inventory.insufficient' then aggregate_id % 25 end AS warehouse_id,
+       case when event_type = 'courier.unassigned' then aggregate_id end AS delivery_id
+FROM domain_events WHERE correlation_id IS NOT NULL""",
+    "item_quantity_changes": """
+SELECT item_id, case when quantity % 3 = 0 then -quantity else 1 end AS delta FROM items""",
+    "courier_contact_changes": """
+SELECT event_id AS change_seq, event_id % 100 AS courier_id,
+       concat('{"phone":"+7901', cast(event_id as string), '"}') AS contact_info
+FROM events WHERE event_type = 'signup'""",
+    "token_presentations": """
+SELECT md5(cast(o_orderkey as string)) AS token_hash FROM orders WHERE o_orderstatus = 'F'
+UNION ALL
+SELECT md5(concat('unknown-', cast(o_orderkey as string))) AS token_hash FROM orders WHERE o_orderstatus = 'P'""",
+    "courier_assignments": """
+SELECT event_id AS assign_seq, aggregate_id AS delivery_id, event_id % 100 AS courier_id
+FROM domain_events WHERE event_type = 'courier.unassigned'""",
+})
+
 _CONF_COLS = """event_id AS record_id,
        100000 + event_id + k AS block_number,
        cast(k * (event_id % 5) as int) AS confirmation_count,
@@ -254,4 +288,7 @@ def with_views(sql: str, engine: str = "duckdb") -> str:
     if not ordered:
         return sql
     ctes = ",\n".join(f"{n} AS ({view_sql(n, engine)}\n)" for n in ordered)
-    return f"WITH {ctes}\n{sql}"
+    body = sql.strip()
+    if re.match(r"(?i)^with\s", body):
+        return f"WITH {ctes},\n{body[5:]}"
+    return f"WITH {ctes}\n{body}"
