@@ -216,6 +216,30 @@ FROM events WHERE event_type = 'signup'""",
 SELECT md5(cast(o_orderkey as string)) AS token_hash FROM orders WHERE o_orderstatus = 'F'
 UNION ALL
 SELECT md5(concat('unknown-', cast(o_orderkey as string))) AS token_hash FROM orders WHERE o_orderstatus = 'P'""",
+    "saga_changes": """
+SELECT event_id AS change_seq, correlation_id AS saga_id,
+       case event_type when 'delivery.failed' then 'FAILED' when 'courier.unassigned' then 'COMPENSATING'
+            when 'inventory.insufficient' then 'FAILED' when 'shipment.updated' then 'COMPLETED' else 'STARTED' end AS status,
+       ts AS changed_at, 'AUTO' AS saga_type, aggregate_id AS shipment_id,
+       case when event_type in ('delivery.failed', 'courier.unassigned', 'inventory.insufficient') then event_type end AS failed_step
+FROM domain_events WHERE correlation_id IS NOT NULL""",
+    "shipment_verbs": """
+SELECT event_id AS verb_seq, user_id AS shipment_id,
+       case event_type when 'view' then 'receive' when 'click' then 'ready' when 'purchase' then 'dispatch'
+            when 'signup' then 'deliver' else 'complete' end AS verb
+FROM events""",
+    "delivery_requests": """
+SELECT event_id AS request_seq, user_id AS delivery_id,
+       case event_type when 'view' then 'receive' when 'click' then 'in_transit' when 'purchase' then 'deliver'
+            when 'signup' then 'confirm' else 'ready' end AS verb
+FROM events""",
+    "inventory_requests": """
+SELECT record_id, case when shipment_id % 2 = 0 then 'stored' else 'shipped' end AS new_status FROM inventory_records""",
+    "saga_requests": """
+SELECT event_id AS request_seq, correlation_id AS saga_id,
+       case event_type when 'shipment.updated' then 'complete' when 'courier.unassigned' then 'compensate'
+            when 'delivery.failed' then 'fail' else 'complete' end AS action
+FROM domain_events WHERE correlation_id IS NOT NULL""",
     "courier_assignments": """
 SELECT event_id AS assign_seq, aggregate_id AS delivery_id, event_id % 100 AS courier_id
 FROM domain_events WHERE event_type = 'courier.unassigned'""",
