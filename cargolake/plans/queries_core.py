@@ -404,3 +404,27 @@ SELECT t.user_id, t.token_id, t.token_hash, t.expires_at, t.revoked, u.username,
 FROM refresh_tokens t JOIN users u ON t.user_id = u.user_id""")
 def j10(t):
     return joins.tokens_with_user(t.refresh_tokens, t.users)
+
+
+@query("S10_table_scan", """
+SELECT delivery_id, courier_id, status, created_at FROM deliveries WHERE created_at >= timestamp '1998-01-01 00:00:00'""")
+def s10(t):
+    return (t.deliveries.select("delivery_id", "courier_id", "status", "created_at")
+            .where(F.col("created_at") >= F.expr("timestamp_ntz '1998-01-01 00:00:00'")))
+
+
+@query("J2_shipments_left_items", """
+SELECT s.shipment_id, s.status, i.item_id, i.quantity, i.weight FROM shipments s LEFT JOIN items i ON s.shipment_id = i.shipment_id""")
+def j2(t):
+    return (t.shipments.select("shipment_id", "status")
+            .join(t.items.select("shipment_id", "item_id", "quantity", "weight"), "shipment_id", "left"))
+
+
+@query("A14_trace_assembly", """
+SELECT correlation_id, event_id, event_type, ts,
+       row_number() OVER (PARTITION BY correlation_id ORDER BY ts, event_id) AS position
+FROM domain_events WHERE correlation_id IS NOT NULL""")
+def a14(t):
+    from cargolake.functions.sequences import hour_chunk, keyed_position
+    ev = t.domain_events.where(F.col("correlation_id").isNotNull()).select("correlation_id", "event_id", "event_type", "ts")
+    return keyed_position(ev, ["correlation_id"], ["ts", "event_id"], hour_chunk("ts"))

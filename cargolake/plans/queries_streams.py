@@ -413,3 +413,13 @@ def t11(t):
 def t12(t):
     replayed = t.domain_events.unionByName(t.domain_events)  # at-least-once delivery: every event twice
     return ev.dedup_events(replayed)
+
+
+@query("H9_chain_record_transitions", f"""
+WITH {_T8_SQL}
+SELECT record_id, status, confirmed_at, block_number, gas_used, error_message FROM tr
+WHERE transition IN ('confirmed', 'failed')""")
+def h9(t):
+    tr = chain.track_confirmations(t.blockchain_records, t.receipts)
+    return (tr.where(F.col("transition").isin("confirmed", "failed"))
+            .select("record_id", "status", "confirmed_at", "block_number", "gas_used", "error_message"))

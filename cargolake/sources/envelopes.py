@@ -35,9 +35,7 @@ ISO_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 def uuid_of(c) -> Column:
     """Deterministic name-based UUID text for a non-UUID key (md5 of its text
     laid out 8-4-4-4-12).  Replaces random uuid4 so retries are stable."""
-    h = F.md5(col(c).cast("string"))
-    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.substring(h, 13, 4),
-                       F.substring(h, 17, 4), F.substring(h, 21, 12))
+    return F.regexp_replace(F.md5(col(c).cast("string")), r"^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
 
 
 def _map_lookup(mapping: dict, key: Column) -> Column:
@@ -48,7 +46,9 @@ def _map_lookup(mapping: dict, key: Column) -> Column:
 def _parse(df: DataFrame, value_col: str, schema: str, required, uuid_fields, ts_field: str | None) -> DataFrame:
     """Parse + one reason column (null = valid).  Checks in the order the
     reference's from_dict fails: JSON, required keys, UUIDs, timestamp."""
-    parsed = df.withColumn("_e", F.from_json(F.col(value_col), schema, {"mode": "PERMISSIVE"}))
+    # The one-element explode pins the parsed struct: the optimizer cannot
+    # inline from_json into every field reference (one parse per record).
+    parsed = df.select("*", F.explode(F.array(F.from_json(F.col(value_col), schema, {"mode": "PERMISSIVE"}))).alias("_e"))
     # from_json yields a struct of nulls for text that is not a JSON object
     is_obj = F.coalesce(F.col(value_col).rlike(r"^\s*\{"), F.lit(False)) & F.col("_e").isNotNull()
     checks = [F.when(~is_obj, F.lit("bad_json"))]
