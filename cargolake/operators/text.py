@@ -75,9 +75,12 @@ def analyse(messages: DataFrame, vectors: DataFrame, dim: int, job_text: str, ma
     """Per message scores, keyword flags, confidence and decision;
     input columns pass through."""
     mv = mean_vectors(messages, id_col, text_col, vectors, dim)
-    refs = (reference_vector(vectors, job_text, dim, "job_vec").withColumn("_k", F.lit(1))
-            .join(reference_vector(vectors, market_text, dim, "market_vec").withColumn("_k", F.lit(1)), "_k")
-            .join(reference_vector(vectors, manager_text, dim, "manager_vec").withColumn("_k", F.lit(1)), "_k"))
+    kw = vectors.sparkSession.createDataFrame(
+        [("job_vec", job_text), ("market_vec", market_text), ("manager_vec", manager_text)], "rid string, text string")
+    ref_rows = mean_vectors(kw, "rid", "text", vectors, dim)
+    # three keyword vectors in one pass, folded into a single row
+    refs = ref_rows.agg(*[F.max(F.when(F.col("rid") == n, F.col("vec"))).alias(n)
+                          for n in ("job_vec", "market_vec", "manager_vec")]).withColumn("_k", F.lit(1))
     # exactly one row of three vectors: a fixed-size broadcast
     scored = (messages.join(mv, id_col).withColumn("_k", F.lit(1)).join(F.broadcast(refs), "_k").drop("_k"))
     job = cosine(F.col("vec"), F.col("job_vec"))
