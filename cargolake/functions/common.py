@@ -11,8 +11,18 @@ def col(c) -> Column:
 
 
 def seconds_between(later, earlier) -> Column:
-    """EXTRACT(EPOCH FROM later - earlier) as DOUBLE seconds (microsecond exact)."""
-    return F.timestamp_diff("MICROSECOND", col(earlier), col(later)) / F.lit(1e6)
+    """EXTRACT(EPOCH FROM later - earlier) as DOUBLE seconds (microsecond exact).
+
+    Built on the exact day-time interval ``later - earlier`` so the result
+    does not depend on the session time zone (zone-less inputs stay
+    zone-less; ``timestamp_diff`` would shift across DST changes)."""
+    d = col(later) - col(earlier)
+    parts = [(F.extract(F.lit(u), d).cast("decimal(20,6)") * F.lit(k)) for u, k in
+             (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1))]
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total.cast("double")
 
 
 def ts_lit(value: str) -> Column:

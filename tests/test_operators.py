@@ -161,3 +161,15 @@ def test_empty_inputs(spark):
     empty = spark.createDataFrame([], "event_id long, event_type string, correlation_id long, payload string, ts timestamp_ntz")
     o, c, u = sagas.plan_compensation(empty, _saga(spark))
     assert o.count() == c.count() == u.count() == 0
+
+
+def test_seconds_between_ignores_session_zone(spark):
+    from cargolake.functions.common import seconds_between
+    df = spark.createDataFrame([(dt.datetime(1996, 4, 6), dt.datetime(1998, 7, 1))], "a timestamp_ntz, b timestamp_ntz")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+        got = df.select(seconds_between("b", "a").alias("s")).first().s
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == (dt.datetime(1998, 7, 1) - dt.datetime(1996, 4, 6)).total_seconds()
