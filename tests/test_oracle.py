@@ -11,8 +11,10 @@ import __spark_entry__ as E
 from cargolake.sources.fixtures import BASE_TABLES
 
 SF = "/root/testdata/sf0.001"
-ORACLES = E.oracle_sql()
-QUERIES = E.queries()
+from cargolake.plans.catalog import oracle_sqls, spark_callables
+
+ORACLES = oracle_sqls()  # the library's own; tests/llm has the others'
+QUERIES = spark_callables()
 
 
 def _norm(v):

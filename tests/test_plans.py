@@ -3,7 +3,7 @@ filters and pruning reach the scan."""
 
 import pytest
 
-import __spark_entry__ as E
+from cargolake.plans.catalog import spark_callables
 
 SF = "/root/testdata/sf0.001"
 STREAMS = {"S8_S9_log_replay", "T12_stream_dedup", "T5_saga_state_machine", "M1_stream_request_rate",
@@ -14,9 +14,9 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - STREAMS))
+@pytest.mark.parametrize("name", sorted(set(spark_callables()) - STREAMS))
 def test_no_python_and_no_single_partition_window(spark, name):
-    plan = _plan(E.queries()[name](spark, SF))
+    plan = _plan(spark_callables()[name](spark, SF))
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     # a window over one partition would mean a global (unpartitioned) window
     for line in plan.splitlines():
@@ -25,6 +25,6 @@ def test_no_python_and_no_single_partition_window(spark, name):
 
 
 def test_pushdown_and_pruning(spark):
-    df = E.queries()["P15_points_in_box"](spark, SF)
+    df = spark_callables()["P15_points_in_box"](spark, SF)
     s = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,event_type:string>" in s
