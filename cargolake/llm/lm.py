@@ -45,7 +45,7 @@ from cargolake.llm.common import fold, prepare, raw_texts, stored
 
 VOCABULARY, WIDTH, CONTEXT = 2048, 24, 2
 HEAD = 131_072
-STRIDE, ROUNDS, BATCH, NOISE, RATE = 16, 2, 2048, 96, 0.08
+STRIDE, ROUNDS, BATCH, NOISE, RATE = 8, 2, 512, 64, 0.2
 FLUSH = 300_000  # words counted in a task before they are sent on
 LONGEST_HEAD = 64  # longer words are never in the head list
 END_KEY = "\n"  # no word holds white space
