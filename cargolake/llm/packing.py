@@ -36,7 +36,7 @@ from tokenizers import Tokenizer
 
 from cargolake.llm.common import prepare, raw_texts, stored
 
-MEMO = 300_000  # words whose ids are remembered per worker
+MEMO = 250_000  # words, and parts of other words, whose ids are remembered per worker
 LONGEST_WORD = 64
 ROUNDS, BATCH, RATE = 120, 48, 0.5
 ROWS_PER_SLICE = 20_000
@@ -49,18 +49,58 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-class WordIds(dict):
-    """Little-endian 32-bit ids of one white-space-separated word; bounded."""
+# ends of words that this vocabulary's splitting always parts from a letter or digit before them
+TAIL = b".,!?;:#$%&*|"
+
+
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, dtype="<u4").tobytes()
 
-    def __init__(self, path: str):
-        super().__init__()
-        self.encode = tokenizer(path).encode
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = packed(self.encode(word.decode(), add_special_tokens=False).ids)
-        if len(self) < MEMO and len(word) <= LONGEST_WORD:
-            self[word] = ids
-        return ids
+class WordIds:
+    """Little-endian 32-bit ids of white-space-separated words, with a bounded memo."""
+
+    def __init__(self, path: str):
+        self.encode, self.known, self.parts = tokenizer(path).encode, {}, {}
+
+    def ids(self, words: list[bytes]) -> bytes:
+        known = self.known.get
+        found = [known(w) for w in words]
+        if None in found:
+            fresh = self._fresh({w for w, ids in zip(words, found) if ids is None})
+            found = [fresh[w] if ids is None else ids for w, ids in zip(words, found)]
+        return b"".join(found)
+
+    def _fresh(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words outside the memo: a word and the marks at its end are looked up apart, the unknown encoded in one call."""
+        split, ask = {}, set()
+        for w in words:
+            core = w.rstrip(TAIL)
+            # the last letter once lowered: one that lowers to a letter and a mark is not parted from what follows
+            parts = (core, w[len(core):]) if core and core != w and core.decode()[-1].lower()[-1].isalnum() else (w,)
+            split[w] = parts
+            ask.update(p for p in parts if p not in self.parts)
+        asked = sorted(ask)
+        ids = dict(zip(asked, self._encoded([p.decode() for p in asked])))
+        self._remember(self.parts, ids)
+        known = self.parts.get
+        out = {w: b"".join([ids.get(p) or known(p, b"") for p in parts]) for w, parts in split.items()}
+        self._remember(self.known, out)
+        return out
+
+    @staticmethod
+    def _remember(memo: dict[bytes, bytes], more: dict[bytes, bytes]) -> None:
+        if len(memo) < MEMO:
+            memo.update((w, x) for w, x in more.items() if len(w) <= LONGEST_WORD)
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        encoding = self.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])  # white space parts words, so each token is of one of them
+        ids = np.array(encoding.ids, dtype="<u4")
+        first = np.searchsorted(np.array([o[0] for o in encoding.offsets], np.int64), starts)
+        return [ids[a:b].tobytes() for a, b in zip(first, first[1:])]
 
 
 @cache
@@ -68,17 +108,13 @@ def memo(path: str) -> WordIds:
     return WordIds(path)
 
 
-def packed(ids: list[int]) -> bytes:
-    return np.array(ids, dtype="<u4").tobytes()
-
-
 def text_ids(raw: bytes, path: str) -> bytes:
     """The ids of a text.  This vocabulary drops white space and lowers case
     before all else, so words can be encoded one by one, unless the text holds
     the opening of a special string, which is matched before lowering."""
     if b"<|" in raw:
         return packed(tokenizer(path).encode(raw.decode(), add_special_tokens=False).ids)
-    return b"".join(map(memo(path).__getitem__, raw.lower().split()))
+    return memo(path).ids(raw.lower().split())
 
 
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
