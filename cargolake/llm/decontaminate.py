@@ -171,9 +171,11 @@ def matches(block: ItemBlock, common: np.ndarray, raw: bytes, threshold: float)
         # a repeating passage makes one long group: windows of four items, half overlapping
         for low in range(start, stop, 2 * (len(words) + slack)):
             high = min(stop, low + 4 * (len(words) + slack))
-            score, first, last = align(words, text[low:high])
-            if score / len(words) >= threshold and score / len(words) > found.get(i, (0,))[0]:
-                found[i] = (score / len(words), low + first, low + last)
+            # no alignment scores more than the item's words that occur at all
+            if np.isin(words, text[low:high]).sum() >= threshold * len(words):
+                score, first, last = align(words, text[low:high])
+                if score / len(words) >= threshold and score / len(words) > found.get(i, (0,))[0]:
+                    found[i] = (score / len(words), low + first, low + last)
             if high == stop or found.get(i, (0,))[0] >= 1:
                 break
     for i in sorted(found):
