@@ -1,0 +1,320 @@
+"""Each operator against brute force on small fixtures, with the edge cases its docstring states."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from cargolake.llm import ann, decontaminate, html_text, langid, license_scan, lm, packing, quality, simhash, token_counts
+
+SF = "/root/testdata/sf0.001"
+ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "One"), (4, "One"), (None, "no id here at all"), (5, "é" * 3000), (6, "a b " * 2000)]
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def ascii_lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+# ---- license scan
+
+def test_license_base_and_labels(docs_of, documents):
+    text = "Released under the MIT License. mit\nlicense; Apache   license\nlicensed under CC BY-NC 4.0 é"
+    rows = [*ODD, (7, text), (8, "General public license " * 3)]
+    out = {r.doc_id: r for r in license_scan.scan(docs_of(rows)).collect()}
+    assert (out[7].n_base, out[7].first_word, out[7].base_labels, out[7].labels) == (3, 3, "apache,mit", "apache,cc-by-nc,mit")
+    assert (out[8].n_base, out[8].first_word, out[8].last_word) == (3, 0, 6)
+    assert (out[1].n_words, out[1].n_base, out[1].first_word, out[1].labels, out[1].score) == (0, 0, None, "", 0.0)
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    got = {r.doc_id: r for r in license_scan.scan(documents).collect()}
+    for r in documents.collect():
+        words = pattern.findall(ascii_lower(r.text))
+        places = [i for p in license_scan.PHRASES for i in range(len(words)) if words[i:i + len(p.split())] == p.split()]
+        assert got[r.doc_id].n_words == len(words) and got[r.doc_id].n_base == len(places)
+
+
+def test_similarity_join_is_exact():
+    random.seed(3)
+    alphabet = [c.encode() for c in "abcdefghij"]
+    templates = [(f"t{i}", " ".join(random.sample("abcdefghij", random.randint(2, 7)))) for i in range(12)]
+    for threshold in (0.5, 0.8, 1.0):
+        index = license_scan.template_index(templates, threshold, {c: random.randint(0, 9) for c in alphabet})
+        for _ in range(300):
+            block = set(random.sample(alphabet, random.randint(1, 9)))
+            want = {t for t, (_, text) in enumerate(templates) if len(set(text.encode().split()) & block) >= math.ceil(threshold * len(text.split()) - 1e-9)}
+            assert {t for t, _ in index.matches(block)} == want
+
+
+# ---- token counts
+
+@pytest.mark.parametrize("chunk, overlap", [(32768, 512), (200, 30), (64, 4)])
+def test_token_counts(docs_of, chunk, overlap):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    random.seed(5)
+    noise = ["".join(random.choice("ab  \n'sé<|>x9 ") for _ in range(500)) for _ in range(20)]
+    rows = [*ODD, (20, "<|endoftext|> tail  <|endoftext|>" * 30), (21, "x" * 900), *enumerate(noise, 30)]
+    out = token_counts.token_counts(docs_of(rows), path, chunk, overlap)
+    want = sorted((str(i), len((t or "").encode()), len(library.encode(t or "").ids)) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in out.collect()) == want
+
+
+# ---- SimHash
+
+def reference_fingerprint(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", ascii_lower(text))
+    shingles = [" ".join(words[i:i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    ones = [sum(xxhash.xxh64_intdigest(s.encode(), 42) >> b & 1 for s in shingles) for b in range(64)]
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
+
+
+def reference_classes(prints):
+    """(id, fingerprint) pairs to the smallest id reachable of each row."""
+    root = list(range(len(prints)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, (_, a) in enumerate(prints):
+        for j, (_, b) in enumerate(prints[:i]):
+            if (a ^ b).bit_count() <= 2:
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    low = {}
+    for i, (k, _) in enumerate(prints):
+        low[find(i)] = min((x for x in (low.get(find(i)), k) if x is not None), default=None)
+    return [low[find(i)] for i in range(len(prints))]
+
+
+def test_simhash_classes(docs_of):
+    random.seed(1)
+    rows = [*ODD, *((100 + i, " ".join(random.choice("abcd") for _ in range(4))) for i in range(60))]
+    out = simhash.near_duplicates(docs_of(rows)).collect()
+    prints = [(i, reference_fingerprint(t)) for i, t in rows]
+    want = sorted(((str(i), f"{f:016x}", str(c)) for (i, f), c in zip(prints, reference_classes(prints))))
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in out) == want
+
+
+@pytest.mark.parametrize("radius", [1, 2])
+def test_long_buckets_lose_no_link(spark, radius):
+    random.seed(radius)
+    base = random.getrandbits(63)
+    values = {base ^ (1 << random.randrange(63)) ^ (1 << random.randrange(63)) ^ (1 << random.randrange(8)) for _ in range(150)}
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(sorted(values))], "doc_id long, fp long")
+    got = {r.doc_id: r.component_id for r in simhash.classes(frame, radius).collect()}
+    pairs = simhash.connected(simhash.links(frame.select("fp"), radius))
+    order = sorted(values)
+    root = list(range(len(order)))
+    for _ in order:  # smallest label, until nothing changes
+        for i, a in enumerate(order):
+            root[i] = min(root[j] for j, b in enumerate(order) if (a ^ b).bit_count() <= radius)
+    assert got == dict(enumerate(root)) and pairs.columns == ["node", "root"]
+
+
+def test_keep_one(docs_of):
+    rows = [(3, "same text of words"), (2, "same text of words"), (2, "same text of words"), (9, "other words are here now"),
+            (None, "third kind of text is this"), (None, "third kind of text is this")]
+    out = simhash.keep_one(docs_of(rows))
+    assert out.columns == docs_of(rows).columns
+    assert sorted(str(r.doc_id) for r in out.collect()) == ["2", "9", "None"]
+    assert simhash.keep_one(docs_of([])).count() == 0
+
+
+# ---- packing
+
+def test_packing(docs_of):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    random.seed(2)
+    odd = "abZ É.,!?;:'\n\t#İſKÅé̇   ٣½sS'Re<|>endoftext|ßẞ🙂Σς\x0b\x1c\x85"
+    rows = [*ODD, *((200 + i, "".join(random.choice(odd) for _ in range(random.randint(0, 400)))) for i in range(150))]
+    out = [r.asDict() for r in packing.pack(docs_of(rows), path, capacity=256).collect()]
+    want = Counter()
+    for i, t in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids + [0]
+        for k, at in enumerate(range(0, len(ids), 256)):
+            part = ids[at:at + 256]
+            want[i, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in out) == want
+    used = {}
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert used.get(r["sequence_id"], 0) == r["offset"]
+        used[r["sequence_id"]] = r["offset"] + r["length"]
+    total = sum(r["length"] for r in out)
+    assert max(used.values()) <= 256 and len(used) <= math.ceil(total / 256) + 2
+    assert packing.pack(docs_of([]), path).count() == 0
+
+
+def test_bin_plan_covers_every_piece():
+    random.seed(4)
+    histogram = {n: random.randint(1, 40) for n in random.sample(range(1, 101), 60)}
+    plan = packing.bin_plan(histogram, 100)
+    for length, n in histogram.items():
+        ranks = plan["rank"][plan["length"] == length]
+        assert ranks[0] == 0 and (np.diff(ranks) > 0).all() and ranks[-1] < n
+
+
+# ---- HTML
+
+@pytest.mark.parametrize("page, text", [
+    (None, ""), ("", ""), ("plain", "plain"), ("<p>Hi", "Hi"), ("<nav>menu</nav><p>Caf&eacute;&nbsp;&amp;  bar</p>", "Café & bar"),
+    ("<div class=with-sidebar><h1>T</h1><p>a<b>b</b>c</p><br>d</div><div class='side sidebar'>no</div>", "T abc d"),
+    ("<article><p>Kept.</p><section id=comments><p>a reader's remark</p></section></article><p>outside</p><footer>f", "Kept."),
+    ("<body><script>var t='</p>';</script><!-- <p>x</p> --><p>one</p><form>q</form><div role=alert>w</div><p>two</p>", "one two"),
+])
+def test_main_text(page, text):
+    assert html_text.main_text(page or "") == text
+
+
+def test_html_query_shape(spark):
+    frame = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>A</p>", "y")], "page_id long, url string, html string, text string")
+    assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract(frame).orderBy("text").collect()] == [(1, "", 0), (None, "A", 1)]
+
+
+# ---- language and quality
+
+def test_language_held_out_accuracy(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", F.lit(0.5).alias("score"))
+    out = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert all(zlib.crc32(str(r.doc_id).encode()) % 5 == 0 for r in out)
+    assert sum(r.lang == r.lang_pred for r in out) / len(out) > 0.97
+
+
+def test_language_edges(docs_of):
+    out = {r.doc_id: r for r in langid.identify(docs_of([*ODD, (10, "1 2 !"), (11, "words of text")])).collect()}
+    assert (out[1].lang_pred, out[1].score, out[10].lang_pred) == ("und", 0.0, "und") and out[None].held_out
+    assert out[11].lang_pred == "en" and 0 <= out[11].score <= 1
+    assert langid.identify(docs_of([])).count() == 0
+
+
+def test_ngrams_over_blocks(monkeypatch):
+    raw = ("Straße und Äpfel, " * 50).encode()
+    whole = langid.ngram_counts(raw)
+    monkeypatch.setattr(langid, "BLOCK", 37)
+    for a, b in zip(whole, langid.ngram_counts(raw)):
+        order = np.argsort(whole[0])
+        assert (a[order] == b).all()
+
+
+def test_quality(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    half = labels.filter("doc_id % 2 = 0")
+    out = quality.classify(docs, half).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    assert sum(r.good == bool(r.quality) for r in out) / len(out) > 0.95 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_quality_edges(docs_of, spark):
+    labels = spark.createDataFrame([(4, 1, 0), (5, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    assert [r.score for r in quality.classify(docs_of(ODD), labels).collect()] == [1.0] * len(ODD)
+    assert quality.classify(docs_of([]), labels.limit(0)).count() == 0
+
+
+# ---- language model
+
+def test_lm_scores(docs_of, documents):
+    rows = [*ODD, *((r.doc_id + 100, r.text) for r in documents.limit(60).collect())]
+    out = lm.score(docs_of(rows), F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, F.lit(False)), size=64, width=8).collect()
+    tokens = lambda t: [*ascii_lower(t).encode().split(), None]
+    counts = Counter(w for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    want = sorted((str(i), len(tokens(t)), sum(counts[w] > 0 for w in tokens(t)), n,
+                   round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in tokens(t)), 5)) for i, t in rows)
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in out) == want
+    assert all(r.score < 0 for r in out)
+    assert lm.score_documents(docs_of([])).count() == 0
+
+
+def test_lm_is_normalised_and_learns():
+    random.seed(0)
+    ids = np.array([2 + i % 3 for i in range(6000)])
+    unigram = np.bincount(ids, minlength=6) + 0.1
+    trainer = lm.Trainer(lm.LogBilinear.start(unigram / unigram.sum(), 4), unigram / unigram.sum(), seed=1, noise=16)
+    word, one, two = lm._examples(ids, 0, 1)
+    for at in range(0, 6000, 100):
+        trainer.step(word[at:at + 100], one[at:at + 100], two[at:at + 100])
+    first, second, norm = trainer.m.tables()
+    p = np.exp(first[:, None, :] + second[None, :, :] - norm[:, :, None])
+    assert np.allclose(p.sum(axis=2), 1, atol=1e-4) and p[3, 2, 4] > 0.9
+
+
+# ---- decontamination
+
+def test_alignment_against_brute_force():
+    random.seed(6)
+    for _ in range(200):
+        a, b = (np.array([random.randint(0, 3) for _ in range(random.randint(1, n))]) for n in (12, 30))
+        h = np.zeros((len(b) + 1, len(a) + 1), int)
+        for j in range(len(b)):
+            for i in range(len(a)):
+                h[j + 1, i + 1] = max(0, h[j, i] + (1 if a[i] == b[j] else -1), h[j, i + 1] - 1, h[j + 1, i] - 1)
+        assert decontaminate.align(a, b)[0] == h.max()
+
+
+def test_decontamination(docs_of, spark):
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog near the old mill by the river", "a"), (2, None, "b"),
+                                   (3, "alpha beta", "c"), (4, "", "d")], "item_id long, text string, doc_id string")
+    edited = "well The QUICK, brown fox leaps over the lazy dog near that old mill by the river indeed"
+    rows = [*ODD, (50, edited), (51, "the old river and the mill by a fox"), (52, "x alpha, beta y"), (53, "word " * 30000 + edited)]
+    out = {(r.doc_id, r.item_id): r for r in decontaminate.contaminations(docs_of(rows), items).collect()}
+    assert set(out) == {(50, 1), (52, 3), (53, 1)}
+    assert out[50, 1].first_word == 1 and out[53, 1].first_word == 30001 and 0.5 < out[50, 1].score < 1
+    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs_of(rows), items).collect() if r.doc_id) == [1, 2, 3, 4, 4, 5, 6, 51]
+    assert decontaminate.contaminations(docs_of([]), items).count() == 0
+    assert decontaminate.contaminations(docs_of(rows), items.limit(0)).count() == 0
+
+
+def test_a_passage_in_most_documents_is_found(docs_of, spark):
+    item = "seven wise owls sat on a long branch and sang about the moon all night"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    rows = [(i, f"{i} before {item} after") for i in range(200)] + [(900, "nothing of the kind")]
+    assert decontaminate.contaminations(docs_of(rows), items).count() == 200
+
+
+# ---- nearest neighbours
+
+def test_index_retrieves_the_whole_radius():
+    random_codes = np.random.default_rng(0).integers(0, 256, (500, 8), dtype=np.uint8)
+    index = ann.Index(random_codes)
+    for radius in (0, 7, 22, 30, 64):
+        near = [ann.near_values(r) for r in ann.reaches(radius, 8)]
+        want = np.flatnonzero(ann.hamming(random_codes, random_codes[3]) <= radius)
+        assert (index.within(random_codes[3], radius, near) == want).all()
+
+
+def test_nearest_neighbours(spark):
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    odd = [(None, rows[0][1]), (7000, None), (7001, [0.0] * 64), (7002, [float("nan")] * 64), (7003, [None] * 64), (7004, [1.0]),
+           (7100, rows[5][1]), (7101, rows[5][1]), (7102, rows[5][1])]
+    frame = spark.createDataFrame([(i, v, 1) for i, v in rows + odd], "vec_id long, embedding array<float>, score int")
+    out = ann.nearest(frame).collect()
+    keep = rows + [r for r in odd if r[0] and r[0] >= 7100]
+    ids, x = np.array([i for i, _ in keep]), np.array([v for _, v in keep], np.float32).astype(float)
+    hit = total = 0
+    for q in np.flatnonzero(ids % 100 == 0):
+        distance = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        order = [j for j in np.lexsort((ids, distance)) if j != q][:10]
+        got = sorted((r.rank, r.vec_id, r.score) for r in out if r.query_id == ids[q])
+        assert [r for r, _, _ in got] == list(range(1, 11))
+        assert all(abs(s - distance[np.flatnonzero(ids == i)[0]]) < 1e-12 for _, i, s in got)
+        hit, total = hit + len({i for _, i, _ in got} & set(ids[order])), total + 10
+    assert hit / total > 0.95
+
+
+def test_few_vectors(spark):
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (0, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(frame).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
+    assert ann.nearest(frame.limit(0)).count() == 0
