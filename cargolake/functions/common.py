@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,13 +16,7 @@ def seconds_between(later, earlier) -> Column:
     Built on the exact day-time interval ``later - earlier`` so the result
     does not depend on the session time zone (zone-less inputs stay
     zone-less; ``timestamp_diff`` would shift across DST changes)."""
-    d = col(later) - col(earlier)
-    parts = [(F.extract(F.lit(u), d).cast("decimal(20,6)") * F.lit(k)) for u, k in
-             (("DAY", 86400), ("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1))]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total.cast("double")
+    return (col(later) - col(earlier)).cast("interval second").cast("decimal(20,6)").cast("double")
 
 
 def ts_lit(value: str) -> Column:
@@ -30,10 +24,6 @@ def ts_lit(value: str) -> Column:
     return F.expr(f"timestamp_ntz '{value}'")
 
 
-def minus_seconds(ts: str, seconds: int) -> Column:
-    return ts_lit(ts) - F.expr(f"interval {int(seconds)} seconds")
-
-
 def upper_trim(c) -> Column:
     return F.upper(F.trim(col(c)))
 
@@ -43,11 +33,8 @@ def is_distinct(a, b) -> Column:
     return ~col(a).eqNullSafe(col(b))
 
 
-def stable_id(*cols) -> Column:
-    """Deterministic row id (replaces random UUIDs, which change on retry)."""
-    return F.md5(F.concat_ws("\u001f", *[col(c).cast("string") for c in cols]))
-
-
-def iso(c) -> Column:
-    """ISO-8601 text of a timestamp (microseconds kept)."""
-    return F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """The smallest row of each key by ``order`` (nulls first): the same row on
+    every run, unlike ``dropDuplicates``; combined map-side."""
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.groupBy(*key).agg(F.min_by(row, F.struct(*order)).alias("_row")).select("_row.*")

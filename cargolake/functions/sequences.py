@@ -22,6 +22,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Left join in which null equals null (a null key or chunk is a value of its own)."""
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
+    same = None
+    for c in on:
+        one = left[c].eqNullSafe(renamed[f"_r_{c}"])
+        same = one if same is None else same & one
+    return left.join(renamed, same, "left").drop(*[f"_r_{c}" for c in on])
+
+
 def hour_chunk(ts_col: str) -> Column:
     """Default chunking: the hour of a timestamp (null stays null = first)."""
     return F.date_trunc("hour", F.col(ts_col))
@@ -41,7 +51,7 @@ def keyed_lag(df: DataFrame, key: list[str], order: list[str], cols: list[str],
             .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), ordering).alias("_last")))
     w_chunks = Window.partitionBy(*key).orderBy(F.col("_chunk").asc_nulls_first())
     carry = last.withColumn("_carry", F.lag("_last").over(w_chunks)).select(*key, "_chunk", "_carry")
-    out = local.join(carry, [*key, "_chunk"], "left") if key else local
+    out = _join_null_safe(local, carry, [*key, "_chunk"])
     for c in cols:
         out = out.withColumn(f"{prefix}{c}",
                              F.when(F.col("_first"), F.col(f"_carry.{c}")).otherwise(F.col(f"_lag_{c}")))
@@ -60,6 +70,6 @@ def keyed_position(df: DataFrame, key: list[str], order: list[str], chunk: Colum
     w_prev = (Window.partitionBy(*key).orderBy(F.col("_chunk").asc_nulls_first())
               .rowsBetween(Window.unboundedPreceding, -1))
     before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w_prev), F.lit(0))).select(*key, "_chunk", "_before")
-    out = local.join(before, [*key, "_chunk"], "left")
+    out = _join_null_safe(local, before, [*key, "_chunk"])
     return (out.withColumn(name, (F.col("_local") + F.col("_before") + F.lit(start - 1)).cast("bigint"))
             .drop("_local", "_before", "_chunk"))

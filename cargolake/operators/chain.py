@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cargolake import schemas
 from cargolake.functions.common import ts_lit
+from cargolake.functions.common import first_per_key
 from cargolake.functions.sequences import hour_chunk, keyed_position
 from cargolake.sources.envelopes import fingerprint
 
@@ -17,7 +18,8 @@ def register_pending(events: DataFrame, network: str = "ethereum") -> DataFrame:
     """Target events -> one pending record per event id (dedup, T12).
     Ids and the transaction hash are content-derived (S15) so a replayed
     event maps to the same record."""
-    t = events.where(F.col("event_type").isin(*schemas.RECORDER_TARGET_EVENTS)).dropDuplicates(["event_id"])
+    t = events.where(F.col("event_type").isin(*schemas.RECORDER_TARGET_EVENTS))
+    t = first_per_key(t, ["event_id"], ["ts", "payload"])
     return t.select(F.md5(F.concat(F.lit("rec:"), F.col("event_id").cast("string"))).alias("record_id"),
                     F.col("aggregate_id").alias("shipment_id"),
                     F.concat(F.lit("0x"), fingerprint(F.concat_ws("|", F.col("event_id").cast("string"),
@@ -32,6 +34,7 @@ def track_confirmations(records: DataFrame, receipts: DataFrame,
     no receipt -> unchanged; failed -> FAILED with the revert message;
     success with >= ``required`` confirmations -> CONFIRMED (block, gas,
     block time); otherwise unchanged.  Non-pending rows pass through."""
+    kept = F.col("error_message") if "error_message" in records.columns else F.lit(None).cast("string")
     r = receipts.select("tx_hash", F.col("block_number").alias("r_block"), F.col("confirmations").alias("r_conf"),
                         F.lower(F.col("status")).alias("r_status"), F.col("gas_used").alias("r_gas"),
                         F.col("block_time").alias("r_time"))
@@ -45,7 +48,7 @@ def track_confirmations(records: DataFrame, receipts: DataFrame,
         "created_at",
         F.when(confirmed, F.col("r_time")).otherwise(F.col("confirmed_at")).alias("confirmed_at"),
         F.when(confirmed, F.col("r_block")).otherwise(F.col("block_number")).alias("block_number"),
-        F.when(failed, F.lit(REVERTED)).alias("error_message"),
+        F.when(failed, F.lit(REVERTED)).otherwise(kept).alias("error_message"),
         F.when(confirmed, F.col("r_gas")).otherwise(F.col("gas_used")).alias("gas_used"),
         "network",
         F.when(confirmed, "confirmed").when(failed, "failed").when(pending & F.col("r_status").isNull(), "no_receipt")

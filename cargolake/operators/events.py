@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cargolake.functions.common import ts_lit
+from cargolake.functions.common import first_per_key, ts_lit
 from cargolake.sources.envelopes import ISO_FORMAT, uuid_of
 
 # fixed values: event registry (event type, aggregate type, id field)
@@ -99,7 +99,8 @@ def typed_payloads(envelopes: DataFrame, event_type: str) -> DataFrame:
 def dedup_events(events: DataFrame, id_col: str = "event_id") -> DataFrame:
     """T12 (batch): at-least-once input -> one row per event id.  In a
     stream use ``dropDuplicatesWithinWatermark`` (see streaming module)."""
-    return events.dropDuplicates([id_col])
+    order = [c for c in ("ts", "timestamp", "payload") if c in events.columns] or events.columns
+    return first_per_key(events, [id_col], order)
 
 
 def correlation_check(events: DataFrame) -> tuple[DataFrame, DataFrame]:

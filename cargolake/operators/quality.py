@@ -205,22 +205,25 @@ def _unique_rule_name(cols, where) -> str:
 def duplicate_keys(df: DataFrame, table: str, cols: list[str], where: str | None = None) -> DataFrame:
     """Q5: keys held by more than one row, with the number of holders.
     A grouped count with map-side partial aggregation: a hot key costs one
-    partial row per map task, not a skewed shuffle."""
+    partial row per map task, not a skewed shuffle.  As in SQL a key with a
+    null is never a duplicate.  Keys are grouped as they are; their text is
+    made for the reported ones alone."""
     src = df.where(F.expr(where)) if where else df
     key = (F.col(cols[0]).cast("string") if len(cols) == 1
            else F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))
-    return (src.groupBy(key.alias("row_key")).agg(F.count(F.lit(1)).alias("n"))
+    return (src.dropna(subset=cols).groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
             .where("n > 1")
-            .select(F.lit(table).alias("table_name"), "row_key",
+            .select(F.lit(table).alias("table_name"), key.alias("row_key"),
                     F.lit(_unique_rule_name(cols, where)).alias("rule"), F.col("n").cast("string").alias("value")))
 
 
 def duplicate_keys_oracle(table: str, cols: list[str], where: str | None = None) -> str:
     key = (f"cast({cols[0]} as varchar)" if len(cols) == 1
            else "concat_ws('|', " + ", ".join(f"cast({c} as varchar)" for c in cols) + ")")
-    w = f"WHERE {where}" if where else ""
+    known = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+    w = f"WHERE {known} AND {where}" if where else f"WHERE {known}"
     return (f"SELECT '{table}' AS table_name, {key} AS row_key, '{_unique_rule_name(cols, where)}' AS rule, "
-            f"cast(count(*) as varchar) AS value FROM {table} {w} GROUP BY {key} HAVING count(*) > 1")
+            f"cast(count(*) as varchar) AS value FROM {table} {w} GROUP BY {', '.join(cols)} HAVING count(*) > 1")
 
 
 # ---- Q6 referential integrity -----------------------------------------------
@@ -243,7 +246,7 @@ FOREIGN_KEYS: list[tuple[str, str, str, str]] = [
 
 def orphans(child: DataFrame, child_name: str, fk: str, parent: DataFrame, parent_name: str, pk: str) -> DataFrame:
     """Child rows whose foreign key has no parent (null FKs pass)."""
-    keys = parent.select(F.col(pk).alias(fk)).distinct()
+    keys = parent.select(F.col(pk).alias(fk))
     return (child.where(F.col(fk).isNotNull()).join(keys, fk, "left_anti")
             .select(F.lit(child_name).alias("table_name"), F.expr(key_sql(child_name)).alias("row_key"),
                     F.lit(f"fk:{fk}->{parent_name}").alias("rule"), F.col(fk).cast("string").alias("value")))

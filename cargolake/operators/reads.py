@@ -51,9 +51,13 @@ def ranked_children(df: DataFrame, fk: str, order: list[Column], rank_name: str
 
 def page(df: DataFrame, order: list[Column], limit: int = schemas.PAGE_DEFAULT, offset: int = 0) -> DataFrame:
     """ORDER BY ... LIMIT ... OFFSET (TakeOrderedAndProject with offset).
-    ``order`` must end in the primary key so pages are stable."""
-    limit = max(1, min(int(limit), schemas.PAGE_MAX))
-    return df.orderBy(*order).offset(int(offset)).limit(limit)
+    ``order`` must end in the primary key so pages are stable.  A limit outside
+    1 to the largest page, or a negative offset, is refused, never clamped."""
+    if not 1 <= int(limit) <= schemas.PAGE_MAX:
+        raise ValueError(f"limit must be 1 to {schemas.PAGE_MAX}")
+    if int(offset) < 0:
+        raise ValueError("offset must not be negative")
+    return df.orderBy(*order).offset(int(offset)).limit(int(limit))
 
 
 def keyset_page(df: DataFrame, ts_col: str, key_col: str, after_ts: str, after_key, limit: int) -> DataFrame:

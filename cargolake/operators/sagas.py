@@ -35,13 +35,15 @@ def plan_compensation(events: DataFrame, sagas: DataFrame) -> tuple[DataFrame, D
            .when(F.col("_sid").isNull(), "saga_not_found")
            .when(final_or_comp, "already_final"))
     j = j.withColumn("_pre", pre)
-    eligible = j.where(F.col("_pre").isNull())
+    # no worker consumes a failed verification: it is reported, and neither starts nor ends a compensation
+    unhandled = F.col("event_type") == "blockchain.verification_failed"
+    eligible = j.where(F.col("_pre").isNull() & ~unhandled)
     first = (eligible.groupBy("correlation_id")
              .agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("_first_event")))
     j = j.join(first, "correlation_id", "left")
     outcome = (F.when(F.col("_pre").isNotNull(), F.col("_pre"))
+               .when(unhandled, "no_strategy")
                .when(F.col("event_id") != F.col("_first_event"), "already_final")
-               .when(F.col("event_type") == "blockchain.verification_failed", "no_strategy")
                .otherwise("fired"))
     j = j.withColumn("outcome", outcome)
     outcomes = j.select("event_id", "event_type", F.col("correlation_id").alias("saga_id"), "outcome")
@@ -67,7 +69,7 @@ def plan_compensation(events: DataFrame, sagas: DataFrame) -> tuple[DataFrame, D
                 .select("saga_id", "event_id", F.col("step").cast("int").alias("step"),
                         F.md5(F.concat_ws(":", F.col("event_id").cast("string"), F.col("step").cast("string"))).alias("command_id"),
                         "c.command_type", "c.topic", "c.aggregate_id", "c.reason"))
-    trig = j.where(F.col("outcome").isin("fired", "no_strategy"))
+    trig = j.where(F.col("outcome") == "fired")
     updates = (trig.select(F.col("correlation_id").alias("saga_id"), "event_id", etype.alias("failed_step"),
                            F.explode(F.array(
                                F.struct(F.lit(1).alias("seq"), F.lit("COMPENSATING").alias("status"),

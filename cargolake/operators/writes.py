@@ -213,21 +213,20 @@ def apply_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
 
 
 def rotate_tokens(tokens: DataFrame, presented: DataFrame, users: DataFrame, as_of: str, lifetime_days: int = 30):
-    """Refresh-token rotation.  A presented token that is valid at
-    as_of (P9) and belongs to a user (J10) is revoked (U9) and a successor
-    is appended (U2); others are rejected.  Returns (snapshot, report)."""
+    """Refresh-token rotation.  A presented token that is valid at as_of
+    (P9) is revoked (U9); if its user still exists (J10) a successor is
+    appended (U2), else it is rejected like any other.  Returns (snapshot, report)."""
     now = ts_lit(as_of)
     p = presented.select("token_hash").distinct()
-    cand = (tokens.join(p, "token_hash", "inner")
-            .join(users.select("user_id"), "user_id", "left_semi"))
-    valid = cand.where(~F.col("revoked") & (F.col("expires_at") > now))
+    live = tokens.join(p, "token_hash", "inner").where(~F.col("revoked") & (F.col("expires_at") > now))
+    valid = live.join(users.select("user_id"), "user_id", "left_semi")
     new_hash = F.md5(F.concat(F.col("token_hash"), F.lit("@" + as_of)))
     successors = valid.select(
         F.conv(F.substring(new_hash, 1, 15), 16, 10).cast("bigint").alias("token_id"),
         "user_id", new_hash.alias("token_hash"),
         (now + F.expr(f"interval {int(lifetime_days)} days")).alias("expires_at"),
         F.lit(False).alias("revoked"))
-    snap = append(revoke_tokens(tokens, valid.select("token_hash")), successors)
+    snap = append(revoke_tokens(tokens, live.select("token_hash")), successors)
     report = (p.join(valid.select("token_hash", F.lit("rotated").alias("outcome")), "token_hash", "left")
               .select("token_hash", F.coalesce("outcome", F.lit("rejected")).alias("outcome")))
     return snap, report

@@ -224,9 +224,9 @@ j AS (SELECT fe.*, s.saga_id AS sid, upper(trim(s.status)) AS saga_status, s.shi
                   WHEN upper(trim(s.status)) IN ('COMPLETED', 'COMPENSATING', 'FAILED', 'CANCELLED') THEN 'already_final' END AS pre
       FROM fe LEFT JOIN saga_instances s ON fe.correlation_id = s.saga_id),
 firsts AS (SELECT correlation_id, arg_min(event_id, struct_pack(ts := ts, event_id := event_id)) AS first_event
-           FROM j WHERE pre IS NULL GROUP BY correlation_id),
-o AS (SELECT j.*, CASE WHEN pre IS NOT NULL THEN pre WHEN j.event_id <> f.first_event THEN 'already_final'
-                       WHEN j.event_type = 'blockchain.verification_failed' THEN 'no_strategy' ELSE 'fired' END AS outcome
+           FROM j WHERE pre IS NULL AND event_type <> 'blockchain.verification_failed' GROUP BY correlation_id),
+o AS (SELECT j.*, CASE WHEN pre IS NOT NULL THEN pre WHEN j.event_type = 'blockchain.verification_failed' THEN 'no_strategy'
+                       WHEN j.event_id <> f.first_event THEN 'already_final' ELSE 'fired' END AS outcome
       FROM j LEFT JOIN firsts f ON j.correlation_id = f.correlation_id)"""
 
 
@@ -266,10 +266,10 @@ def t4b(t):
 @query("T4_saga_updates", f"""
 WITH {_T4_BASE}
 SELECT correlation_id AS saga_id, event_id, 1 AS seq, 'COMPENSATING' AS status, event_type AS failed_step,
-       cast(null as varchar) AS error_message FROM o WHERE outcome IN ('fired', 'no_strategy')
+       cast(null as varchar) AS error_message FROM o WHERE outcome = 'fired'
 UNION ALL
 SELECT correlation_id, event_id, 2, 'FAILED', event_type, 'Compensation triggered by ' || event_type
-FROM o WHERE outcome IN ('fired', 'no_strategy')""")
+FROM o WHERE outcome = 'fired'""")
 def t4c(t):
     return _t4(t)[2]
 

@@ -178,15 +178,21 @@ def u7r(t):
 @query("U8_set_courier_contact", """
 WITH last AS (SELECT courier_id, arg_max(contact_info, change_seq) AS contact_info
               FROM courier_contact_changes GROUP BY courier_id)
-SELECT coalesce(c.courier_id, l.courier_id) AS courier_id, c.name,
-       CASE WHEN l.courier_id IS NOT NULL THEN l.contact_info ELSE c.contact_info END AS contact_info,
-       CASE WHEN c.courier_id IS NULL THEN true ELSE c.is_active END AS is_active
-FROM couriers c FULL OUTER JOIN last l ON c.courier_id = l.courier_id""")
+SELECT c.courier_id, c.name,
+       CASE WHEN l.courier_id IS NOT NULL THEN l.contact_info ELSE c.contact_info END AS contact_info, c.is_active
+FROM couriers c LEFT JOIN last l ON c.courier_id = l.courier_id""")
 def u8(t):
-    return w.upsert(t.couriers, t.courier_contact_changes, "courier_id", ["contact_info"], ["change_seq"],
+    known = t.courier_contact_changes.join(t.couriers.select("courier_id"), "courier_id", "left_semi")
+    return w.upsert(t.couriers, known, "courier_id", ["contact_info"], ["change_seq"],
                     NOW, touch_col=None, created_col=None, defaults={"is_active": F.lit(True)})
 
 
+@query("U8_unknown_couriers", """
+SELECT DISTINCT courier_id FROM courier_contact_changes WHERE courier_id NOT IN (SELECT courier_id FROM couriers)""")
+def u8_unknown(t):
+    return t.courier_contact_changes.select("courier_id").distinct().join(t.couriers, "courier_id", "left_anti")
+
+
 @query("U9_revoke_tokens", """
 SELECT token_id, user_id, token_hash, expires_at,
        revoked OR token_hash IN (SELECT token_hash FROM token_presentations) AS revoked
@@ -239,11 +245,11 @@ def u13(t):
 
 
 _TT = f"timestamp '{TOKEN_NOW}'"
-_U14_VALID = f"""valid AS (
+_U14_VALID = f"""live AS (
   SELECT t.* FROM refresh_tokens t
   WHERE t.token_hash IN (SELECT token_hash FROM token_presentations)
-    AND t.user_id IN (SELECT user_id FROM users)
-    AND NOT t.revoked AND t.expires_at > {_TT})"""
+    AND NOT t.revoked AND t.expires_at > {_TT}),
+valid AS (SELECT * FROM live WHERE user_id IN (SELECT user_id FROM users))"""
 
 
 @query("U14_token_rotation_report", f"""
@@ -258,7 +264,7 @@ def u14(t):
 @query("U2_append_token_successors", f"""
 WITH {_U14_VALID}
 SELECT token_id, user_id, token_hash, expires_at,
-       revoked OR token_hash IN (SELECT token_hash FROM valid) AS revoked
+       revoked OR token_hash IN (SELECT token_hash FROM live) AS revoked
 FROM refresh_tokens
 UNION ALL
 SELECT cast(concat('0x', substr(md5(concat(token_hash, '@{TOKEN_NOW}')), 1, 15)) as bigint) AS token_id, user_id,

@@ -49,8 +49,8 @@ def _parse(df: DataFrame, value_col: str, schema: str, required, uuid_fields, ts
     # The one-element explode pins the parsed struct: the optimizer cannot
     # inline from_json into every field reference (one parse per record).
     parsed = df.select("*", F.explode(F.array(F.from_json(F.col(value_col), schema, {"mode": "PERMISSIVE"}))).alias("_e"))
-    # from_json yields a struct of nulls for text that is not a JSON object
-    is_obj = F.coalesce(F.col(value_col).rlike(r"^\s*\{"), F.lit(False)) & F.col("_e").isNotNull()
+    # from_json takes truncated objects and text after an object; the strict parser takes neither
+    is_obj = F.coalesce(F.col(value_col).rlike(r"^\s*\{"), F.lit(False)) & F.try_parse_json(F.col(value_col)).isNotNull()
     checks = [F.when(~is_obj, F.lit("bad_json"))]
     checks += [F.when(F.col(f"_e.{k}").isNull(), F.lit(f"missing_key:{k}")) for k in required]
     checks += [F.when(~F.col(f"_e.{k}").rlike(UUID_RE), F.lit(f"bad_uuid:{k}")) for k in uuid_fields]
@@ -97,7 +97,7 @@ def event_json(event_id, event_type, aggregate_id, aggregate_type, payload_json,
     return F.to_json(F.struct(
         col(event_id).cast("string").alias("event_id"), col(event_type).alias("event_type"),
         col(aggregate_id).cast("string").alias("aggregate_id"), col(aggregate_type).alias("aggregate_type"),
-        F.parse_json(col(payload_json)).alias("payload"),
+        F.try_parse_json(col(payload_json)).alias("payload"),
         F.date_format(col(ts), ISO_FORMAT).alias("timestamp"),
         col(correlation_id).cast("string").alias("correlation_id")), {"ignoreNullFields": "false"})
 
@@ -115,7 +115,7 @@ def write_events(events: DataFrame) -> DataFrame:
 def command_json(command_id, command_type, aggregate_id, payload_json, correlation_id) -> Column:
     return F.to_json(F.struct(
         col(command_id).cast("string").alias("command_id"), col(command_type).alias("command_type"),
-        col(aggregate_id).cast("string").alias("aggregate_id"), F.parse_json(col(payload_json)).alias("payload"),
+        col(aggregate_id).cast("string").alias("aggregate_id"), F.try_parse_json(col(payload_json)).alias("payload"),
         col(correlation_id).cast("string").alias("correlation_id")), {"ignoreNullFields": "false"})
 
 
@@ -159,7 +159,7 @@ def location_json(c) -> Column:
 
 def payload_field(c, path: str, dtype: str = "string") -> Column:
     """Typed field of a JSONB-like payload via VARIANT."""
-    return F.try_variant_get(F.parse_json(col(c)), path, dtype)
+    return F.try_variant_get(F.try_parse_json(col(c)), path, dtype)
 
 
 def payload_hex(c) -> Column:
