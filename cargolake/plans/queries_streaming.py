@@ -26,21 +26,26 @@ def _drain(t, stream_df, name, mode="append"):
     return t.spark.read.parquet(sink)
 
 
+def _drain_upserts(t, stream_df, name, keys):
+    return feeds.run_upserts(stream_df, feeds.scratch_path(t.spark, name + "-out"), feeds.scratch_path(t.spark, name + "-ckpt"), keys)
+
+
 def _event_log(t):
     # context ids for T5: warehouse / delivery references carried by the event
     return t.domain_events.withColumn("context_id", F.col("aggregate_id").cast("string"))
 
 
-@query("S8_S9_log_replay")
+@query("S8_S9_log_replay", "SELECT * FROM domain_events")
 def s9(t):
     path, schema = _record(t, t.domain_events, "event-log")
     return _drain(t, feeds.replay_files(t.spark, path, schema, max_files_per_trigger=1), "replay")
 
 
-@query("T12_stream_dedup")
+@query("T12_stream_dedup", "SELECT * FROM domain_events")
 def t12s(t):
     path, schema = _record(t, t.domain_events.unionByName(t.domain_events), "dup-log")
-    return _drain(t, feeds.dedup_stream(feeds.replay_files(t.spark, path, schema)), "dedup")
+    once = _drain(t, feeds.dedup_stream(feeds.replay_files(t.spark, path, schema)), "dedup")
+    return once.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("T5_saga_state_machine")
@@ -49,16 +54,24 @@ def t5(t):
     return _drain(t, saga_state_machine(feeds.replay_files(t.spark, path, schema)), "sagas")
 
 
-@query("M1_stream_request_rate")
+@query("M1_stream_request_rate", """
+SELECT service, date_trunc('minute', ts) AS window_start, count(*) / 60.0 AS per_second
+FROM http_log GROUP BY ALL""")
 def m1s(t):
     path, schema = _record(t, t.http_log, "http-log")
-    return _drain(t, feeds.windowed_request_rate(feeds.replay_files(t.spark, path, schema)), "rate")
+    return _drain_upserts(t, feeds.windowed_request_rate(feeds.replay_files(t.spark, path, schema)), "rate",
+                          ["service", "window_start"])
 
 
-@query("A5_stream_daily_blockchain")
+@query("A5_stream_daily_blockchain", """
+SELECT cast(created_at AS date) AS transaction_date, network, count(*) AS total_transactions,
+       count(CASE WHEN upper(trim(status)) = 'CONFIRMED' THEN 1 END) AS confirmed,
+       count(CASE WHEN upper(trim(status)) = 'FAILED' THEN 1 END) AS failed, cast(sum(gas_used) AS bigint) AS total_gas_used
+FROM blockchain_records GROUP BY ALL""")
 def a5s(t):
     path, schema = _record(t, t.blockchain_records, "chain-log")
-    return _drain(t, feeds.daily_chain_stats_stream(feeds.replay_files(t.spark, path, schema)), "daily")
+    return _drain_upserts(t, feeds.daily_chain_stats_stream(feeds.replay_files(t.spark, path, schema)), "daily",
+                          ["transaction_date", "network"])
 
 
 @query("A13_incremental_refresh")

@@ -49,8 +49,8 @@ def _parse(df: DataFrame, value_col: str, schema: str, required, uuid_fields, ts
     # The one-element explode pins the parsed struct: the optimizer cannot
     # inline from_json into every field reference (one parse per record).
     parsed = df.select("*", F.explode(F.array(F.from_json(F.col(value_col), schema, {"mode": "PERMISSIVE"}))).alias("_e"))
-    # from_json takes truncated objects and text after an object; the strict parser takes neither
-    is_obj = F.coalesce(F.col(value_col).rlike(r"^\s*\{"), F.lit(False)) & F.try_parse_json(F.col(value_col)).isNotNull()
+    # from_json takes truncated objects and text after an object; the array of one that holds it must parse whole
+    is_obj = F.coalesce(F.col(value_col).rlike(r"^\s*\{"), F.lit(False)) & (F.coalesce(F.json_array_length(F.concat(F.lit("["), F.col(value_col), F.lit("]"))), F.lit(0)) == 1)
     checks = [F.when(~is_obj, F.lit("bad_json"))]
     checks += [F.when(F.col(f"_e.{k}").isNull(), F.lit(f"missing_key:{k}")) for k in required]
     checks += [F.when(~F.col(f"_e.{k}").rlike(UUID_RE), F.lit(f"bad_uuid:{k}")) for k in uuid_fields]

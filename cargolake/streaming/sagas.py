@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from cargolake import schemas
+from cargolake.session import ship_package
 
 OUTPUT_SCHEMA = ("saga_id STRING, kind STRING, status STRING, detail STRING, "
                  "warehouse_id STRING, delivery_id STRING, event_id STRING, ts TIMESTAMP")
@@ -57,12 +58,11 @@ def _commands(event_type: str, reason: str | None, shipment, warehouse, delivery
 def fold_saga(key, pdfs: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int) -> Iterator[pd.DataFrame]:
     saga_id = str(key[0])
     rows = []
-    if state.hasTimedOut:
+    if state.hasTimedOut:  # reported once; the saga and its status stay, for what may still come
         st = dict(zip(("status", "shipment_id", "warehouse_id", "delivery_id", "started_at", "updated_at",
                        "failed_step", "retry_count"), state.get))
         rows.append((saga_id, "step_timeout", st["status"], "no event within timeout", st["warehouse_id"],
                      st["delivery_id"], None, st["updated_at"]))
-        state.remove()
         yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in OUTPUT_SCHEMA.split(", ")])
         return
     cur = None
@@ -85,6 +85,9 @@ def fold_saga(key, pdfs: Iterator[pd.DataFrame], state: GroupState, timeout_ms:
             if cur["status"] in _FINAL_OR_COMP:
                 rows.append((saga_id, "outcome", cur["status"], "already_final", None, None, eid, ts))
                 continue
+            if et == "blockchain.verification_failed":  # reported, no compensation
+                rows.append((saga_id, "outcome", cur["status"], "no_strategy", None, None, eid, ts))
+                continue
             reason = None
             if isinstance(ev.payload, str) and '"reason"' in ev.payload:
                 import json
@@ -112,8 +115,9 @@ def fold_saga(key, pdfs: Iterator[pd.DataFrame], state: GroupState, timeout_ms:
     if cur is not None:
         state.update((cur["status"], cur["shipment_id"], cur["warehouse_id"], cur["delivery_id"],
                       cur["started_at"], cur["updated_at"], cur["failed_step"], int(cur["retry_count"])))
-        last_ts = pd.Timestamp(cur["updated_at"])
-        state.setTimeoutTimestamp(int(last_ts.timestamp() * 1000) + timeout_ms)
+        if cur["status"] not in _FINAL_OR_COMP:  # only a running saga can be late
+            last = int(pd.Timestamp(cur["updated_at"]).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + timeout_ms)
     yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in OUTPUT_SCHEMA.split(", ")])
 
 
@@ -121,6 +125,7 @@ def saga_state_machine(events: DataFrame, watermark: str = "10 minutes",
                        timeout_s: int = schemas.STEP_TIMEOUT_SECONDS) -> DataFrame:
     """T5 on a streaming (or batch) frame of events with columns event_id,
     event_type, aggregate_id, correlation_id, payload, ts[, context_id]."""
+    ship_package(events.sparkSession)
     if "context_id" not in events.columns:
         events = events.withColumn("context_id", F.lit(None).cast("string"))
     e = (events.where(F.col("correlation_id").isNotNull())
