@@ -88,19 +88,24 @@ def _payload_or_aggregate(field: str):
 
 def apply_release(commands: DataFrame, inventory: DataFrame):
     """T6a + A12: inventory.release -> every record of the shipment becomes
-    RECEIVED, SHIPPED records are refused (H7).  Returns (record updates,
-    per-command report: released count or the reason it did nothing)."""
+    RECEIVED, SHIPPED records are refused (H7).  Returns (one update per
+    record, per-command report: released count or the reason it did nothing).
+    Records are counted per shipment before commands join, so repeated commands
+    of a shipment never multiply its records."""
     rel = commands.where(F.col("command_type") == "inventory.release").select(
         "command_id", _payload_or_aggregate("shipment_id").alias("shipment_ref"))
     sid = F.col("shipment_ref").try_cast("bigint") if dict(inventory.dtypes)["shipment_id"] != "string" else F.col("shipment_ref")
     rel = rel.withColumn("_sid", sid)
-    inv = inventory.select("record_id", F.col("shipment_id").alias("_sid"), F.upper(F.trim("status")).alias("current"))
-    j = rel.where(F.col("_sid").isNotNull()).join(inv, "_sid", "inner")
-    refused = F.col("current") == "SHIPPED"
-    updates = j.where(~refused).select("command_id", "record_id", F.lit("received").alias("new_status"))
-    counts = j.groupBy("command_id").agg(F.count_if(~refused).cast("bigint").alias("released_count"),
-                                         F.count_if(refused).cast("bigint").alias("refused_count"))
-    report = (rel.join(counts, "command_id", "left")
+    refused = F.upper(F.trim("status")) == "SHIPPED"
+    named = rel.where(F.col("_sid").isNotNull())
+    held = inventory.select("record_id", F.col("shipment_id").alias("_sid"), refused.alias("_refused"))
+    updates = (held.where(~F.col("_refused")).join(named.select("_sid"), "_sid", "left_semi")
+               .select("record_id", F.lit("received").alias("new_status")))
+    counts = held.groupBy("_sid").agg(F.count_if(~F.col("_refused")).cast("bigint").alias("released_count"),
+                                      F.count_if(F.col("_refused")).cast("bigint").alias("refused_count"))
+    unnamed = rel.where(F.col("_sid").isNull())
+    counted = named.join(counts, "_sid", "left").unionByName(unnamed, allowMissingColumns=True)
+    report = (counted
               .select("command_id", F.col("_sid").alias("shipment_id"),
                       F.coalesce("released_count", F.lit(0).cast("bigint")).alias("released_count"),
                       F.coalesce("refused_count", F.lit(0).cast("bigint")).alias("refused_count"),

@@ -24,14 +24,9 @@ def mean_vectors(docs: DataFrame, id_col: str, text_col: str, vectors: DataFrame
     words = (docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("word"))
              .groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("_n")))
     known = words.join(vectors.select("word", "vec"), "word", "inner")
-    totals = known.groupBy(id_col).agg(F.sum("_n").alias("_total"))
-    per_dim = (known.select(id_col, "_n", F.posexplode("vec").alias("_d", "_x"))
-               .groupBy(id_col, "_d").agg(F.sum(F.col("_x").cast("double") * F.col("_n")).alias("_s")))
-    # one row per (id, dimension) -> array per id; bounded by the dimension
-    vec = (per_dim.join(totals, id_col)
-           .groupBy(id_col)
-           .agg(F.array_sort(F.collect_list(F.struct("_d", (F.col("_s") / F.col("_total")).alias("_v")))).alias("_p"))
-           .select(id_col, F.transform("_p", lambda s: s["_v"]).alias("vec")))
+    # one row per (task, message): all dimensions are sums of one aggregation
+    sums = [F.sum(F.col("vec")[d].cast("double") * F.col("_n")) / F.sum("_n") for d in range(dim)]
+    vec = known.groupBy(id_col).agg(F.array(*sums).alias("vec"))
     zero = F.array_repeat(F.lit(0.0), dim)
     return (docs.select(id_col).join(vec, id_col, "left")
             .select(id_col, F.coalesce(F.col("vec"), zero).alias("vec")))

@@ -47,27 +47,28 @@ def upsert(target: DataFrame, changes: DataFrame, key: list[str] | str, update_c
     defaults = defaults or {}
     present = [c for c in update_cols if c in changes.columns]
     last = latest_per_key(changes, key, order_by, present).withColumn("_hit", F.lit(True))
-    t = target.withColumn("_old", F.lit(True)).alias("t")
-    c = last.alias("c")
-    joined = t.join(c, key, "full_outer")
+    # stored rows meet the changes in a left join, which may broadcast a small
+    # change set; new keys are added apart, so the target is never outer-joined
+    joined = target.alias("t").join(last.alias("c"), key, "left")
+    fresh = last.join(target.select(*key), key, "left_anti")
     now = ts_lit(as_of) if as_of else None
-    out = []
+    stored, added = [], []
     for name in target.columns:
+        kind, hit = target.schema[name].dataType, F.col("c._hit")
+        old = F.col(name) if name in key else F.col(f"t.{name}")
         if name in key:
-            out.append(F.col(name))
-            continue
-        tcol = F.col(f"t.{name}")
-        if touch_col and name == touch_col and now is not None:
-            out.append(F.when(F.col("c._hit"), now).otherwise(tcol).alias(name))
-        elif created_col and name == created_col and now is not None:
-            out.append(F.coalesce(tcol, F.when(F.col("c._hit"), now)).alias(name))
+            stored.append(old)
+            added.append(F.col(name).cast(kind).alias(name))
+        elif now is not None and name in (touch_col, created_col):
+            stored.append((F.when(hit, now).otherwise(old) if name == touch_col else F.coalesce(old, F.when(hit, now))).alias(name))
+            added.append(now.cast(kind).alias(name))
         elif name in present:
-            out.append(F.when(F.col("c._hit"), F.col(f"c.{name}")).otherwise(tcol).alias(name))
+            stored.append(F.when(hit, F.col(f"c.{name}").cast(kind)).otherwise(old).alias(name))
+            added.append(F.col(name).cast(kind).alias(name))
         else:
-            fill = defaults.get(name, F.lit(None))
-            is_insert = F.col("c._hit") & F.col("t._old").isNull()
-            out.append(F.when(is_insert, fill.cast(target.schema[name].dataType)).otherwise(tcol).alias(name))
-    return joined.select(*out)
+            stored.append(old.alias(name))
+            added.append(defaults.get(name, F.lit(None)).cast(kind).alias(name))
+    return joined.select(*stored).unionByName(fresh.select(*added))
 
 
 def append(target: DataFrame, rows: DataFrame) -> DataFrame:

@@ -285,9 +285,9 @@ def t13(t):
 # ---- T6 command application --------------------------------------------------
 
 @query("T6a_release_record_updates", """
-SELECT c.command_id, r.record_id, 'received' AS new_status
-FROM commands c JOIN inventory_records r ON r.shipment_id = try_cast(json_extract_string(c.payload, '$.shipment_id') AS bigint)
-WHERE c.command_type = 'inventory.release' AND upper(trim(r.status)) <> 'SHIPPED'""")
+SELECT record_id, 'received' AS new_status FROM inventory_records
+WHERE upper(trim(status)) <> 'SHIPPED' AND shipment_id IN (
+  SELECT try_cast(json_extract_string(payload, '$.shipment_id') AS bigint) FROM commands WHERE command_type = 'inventory.release')""")
 def t6a(t):
     updates, _ = sagas.apply_release(t.commands, t.inventory_records)
     return updates
