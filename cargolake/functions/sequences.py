@@ -37,6 +37,26 @@ def hour_chunk(ts_col: str) -> Column:
     return F.date_trunc("hour", F.col(ts_col))
 
 
+def seq_chunk(seq_col: str, rows: int = 1 << 16) -> Column:
+    """Chunking by ranges of a whole-number sequence column."""
+    return F.floor(F.col(seq_col) / F.lit(rows))
+
+
+def keyed_last(df: DataFrame, key: list[str], order: list[str], value: str, chunk: Column, name: str) -> DataFrame:
+    """Add ``name``: the last known (non-null) ``value`` in an earlier row of the
+    same key (null: none)."""
+    s = df.withColumn("_chunk", chunk)
+    before = Window.partitionBy(*key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    local = s.withColumn("_near", F.last(value, ignorenulls=True).over(before))
+    last = (s.groupBy(*key, "_chunk")
+            .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*[F.col(c) for c in order]))).alias("_known")))
+    earlier = (Window.partitionBy(*key).orderBy(F.col("_chunk").asc_nulls_first())
+               .rowsBetween(Window.unboundedPreceding, -1))
+    carry = last.withColumn("_far", F.last("_known", ignorenulls=True).over(earlier)).select(*key, "_chunk", "_far")
+    out = _join_null_safe(local, carry, [*key, "_chunk"])
+    return out.withColumn(name, F.coalesce("_near", "_far")).drop("_near", "_far", "_chunk")
+
+
 def keyed_lag(df: DataFrame, key: list[str], order: list[str], cols: list[str], chunk: Column,
               prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>``: the value of ``c`` in the previous row of the same key

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cargolake import schemas
 from cargolake.functions.common import is_distinct, ts_lit
-from cargolake.functions.sequences import hour_chunk, keyed_lag
+from cargolake.functions.sequences import hour_chunk, keyed_lag, keyed_last, seq_chunk
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -135,11 +135,13 @@ SHIPMENT_VERBS = {  # verb -> resulting status (fixed values)
 
 
 def apply_shipment_verbs(shipments: DataFrame, verbs: DataFrame, as_of: str) -> DataFrame:
-    """Lifecycle setters (they do NOT check H5).  The last verb per
-    shipment wins; ``deliver`` also sets arrival_date to the as_of date."""
+    """Lifecycle setters (they do NOT check H5), applied in order.  The
+    last verb per shipment gives the status; any ``deliver`` sets arrival_date
+    to the as_of date, also when other verbs follow it."""
     m = F.create_map(*[x for kv in SHIPMENT_VERBS.items() for x in (F.lit(kv[0]), F.lit(kv[1]))])
-    v = verbs.select("shipment_id", "verb_seq", m[F.col("verb")].alias("status")).where(F.col("status").isNotNull())
-    last = (v.groupBy("shipment_id").agg(F.max_by("status", "verb_seq").alias("_new"))
+    v = verbs.select("shipment_id", "verb_seq", "verb", m[F.col("verb")].alias("status")).where(F.col("status").isNotNull())
+    last = (v.groupBy("shipment_id").agg(F.max_by("status", "verb_seq").alias("_new"),
+                                         F.bool_or(F.col("verb") == "deliver").alias("_arrived"))
             .withColumn("_hit", F.lit(True)))
     j = shipments.join(last, "shipment_id", "left")
     now = ts_lit(as_of)
@@ -148,7 +150,7 @@ def apply_shipment_verbs(shipments: DataFrame, verbs: DataFrame, as_of: str) ->
         if c == "status":
             out.append(F.coalesce("_new", "status").alias(c))
         elif c == "arrival_date":
-            out.append(F.when(F.col("_new") == "delivered", F.to_date(now)).otherwise(F.col(c)).alias(c))
+            out.append(F.when(F.col("_arrived"), F.to_date(now)).otherwise(F.col(c)).alias(c))
         elif c == "updated_at":
             out.append(F.when(F.col("_hit"), now).otherwise(F.col(c)).alias(c))
         else:
@@ -156,45 +158,116 @@ def apply_shipment_verbs(shipments: DataFrame, verbs: DataFrame, as_of: str) ->
     return j.select(*out)
 
 
+def _first(condition: Column, seq: str) -> Column:
+    """Sequence number of the first row that meets ``condition`` (null: none)."""
+    return F.min(F.when(condition, F.col(seq)))
+
+
+def _passed(mark: str, seq: str) -> Column:
+    """True when the marked request came before this one."""
+    return F.coalesce(F.col(mark) < F.col(seq), F.lit(False))
+
+
 def delivery_guard(deliveries: DataFrame, requests: DataFrame) -> DataFrame:
-    """H6: evaluate delivery verbs against the stored status.
-    received / in_transit refused after DELIVERED; confirm needs DELIVERED;
-    deliver always applies (and sets actual_arrival).  One row per request
-    with accepted flag, resulting status and reason."""
-    j = requests.join(deliveries.select("delivery_id", F.upper(F.trim("status")).alias("current")), "delivery_id", "left")
-    verb = F.col("verb")
-    missing = F.col("current").isNull()
-    refused = (F.when(missing, F.lit("delivery_not_found"))
+    """H6: delivery verbs in order, each against the status its predecessors
+    left.  received / in_transit are refused in DELIVERED; confirm needs
+    DELIVERED; deliver always applies and sets actual_arrival.
+
+    Set-based fold: a deliver starts a new segment in DELIVERED.  There the
+    first confirm is accepted (CONFIRMED), the first in_transit after it gives
+    IN_TRANSIT, and neither a confirm nor an in_transit changes that again.  In
+    a segment that starts elsewhere only the first in_transit changes the
+    status.  So two small aggregates per segment give every request its state;
+    no key is folded in one task."""
+    chunk = seq_chunk("request_seq")
+    state = deliveries.select("delivery_id", F.upper(F.trim("status")).alias("_start"))
+    r = keyed_last(requests.withColumn("_own", F.when(F.col("verb") == "deliver", F.col("request_seq"))),
+                   ["delivery_id"], ["request_seq"], "_own", chunk, "_segment").drop("_own")
+    r = r.join(state, "delivery_id", "left").withColumn(
+        "_start", F.when(F.col("_segment").isNotNull() & F.col("_start").isNotNull(), F.lit("DELIVERED")).otherwise(F.col("_start")))
+    r = r.withColumn("_segment", F.coalesce("_segment", F.lit(-1)))
+    key, verb = ["delivery_id", "_segment"], F.col("verb")
+    confirms = r.where((F.col("_start") == "DELIVERED") & (verb == "confirm")).groupBy(*key).agg(F.min("request_seq").alias("_confirm"))
+    r = r.join(confirms, key, "left")
+    moving = (verb == "in_transit") & ((F.col("_start") != "DELIVERED") | _passed("_confirm", "request_seq"))
+    r = r.join(r.where(moving).groupBy(*key).agg(F.min("request_seq").alias("_moved")), key, "left")
+    current = (F.when(_passed("_moved", "request_seq"), F.lit("IN_TRANSIT"))
+               .when(_passed("_confirm", "request_seq"), F.lit("CONFIRMED")).otherwise(F.col("_start")))
+    r = r.withColumn("current", current)
+    refused = (F.when(F.col("current").isNull(), F.lit("delivery_not_found"))
                .when(verb.isin("receive", "in_transit") & (F.col("current") == "DELIVERED"), F.lit("already_delivered"))
                .when((verb == "confirm") & (F.col("current") != "DELIVERED"), F.lit("not_delivered")))
     new_status = (F.when(verb == "in_transit", F.lit("IN_TRANSIT")).when(verb == "deliver", F.lit("DELIVERED"))
                   .when(verb == "confirm", F.lit("CONFIRMED")).otherwise(F.col("current")))
-    return j.select("request_seq", "delivery_id", "verb", F.col("current").alias("current_status"),
+    return r.select("request_seq", "delivery_id", "verb", F.col("current").alias("current_status"),
                     refused.isNull().alias("accepted"),
                     F.when(refused.isNull(), new_status).otherwise(F.col("current")).alias("resulting_status"),
+                    F.when(refused.isNull() & (verb == "deliver"), F.col("arrival")).alias("actual_arrival"),
                     refused.alias("reason"))
 
 
+def apply_delivery_requests(deliveries: DataFrame, guarded: DataFrame, as_of: str) -> DataFrame:
+    """H6: the snapshot after all accepted requests; every accepted one touches
+    updated_at, the last deliver gives actual_arrival."""
+    seq = F.col("request_seq")
+    last = guarded.where("accepted").groupBy("delivery_id").agg(
+        F.max_by("resulting_status", seq).alias("_new"),
+        F.max_by("actual_arrival", F.when(F.col("verb") == "deliver", seq)).alias("_arrival"),
+        F.bool_or(F.col("verb") == "deliver").alias("_arrived"),
+        F.bool_or(F.upper(F.trim("resulting_status")) != F.col("current_status")).alias("_moved"))
+    moved = F.coalesce("_moved", F.lit(False))
+    values = {"status": F.when(moved, F.col("_new")).otherwise(F.col("status")),
+              "actual_arrival": F.when(F.col("_arrived"), F.col("_arrival")).otherwise(F.col("actual_arrival")),
+              "updated_at": F.when(F.col("_new").isNotNull(), ts_lit(as_of)).otherwise(F.col("updated_at"))}
+    return deliveries.join(last, "delivery_id", "left").select(
+        *[values[c].alias(c) if c in values else F.col(c) for c in deliveries.columns])
+
+
 def inventory_guard(records: DataFrame, requests: DataFrame) -> DataFrame:
-    """H7: SHIPPED is terminal (SHIPPED -> SHIPPED is allowed)."""
-    j = requests.join(records.select("record_id", F.upper(F.trim("status")).alias("current")), "record_id", "inner")
-    refused = (F.col("current") == "SHIPPED") & (F.upper(F.trim("new_status")) != "SHIPPED")
-    return j.select("record_id", "new_status", F.col("current").alias("current_status"), (~refused).alias("accepted"))
+    """H7: status requests in order; SHIPPED is terminal (SHIPPED -> SHIPPED is
+    allowed), so every request before the first SHIPPED applies and only that
+    status follows it.  Unknown records are refused."""
+    r = keyed_lag(requests.withColumn("_asked", F.upper(F.trim("new_status"))), ["record_id"], ["request_seq"],
+                  ["_asked"], seq_chunk("request_seq"))
+    shipped = requests.groupBy("record_id").agg(_first(F.upper(F.trim("new_status")) == "SHIPPED", "request_seq").alias("_shipped"))
+    r = r.join(shipped, "record_id", "left").join(records.select("record_id", F.upper(F.trim("status")).alias("_start")), "record_id", "left")
+    current = (F.when(F.col("_start").isNull(), F.lit(None)).when(F.col("_start") == "SHIPPED", F.lit("SHIPPED"))
+               .when(_passed("_shipped", "request_seq"), F.lit("SHIPPED"))
+               .otherwise(F.coalesce("prev__asked", "_start")))
+    r = r.withColumn("current_status", current)
+    reason = (F.when(F.col("current_status").isNull(), F.lit("record_not_found"))
+              .when((F.col("current_status") == "SHIPPED") & (F.col("_asked") != "SHIPPED"), F.lit("already_shipped")))
+    return r.select("request_seq", "record_id", "new_status", "current_status", reason.isNull().alias("accepted"), reason.alias("reason"))
 
 
 def saga_guard(sagas: DataFrame, requests: DataFrame) -> DataFrame:
-    """H8: complete only from STARTED (otherwise a no-op, not an error);
-    compensate refused from COMPLETED / FAILED; fail always applies."""
-    j = requests.join(sagas.select("saga_id", F.upper(F.trim("status")).alias("current")), "saga_id", "inner")
-    action = F.col("action")
-    outcome = (F.when(action == "complete", F.when(F.col("current") == "STARTED", "applied").otherwise("noop"))
+    """H8: requests in order; complete only from STARTED (otherwise a no-op, not
+    an error); compensate refused from COMPLETED / FAILED; fail always applies.
+
+    Set-based fold: FAILED is never left, so the first fail decides everything
+    after it; before it, the first complete or compensate to come decides (a
+    STARTED saga takes either, a CANCELLED one only the compensate)."""
+    action, seq = F.col("action"), "request_seq"
+    marks = requests.groupBy("saga_id").agg(_first(action == "fail", seq).alias("_fail"),
+                                            _first(action == "complete", seq).alias("_complete"),
+                                            _first(action == "compensate", seq).alias("_compensate"))
+    r = (requests.join(marks, "saga_id", "left")
+         .join(sagas.select("saga_id", F.upper(F.trim("status")).alias("_start")), "saga_id", "left"))
+    completes = ((F.col("_start") == "STARTED") & _passed("_complete", seq)
+                 & (F.col("_compensate").isNull() | (F.col("_complete") < F.col("_compensate"))))
+    compensates = ~F.col("_start").isin("COMPLETED", "FAILED") & _passed("_compensate", seq)
+    current = (F.when(F.col("_start").isNull(), F.lit(None)).when(_passed("_fail", seq), F.lit("FAILED"))
+               .when(completes, F.lit("COMPLETED")).when(compensates, F.lit("COMPENSATING")).otherwise(F.col("_start")))
+    r = r.withColumn("current", current)
+    outcome = (F.when(F.col("current").isNull(), F.lit("saga_not_found"))
+               .when(action == "complete", F.when(F.col("current") == "STARTED", "applied").otherwise("noop"))
                .when(action == "compensate",
                      F.when(F.col("current").isin("COMPLETED", "FAILED"), "refused").otherwise("applied"))
                .when(action == "fail", F.lit("applied")).otherwise(F.lit("unknown_action")))
     result = (F.when(outcome != "applied", F.col("current"))
               .when(action == "complete", "COMPLETED").when(action == "compensate", "COMPENSATING")
               .otherwise("FAILED"))
-    return j.select("request_seq", "saga_id", "action", F.col("current").alias("current_status"),
+    return r.select("request_seq", "saga_id", "action", F.col("current").alias("current_status"),
                     outcome.alias("outcome"), result.alias("resulting_status"))
 
 

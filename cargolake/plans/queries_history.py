@@ -100,48 +100,105 @@ def h5(t):
 @query("H5b_shipment_verbs", f"""
 WITH m(verb, status) AS (VALUES ('receive', 'received'), ('ready', 'ready_for_delivery'), ('dispatch', 'in_transit'),
                                 ('deliver', 'delivered'), ('complete', 'completed')),
-last AS (SELECT v.shipment_id, arg_max(m.status, v.verb_seq) AS new_status
-         FROM shipment_verbs v JOIN m ON v.verb = m.verb GROUP BY v.shipment_id)
-SELECT s.shipment_id, s.origin, s.destination, coalesce(l.new_status, s.status) AS status, s.departure_date,
-       CASE WHEN l.new_status = 'delivered' THEN cast({_T} as date) ELSE s.arrival_date END AS arrival_date,
+newest AS (SELECT v.shipment_id, m.status, row_number() OVER (PARTITION BY v.shipment_id ORDER BY v.verb_seq DESC) AS rn
+           FROM shipment_verbs v JOIN m ON v.verb = m.verb)
+SELECT s.shipment_id, s.origin, s.destination, coalesce(l.status, s.status) AS status, s.departure_date,
+       CASE WHEN s.shipment_id IN (SELECT shipment_id FROM shipment_verbs WHERE verb = 'deliver')
+            THEN cast({_T} as date) ELSE s.arrival_date END AS arrival_date,
        s.created_at, CASE WHEN l.shipment_id IS NOT NULL THEN {_T} ELSE s.updated_at END AS updated_at
-FROM shipments s LEFT JOIN last l ON s.shipment_id = l.shipment_id""")
+FROM shipments s LEFT JOIN newest l ON s.shipment_id = l.shipment_id AND l.rn = 1""")
 def h5b(t):
     return h.apply_shipment_verbs(t.shipments, t.shipment_verbs, NOW)
 
 
-@query("H6_delivery_guard", """
-SELECT r.request_seq, r.delivery_id, r.verb, upper(trim(d.status)) AS current_status,
-       reason IS NULL AS accepted,
-       CASE WHEN reason IS NOT NULL THEN upper(trim(d.status))
-            WHEN r.verb = 'in_transit' THEN 'IN_TRANSIT' WHEN r.verb = 'deliver' THEN 'DELIVERED'
-            WHEN r.verb = 'confirm' THEN 'CONFIRMED' ELSE upper(trim(d.status)) END AS resulting_status,
-       reason
-FROM delivery_requests r LEFT JOIN deliveries d ON r.delivery_id = d.delivery_id,
-LATERAL (SELECT CASE WHEN d.delivery_id IS NULL THEN 'delivery_not_found'
-                     WHEN r.verb IN ('receive', 'in_transit') AND upper(trim(d.status)) = 'DELIVERED' THEN 'already_delivered'
-                     WHEN r.verb = 'confirm' AND upper(trim(d.status)) <> 'DELIVERED' THEN 'not_delivered' END AS reason) x""")
+# The oracles of the guards fold request after request in a recursive query.
+_H6_FOLD = """WITH RECURSIVE q AS (
+  SELECT *, row_number() OVER (PARTITION BY delivery_id ORDER BY request_seq) AS rn FROM delivery_requests),
+fold AS (
+  SELECT q.request_seq, q.delivery_id, q.verb, q.arrival, q.rn, upper(trim(d.status)) AS before,
+         CASE WHEN q.verb = 'deliver' THEN 'DELIVERED'
+              WHEN q.verb = 'in_transit' AND upper(trim(d.status)) <> 'DELIVERED' THEN 'IN_TRANSIT'
+              WHEN q.verb = 'confirm' AND upper(trim(d.status)) = 'DELIVERED' THEN 'CONFIRMED'
+              ELSE upper(trim(d.status)) END AS later
+  FROM q JOIN deliveries d ON q.delivery_id = d.delivery_id WHERE q.rn = 1
+  UNION ALL
+  SELECT q.request_seq, q.delivery_id, q.verb, q.arrival, q.rn, f.later,
+         CASE WHEN q.verb = 'deliver' THEN 'DELIVERED'
+              WHEN q.verb = 'in_transit' AND f.later <> 'DELIVERED' THEN 'IN_TRANSIT'
+              WHEN q.verb = 'confirm' AND f.later = 'DELIVERED' THEN 'CONFIRMED' ELSE f.later END
+  FROM fold f JOIN q ON q.delivery_id = f.delivery_id AND q.rn = f.rn + 1),
+judged AS (
+  SELECT request_seq, delivery_id, verb, before AS current_status,
+         CASE WHEN verb IN ('receive', 'in_transit') AND before = 'DELIVERED' THEN 'already_delivered'
+              WHEN verb = 'confirm' AND before <> 'DELIVERED' THEN 'not_delivered' END AS reason,
+         later AS resulting_status, arrival FROM fold
+  UNION ALL
+  SELECT request_seq, delivery_id, verb, NULL, 'delivery_not_found', NULL, NULL FROM delivery_requests
+  WHERE delivery_id NOT IN (SELECT delivery_id FROM deliveries))"""
+
+
+@query("H6_delivery_guard", f"""
+{_H6_FOLD}
+SELECT request_seq, delivery_id, verb, current_status, reason IS NULL AS accepted, resulting_status,
+       CASE WHEN verb = 'deliver' THEN arrival END AS actual_arrival, reason FROM judged""")
 def h6(t):
     return h.delivery_guard(t.deliveries, t.delivery_requests)
 
 
+@query("H6_delivery_snapshot", f"""
+{_H6_FOLD},
+ended AS (SELECT delivery_id, arg_max(resulting_status, request_seq) AS status FROM judged WHERE reason IS NULL GROUP BY 1),
+came AS (SELECT delivery_id, arg_max(arrival, request_seq) AS at FROM judged WHERE verb = 'deliver' AND reason IS NULL GROUP BY 1)
+SELECT d.delivery_id, d.shipment_id, d.courier_id, coalesce(e.status, d.status) AS status, d.estimated_arrival,
+       CASE WHEN c.delivery_id IS NOT NULL THEN c.at ELSE d.actual_arrival END AS actual_arrival, d.created_at,
+       CASE WHEN e.delivery_id IS NOT NULL THEN {_T} ELSE d.updated_at END AS updated_at
+FROM deliveries d LEFT JOIN ended e ON d.delivery_id = e.delivery_id LEFT JOIN came c ON d.delivery_id = c.delivery_id""")
+def h6_snapshot(t):
+    return h.apply_delivery_requests(t.deliveries, h.delivery_guard(t.deliveries, t.delivery_requests), NOW)
+
+
 @query("H7_inventory_guard", """
-SELECT q.record_id, q.new_status, upper(trim(r.status)) AS current_status,
-       NOT (upper(trim(r.status)) = 'SHIPPED' AND upper(trim(q.new_status)) <> 'SHIPPED') AS accepted
-FROM inventory_requests q JOIN inventory_records r ON q.record_id = r.record_id""")
+WITH RECURSIVE q AS (
+  SELECT *, upper(trim(new_status)) AS asked, row_number() OVER (PARTITION BY record_id ORDER BY request_seq) AS rn FROM inventory_requests),
+fold AS (
+  SELECT q.request_seq, q.record_id, q.new_status, q.asked, q.rn, upper(trim(r.status)) AS before,
+         CASE WHEN upper(trim(r.status)) = 'SHIPPED' THEN 'SHIPPED' ELSE q.asked END AS later
+  FROM q JOIN inventory_records r ON q.record_id = r.record_id WHERE q.rn = 1
+  UNION ALL
+  SELECT q.request_seq, q.record_id, q.new_status, q.asked, q.rn, f.later,
+         CASE WHEN f.later = 'SHIPPED' THEN 'SHIPPED' ELSE q.asked END
+  FROM fold f JOIN q ON q.record_id = f.record_id AND q.rn = f.rn + 1)
+SELECT request_seq, record_id, new_status, before AS current_status, NOT (before = 'SHIPPED' AND asked <> 'SHIPPED') AS accepted,
+       CASE WHEN before = 'SHIPPED' AND asked <> 'SHIPPED' THEN 'already_shipped' END AS reason FROM fold
+UNION ALL
+SELECT request_seq, record_id, new_status, NULL, false, 'record_not_found' FROM inventory_requests
+WHERE record_id NOT IN (SELECT record_id FROM inventory_records)""")
 def h7(t):
     return h.inventory_guard(t.inventory_records, t.inventory_requests)
 
 
 @query("H8_saga_guard", """
-SELECT request_seq, saga_id, action, current_status, outcome,
-       CASE WHEN outcome <> 'applied' THEN current_status WHEN action = 'complete' THEN 'COMPLETED'
-            WHEN action = 'compensate' THEN 'COMPENSATING' ELSE 'FAILED' END AS resulting_status
-FROM (SELECT q.request_seq, q.saga_id, q.action, upper(trim(s.status)) AS current_status,
-             CASE WHEN q.action = 'complete' THEN CASE WHEN upper(trim(s.status)) = 'STARTED' THEN 'applied' ELSE 'noop' END
-                  WHEN q.action = 'compensate' THEN CASE WHEN upper(trim(s.status)) IN ('COMPLETED', 'FAILED') THEN 'refused' ELSE 'applied' END
-                  WHEN q.action = 'fail' THEN 'applied' ELSE 'unknown_action' END AS outcome
-      FROM saga_requests q JOIN saga_instances s ON q.saga_id = s.saga_id) x""")
+WITH RECURSIVE q AS (
+  SELECT *, row_number() OVER (PARTITION BY saga_id ORDER BY request_seq) AS rn FROM saga_requests),
+fold AS (
+  SELECT q.request_seq, q.saga_id, q.action, q.rn, upper(trim(s.status)) AS before,
+         CASE WHEN q.action = 'fail' THEN 'FAILED'
+              WHEN q.action = 'complete' AND upper(trim(s.status)) = 'STARTED' THEN 'COMPLETED'
+              WHEN q.action = 'compensate' AND upper(trim(s.status)) NOT IN ('COMPLETED', 'FAILED') THEN 'COMPENSATING'
+              ELSE upper(trim(s.status)) END AS later
+  FROM q JOIN saga_instances s ON q.saga_id = s.saga_id WHERE q.rn = 1
+  UNION ALL
+  SELECT q.request_seq, q.saga_id, q.action, q.rn, f.later,
+         CASE WHEN q.action = 'fail' THEN 'FAILED' WHEN q.action = 'complete' AND f.later = 'STARTED' THEN 'COMPLETED'
+              WHEN q.action = 'compensate' AND f.later NOT IN ('COMPLETED', 'FAILED') THEN 'COMPENSATING' ELSE f.later END
+  FROM fold f JOIN q ON q.saga_id = f.saga_id AND q.rn = f.rn + 1)
+SELECT request_seq, saga_id, action, before AS current_status,
+       CASE WHEN action = 'complete' AND before <> 'STARTED' THEN 'noop'
+            WHEN action = 'compensate' AND before IN ('COMPLETED', 'FAILED') THEN 'refused' ELSE 'applied' END AS outcome,
+       later AS resulting_status FROM fold
+UNION ALL
+SELECT request_seq, saga_id, action, NULL, 'saga_not_found', NULL FROM saga_requests
+WHERE saga_id NOT IN (SELECT saga_id FROM saga_instances)""")
 def h8(t):
     return h.saga_guard(t.saga_instances, t.saga_requests)
 

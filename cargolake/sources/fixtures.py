@@ -58,18 +58,17 @@ FROM supplier""",
     "deliveries": """
 SELECT o_orderkey AS delivery_id,
        o_orderkey AS shipment_id,
-       o_custkey % (select count(*) from supplier) AS courier_id,
+       o_custkey % (select cast(ceil(count(*) * 0.9) as bigint) from supplier) AS courier_id,
        case o_orderkey % 6 when 0 then 'ASSIGNED' when 1 then 'PICKED_UP' when 2 then 'IN_TRANSIT'
             when 3 then 'DELIVERED' when 4 then 'FAILED' else 'CANCELLED' end AS status,
        o_orderdate + interval '1' day * 5 AS estimated_arrival,
        case when o_orderkey % 6 = 3 then o_orderdate + interval '1' day * (cast(o_orderkey % 11 as int) - 1) end AS actual_arrival,
        o_orderdate AS created_at,
        o_orderdate + interval '1' day * cast(o_orderkey % 11 as int) AS updated_at
-FROM orders
-WHERE o_orderkey % 4 <> 3""",
+FROM orders""",
     "delivery_tracking_points": """
 SELECT event_id AS tracking_id,
-       event_id % (select count(*) from orders) AS delivery_id,
+       event_id % (select cast(ceil(count(*) * 1.25) as bigint) from orders) AS delivery_id,
        cast(cast(event_id % 181 as int) - 90 as decimal(10,8)) AS latitude,
        cast(cast(event_id % 361 as int) - 180 as decimal(11,8)) AS longitude,
        case when event_type = 'error' then null else cast(event_id % 50 as int) end AS accuracy_meters,
@@ -132,21 +131,21 @@ SELECT event_id AS record_id,
        case event_id % 3 when 0 then 'ethereum' when 1 then 'polygon' else 'sepolia' end AS network
 FROM events""",
     "receipts": """
-SELECT concat('0x', md5(cast(event_id as string))) AS tx_hash,
+SELECT concat('0x', md5(cast(case when event_id % 4 = 0 then -event_id - 1 else event_id end as string))) AS tx_hash,
        100000 + event_id AS block_number,
        cast(event_id % 12 as int) AS confirmations,
        case when event_id % 7 = 0 then 'failed' else 'success' end AS status,
        cast(21000 + event_id % 1000 as bigint) AS gas_used,
        ts + interval '1' minute AS block_time
 FROM events
-WHERE event_type = 'purchase' and event_id % 4 <> 0""",
+WHERE event_type = 'purchase'""",
     "domain_events": """
 SELECT event_id AS event_id,
        case event_type when 'error' then 'delivery.failed' when 'click' then 'courier.unassigned'
             when 'view' then 'inventory.insufficient' when 'purchase' then 'shipment.updated' else 'shipment.created' end AS event_type,
        user_id AS aggregate_id,
        case when event_id % 10 = 0 then null
-            else (event_id * 7) % 400 + (case when event_id % 8 = 0 then 100000000 else 0 end) end AS correlation_id,
+            else (event_id * 7) % (select cast(ceil(count(*) / 40) as bigint) from orders) + (case when event_id % 8 = 0 then 100000000 else 0 end) end AS correlation_id,
        case when event_id % 3 = 0 then '{}' else concat('{"reason":"r', cast(event_id % 9 as string), '"}') end AS payload,
        ts AS ts
 FROM events""",
@@ -195,11 +194,11 @@ SELECT change_seq AS patch_seq, shipment_id,
        case when change_seq % 7 = 0 then concat('{"country":"PATCHED","city":"C', cast(change_seq % 10 as string), '","address":""}') end AS destination
 FROM shipment_changes""",
     "delivery_patches": """
-SELECT event_id AS patch_seq, aggregate_id AS delivery_id,
+SELECT event_id AS patch_seq, case when event_id % 11 = 0 then -event_id - 1 else aggregate_id end AS delivery_id,
        case when event_id % 2 = 0 then 'IN_TRANSIT' end AS status,
        case when event_id % 5 = 0 then ts end AS actual_arrival,
        case when event_id % 3 = 0 then ts + interval '2' day end AS estimated_arrival,
-       case when event_id % 4 = 0 then event_id % 120 end AS courier_id
+       case when event_id % 4 = 0 then event_id % (select cast(ceil(count(*) * 1.2) as bigint) from supplier) end AS courier_id
 FROM domain_events""",
     "saga_context_patches": """
 SELECT event_id AS patch_seq, correlation_id AS saga_id,
@@ -209,7 +208,7 @@ FROM domain_events WHERE correlation_id IS NOT NULL""",
     "item_quantity_changes": """
 SELECT item_id, case when quantity % 3 = 0 then -quantity else 1 end AS delta FROM items""",
     "courier_contact_changes": """
-SELECT event_id AS change_seq, event_id % 100 AS courier_id,
+SELECT event_id AS change_seq, event_id % (select cast(ceil(count(*) * 1.1) as bigint) from supplier) AS courier_id,
        concat('{"phone":"+7901', cast(event_id as string), '"}') AS contact_info
 FROM events WHERE event_type = 'signup'""",
     "token_presentations": """
@@ -229,23 +228,29 @@ SELECT event_id AS verb_seq, user_id AS shipment_id,
             when 'signup' then 'deliver' else 'complete' end AS verb
 FROM events""",
     "delivery_requests": """
-SELECT event_id AS request_seq, user_id AS delivery_id,
+SELECT event_id AS request_seq, case when event_id % 13 = 0 then -event_id - 1 else user_id end AS delivery_id,
        case event_type when 'view' then 'receive' when 'click' then 'in_transit' when 'purchase' then 'deliver'
-            when 'signup' then 'confirm' else 'ready' end AS verb
+            when 'signup' then 'confirm' else 'ready' end AS verb,
+       case when event_type = 'purchase' then ts end AS arrival
 FROM events""",
     "inventory_requests": """
-SELECT record_id, case when shipment_id % 2 = 0 then 'stored' else 'shipped' end AS new_status FROM inventory_records""",
+SELECT record_id, 1 AS request_seq, case when shipment_id % 2 = 0 then 'stored' else 'shipped' end AS new_status FROM inventory_records
+UNION ALL
+SELECT case when shipment_id % 9 = 0 then concat('unknown-', record_id) else record_id end AS record_id, 2 AS request_seq,
+       case when shipment_id % 3 = 0 then 'shipped' else 'ready_for_delivery' end AS new_status FROM inventory_records
+UNION ALL
+SELECT record_id, 3 AS request_seq, 'stored' AS new_status FROM inventory_records WHERE status <> 'shipped'""",
     "saga_requests": """
 SELECT event_id AS request_seq, correlation_id AS saga_id,
        case event_type when 'shipment.updated' then 'complete' when 'courier.unassigned' then 'compensate'
             when 'delivery.failed' then 'fail' else 'complete' end AS action
 FROM domain_events WHERE correlation_id IS NOT NULL""",
     "courier_assignments": """
-SELECT event_id AS assign_seq, aggregate_id AS delivery_id, event_id % 100 AS courier_id
+SELECT event_id AS assign_seq, aggregate_id AS delivery_id, event_id % (select count(*) from supplier) AS courier_id
 FROM domain_events WHERE event_type = 'courier.unassigned'""",
 })
 
-_CONF_COLS = """event_id AS record_id,
+_CONF_COLS = """case when event_id % 10 = 0 then -event_id - 1 else event_id end AS record_id,
        100000 + event_id + k AS block_number,
        cast(k * (event_id % 5) as int) AS confirmation_count,
        ts + interval '1' minute * k AS checked_at"""
@@ -253,8 +258,8 @@ _CONF_COLS = """event_id AS record_id,
 # Views whose text differs between the engines: (spark, duckdb).
 ENGINE_VIEWS: dict[str, tuple[str, str]] = {
     "transaction_confirmations": (
-        f"SELECT {_CONF_COLS}\nFROM events LATERAL VIEW explode(array(1, 2, 3)) z AS k\nWHERE event_id % 10 <> 0",
-        f"SELECT {_CONF_COLS}\nFROM events, unnest([1, 2, 3]) z(k)\nWHERE event_id % 10 <> 0",
+        f"SELECT {_CONF_COLS}\nFROM events LATERAL VIEW explode(array(1, 2, 3)) z AS k",
+        f"SELECT {_CONF_COLS}\nFROM events, unnest([1, 2, 3]) z(k)",
     ),
     # Distinct lower-case message tokens, each mapped to an embedding row by
     # the first 32 bits of md5(word), modulo the embedding row count.
@@ -313,6 +318,9 @@ def with_views(sql: str, engine: str = "duckdb") -> str:
         return sql
     ctes = ",\n".join(f"{n} AS ({view_sql(n, engine)}\n)" for n in ordered)
     body = sql.strip()
+    recursive = re.match(r"(?i)^with\s+recursive\s", body)
+    if recursive:
+        return f"WITH RECURSIVE {ctes},\n{body[recursive.end():]}"
     if re.match(r"(?i)^with\s", body):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cargolake.functions.common import seconds_between
 from cargolake.functions.sequences import hour_chunk, keyed_lag, keyed_position
-from cargolake.operators import chain, events, quality, reads, sagas, writes
+from cargolake.operators import chain, events, history, quality, reads, sagas, writes
 from cargolake.sources import envelopes
 from cargolake.streaming import feeds
 from cargolake.streaming.sagas import saga_state_machine
@@ -125,3 +125,49 @@ def test_open_windows_are_in_the_drained_result(spark, tmp_path):
     stream = feeds.windowed_request_rate(feeds.replay_files(spark, log, "service string, ts timestamp"))
     out = feeds.run_upserts(stream, str(tmp_path / "out"), str(tmp_path / "ckpt"), ["service", "window_start"])
     assert sorted(round(r.per_second * 60) for r in out.collect()) == [1, 1, 2]
+
+
+def _rows(df, *cols):
+    return [tuple(r[c] for c in cols) for r in df.collect()]
+
+
+def test_arrival_date_survives_a_later_verb(spark):
+    ships = spark.createDataFrame([(1, "in_transit", None, at(0))], "shipment_id long, status string, arrival_date date, updated_at timestamp_ntz")
+    verbs = spark.createDataFrame([(1, 1, "deliver"), (1, 2, "complete")], "shipment_id long, verb_seq long, verb string")
+    out = history.apply_shipment_verbs(ships, verbs, "2024-01-02 00:00:00").first()
+    assert out.status == "completed" and out.arrival_date == dt.date(2024, 1, 2)
+
+
+def test_delivery_requests_see_their_predecessors(spark):
+    kept = spark.createDataFrame([(1, "ASSIGNED")], "delivery_id long, status string")
+    asked = spark.createDataFrame(
+        [(1, 1, "confirm", None), (2, 1, "deliver", at(5)), (3, 1, "in_transit", None), (4, 1, "confirm", None), (5, 1, "confirm", None),
+         (6, 1, "in_transit", None), (7, 1, "confirm", None), (8, 9, "deliver", at(6)), (70000, 1, "deliver", at(7)), (70001, 1, "receive", None)],
+        "request_seq long, delivery_id long, verb string, arrival timestamp_ntz")
+    out = history.delivery_guard(kept, asked).orderBy("request_seq")
+    assert _rows(out, "current_status", "reason") == [
+        ("ASSIGNED", "not_delivered"), ("ASSIGNED", None), ("DELIVERED", "already_delivered"), ("DELIVERED", None),
+        ("CONFIRMED", "not_delivered"), ("CONFIRMED", None), ("IN_TRANSIT", "not_delivered"), (None, "delivery_not_found"),
+        ("IN_TRANSIT", None), ("DELIVERED", "already_delivered")]
+    assert [r.actual_arrival for r in out.collect()].count(at(7)) == 1
+
+
+def test_inventory_requests_stop_at_shipped(spark):
+    kept = spark.createDataFrame([("a", "stored")], "record_id string, status string")
+    asked = spark.createDataFrame([(1, "a", "received"), (2, "a", "shipped"), (3, "a", "stored"), (4, "a", "shipped"), (5, "b", "stored")],
+                                  "request_seq long, record_id string, new_status string")
+    out = history.inventory_guard(kept, asked).orderBy("request_seq")
+    assert _rows(out, "current_status", "accepted", "reason") == [
+        ("STORED", True, None), ("RECEIVED", True, None), ("SHIPPED", False, "already_shipped"), ("SHIPPED", True, None),
+        (None, False, "record_not_found")]
+
+
+def test_saga_requests_see_their_predecessors(spark):
+    kept = spark.createDataFrame([(1, "STARTED"), (2, "CANCELLED")], "saga_id long, status string")
+    asked = spark.createDataFrame(
+        [(1, 1, "complete"), (2, 1, "compensate"), (3, 1, "fail"), (4, 1, "complete"), (5, 2, "complete"), (6, 2, "compensate"),
+         (7, 2, "complete"), (8, 2, "fail"), (9, 2, "compensate"), (10, 3, "fail")], "request_seq long, saga_id long, action string")
+    out = history.saga_guard(kept, asked).orderBy("request_seq")
+    assert _rows(out, "outcome", "resulting_status") == [
+        ("applied", "COMPLETED"), ("refused", "COMPLETED"), ("applied", "FAILED"), ("noop", "FAILED"), ("noop", "CANCELLED"),
+        ("applied", "COMPENSATING"), ("noop", "COMPENSATING"), ("applied", "FAILED"), ("refused", "FAILED"), ("saga_not_found", None)]
