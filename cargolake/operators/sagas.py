@@ -29,11 +29,11 @@ def plan_compensation(events: DataFrame, sagas: DataFrame) -> tuple[DataFrame, D
     failures = events.where(F.col("event_type").isin(*schemas.COMPENSATION_TRIGGER_EVENTS))
     s = sagas.select(F.col("saga_id").alias("_sid"), F.upper(F.trim("status")).alias("saga_status"),
                      "shipment_id", "warehouse_id", "delivery_id", "saga_type")
-    j = failures.join(s, failures["correlation_id"] == s["_sid"], "left")
+    # events without a correlation id stay out of the joins: a null is one hot key
+    named = failures.where(F.col("correlation_id").isNotNull())
+    j = named.join(s, named["correlation_id"] == s["_sid"], "left")
     final_or_comp = F.col("saga_status").isin("COMPLETED", "COMPENSATING", "FAILED", "CANCELLED")
-    pre = (F.when(F.col("correlation_id").isNull(), "no_correlation")
-           .when(F.col("_sid").isNull(), "saga_not_found")
-           .when(final_or_comp, "already_final"))
+    pre = F.when(F.col("_sid").isNull(), "saga_not_found").when(final_or_comp, "already_final")
     j = j.withColumn("_pre", pre)
     # no worker consumes a failed verification: it is reported, and neither starts nor ends a compensation
     unhandled = F.col("event_type") == "blockchain.verification_failed"
@@ -46,7 +46,9 @@ def plan_compensation(events: DataFrame, sagas: DataFrame) -> tuple[DataFrame, D
                .when(F.col("event_id") != F.col("_first_event"), "already_final")
                .otherwise("fired"))
     j = j.withColumn("outcome", outcome)
-    outcomes = j.select("event_id", "event_type", F.col("correlation_id").alias("saga_id"), "outcome")
+    report = ("event_id", "event_type", F.col("correlation_id").alias("saga_id"))
+    unnamed = failures.where(F.col("correlation_id").isNull())
+    outcomes = j.select(*report, "outcome").unionByName(unnamed.select(*report, F.lit("no_correlation").alias("outcome")))
 
     fired = j.where(F.col("outcome") == "fired")
     etype = F.col("event_type")

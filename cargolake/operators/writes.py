@@ -16,10 +16,13 @@ Scale notes
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cargolake.functions.common import ts_lit
+from cargolake.functions.sequences import keyed_position
 
 
 def _ordering(order_by: list[str]) -> Column:
@@ -36,17 +39,23 @@ def latest_per_key(changes: DataFrame, key: list[str], order_by: list[str], cols
 
 def upsert(target: DataFrame, changes: DataFrame, key: list[str] | str, update_cols: list[str],
            order_by: list[str], as_of: str | None = None, touch_col: str | None = "updated_at",
-           created_col: str | None = "created_at", defaults: dict[str, Column] | None = None) -> DataFrame:
+           created_col: str | None = "created_at", defaults: dict[str, Column] | None = None,
+           keep_cols: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """INSERT ... ON CONFLICT (key) DO UPDATE SET update_cols.
 
     New keys insert the change row (missing columns take ``defaults``;
-    created/updated = as_of); existing keys overwrite ``update_cols`` (null
+    ``keep_cols`` those of the key's first change; created/updated = as_of);
+    existing keys overwrite ``update_cols`` (null
     overwrites, as in SQL) and keep every other column of the stored row;
     ``touch_col`` becomes as_of on every written row."""
     key = [key] if isinstance(key, str) else key
     defaults = defaults or {}
     present = [c for c in update_cols if c in changes.columns]
-    last = latest_per_key(changes, key, order_by, present).withColumn("_hit", F.lit(True))
+    kept = [c for c in keep_cols if c in changes.columns]
+    folded = changes.groupBy(*key).agg(
+        F.max_by(F.struct(*present), _ordering(order_by)).alias("_c"),
+        *([F.min_by(F.struct(*kept), _ordering(order_by)).alias("_k")] if kept else []))
+    last = folded.select(*key, *[F.col(f"_c.{c}") for c in present], *[F.col(f"_k.{c}") for c in kept], F.lit(True).alias("_hit"))
     # stored rows meet the changes in a left join, which may broadcast a small
     # change set; new keys are added apart, so the target is never outer-joined
     joined = target.alias("t").join(last.alias("c"), key, "left")
@@ -65,12 +74,60 @@ def upsert(target: DataFrame, changes: DataFrame, key: list[str] | str, update_c
         elif name in present:
             stored.append(F.when(hit, F.col(f"c.{name}").cast(kind)).otherwise(old).alias(name))
             added.append(F.col(name).cast(kind).alias(name))
+        elif name in kept:
+            stored.append(old.alias(name))
+            added.append(F.col(name).cast(kind).alias(name))
         else:
             stored.append(old.alias(name))
             added.append(defaults.get(name, F.lit(None)).cast(kind).alias(name))
     return joined.select(*stored).unionByName(fresh.select(*added))
 
 
+@dataclass(frozen=True)
+class Policy:
+    """What an upsert of one table does with a stored key: ``update`` columns are
+    overwritten, ``keep`` columns are written on insert alone, ``defaults`` fill
+    what is never written; ``touched`` tables take as_of as their times."""
+
+    key: str
+    update: tuple[str, ...]
+    keep: tuple[str, ...] = ()
+    defaults: dict[str, object] = field(default_factory=dict)
+    touched: bool = False
+
+
+# fixed values: upsert policies of the nine tables
+UPSERT_POLICIES: dict[str, Policy] = {
+    "shipments": Policy("shipment_id", ("origin", "destination", "status"), touched=True),
+    "items": Policy("item_id", ("shipment_id", "name", "quantity", "weight")),
+    "couriers": Policy("courier_id", ("name", "contact_info"), defaults={"is_active": True}),
+    "deliveries": Policy("delivery_id", ("shipment_id", "courier_id", "status", "estimated_arrival", "actual_arrival", "updated_at"),
+                         keep=("created_at",)),
+    "warehouses": Policy("warehouse_id", ("name", "location")),
+    "inventory_records": Policy("record_id", ("shipment_id", "warehouse_id", "status", "updated_at"), keep=("received_at",)),
+    "saga_instances": Policy("saga_id", ("warehouse_id", "delivery_id", "status", "updated_at", "failed_step", "error_message"),
+                             keep=("saga_type", "shipment_id", "started_at"), defaults={"retry_count": 0}),
+    "blockchain_records": Policy("record_id", ("status", "confirmed_at", "block_number", "error_message", "gas_used"),
+                                 keep=("shipment_id", "tx_hash", "payload", "created_at"), defaults={"network": "ethereum"}),
+    "users": Policy("user_id", ("username", "email", "hashed_password", "role", "is_active", "updated_at"),
+                    keep=("created_at",), defaults={"role": "operator", "is_active": True}),
+}
+
+
+def upsert_table(name: str, target: DataFrame, changes: DataFrame, order_by: list[str], as_of: str) -> DataFrame:
+    """Upsert by the table's own policy."""
+    p = UPSERT_POLICIES[name]
+    return upsert(target, changes, p.key, list(p.update), order_by, as_of if p.touched else None,
+                  defaults={c: F.lit(v) for c, v in p.defaults.items()}, keep_cols=p.keep)
+
+
+def set_field(target: DataFrame, changes: DataFrame, key: str, column: str, order_by: list[str]):
+    """U8: absolute setter of one column of stored rows (U12 gate).  Returns
+    (new snapshot, keys that were not found)."""
+    known, missing = require_existing(target, changes, key)
+    return upsert(target, known, key, [column], order_by, touch_col=None, created_col=None), missing.select(key).distinct()
+
+
 def append(target: DataFrame, rows: DataFrame) -> DataFrame:
     """Append-only insert (schemas aligned by name)."""
     return target.unionByName(rows, allowMissingColumns=True)
@@ -101,6 +158,17 @@ def patch(target: DataFrame, patches: DataFrame, key: list[str] | str, cols: lis
     return joined.select(*out)
 
 
+def patch_location(target: DataFrame, patches: DataFrame, key: str, cols: list[str], order_by: list[str],
+                   location: str = "location") -> DataFrame:
+    """PATCH requests that may change the fields of a location one by one:
+    a null field keeps what is stored."""
+    fields = ("country", "city", "address")
+    flat = target.select("*", *[F.get_json_object(location, f"$.{f}").alias(f) for f in fields])
+    done = patch(flat, patches, key, [*cols, *fields], order_by, touch_col=None)
+    whole = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    return done.select(*[whole.alias(c) if c == location else F.col(c) for c in target.columns])
+
+
 def require_existing(target: DataFrame, changes: DataFrame, key: list[str] | str):
     """(accepted changes, not-found changes) for update requests."""
     key = [key] if isinstance(key, str) else key
@@ -116,11 +184,12 @@ def delivery_patch(deliveries: DataFrame, patches: DataFrame, couriers: DataFram
     set -> status DELIVERED (the request's status is ignored), else the
     request's status; estimated_arrival applies independently; the courier
     changes when given.  Returns (new snapshot, rejected requests)."""
-    known = couriers.select("courier_id").distinct()
-    with_courier = patches.join(known.withColumn("_known", F.lit(True)), "courier_id", "left")
-    courier_ok = F.col("courier_id").isNull() | F.col("_known").isNotNull()
-    accepted_c = with_courier.where(courier_ok).drop("_known")
-    rejected_c = with_courier.where(~courier_ok).drop("_known").withColumn("reason", F.lit("courier_not_found"))
+    # requests that name no courier, most of them, stay out of the join: a null is one hot key
+    named = patches.where(F.col("courier_id").isNotNull())
+    known = couriers.select("courier_id")
+    accepted_c = (patches.where(F.col("courier_id").isNull())
+                  .unionByName(named.join(known, "courier_id", "left_semi")))
+    rejected_c = named.join(known, "courier_id", "left_anti").withColumn("reason", F.lit("courier_not_found"))
     accepted, missing = require_existing(deliveries, accepted_c, "delivery_id")
     rejected = rejected_c.unionByName(missing.withColumn("reason", F.lit("delivery_not_found")))
     effective = accepted.select(
@@ -222,9 +291,12 @@ def rotate_tokens(tokens: DataFrame, presented: DataFrame, users: DataFrame, as_
     live = tokens.join(p, "token_hash", "inner").where(~F.col("revoked") & (F.col("expires_at") > now))
     valid = live.join(users.select("user_id"), "user_id", "left_semi")
     new_hash = F.md5(F.concat(F.col("token_hash"), F.lit("@" + as_of)))
-    successors = valid.select(
-        F.conv(F.substring(new_hash, 1, 15), 16, 10).cast("bigint").alias("token_id"),
-        "user_id", new_hash.alias("token_hash"),
+    # successors take the numbers after the largest stored one, in the order of their hashes
+    hashed = valid.select("user_id", new_hash.alias("token_hash"), F.lit("all").alias("_all"))
+    numbered = keyed_position(hashed, ["_all"], ["token_hash"], F.substring("token_hash", 1, 3))
+    largest = F.coalesce(tokens.agg(F.max("token_id")).scalar(), F.lit(0))
+    successors = numbered.select(
+        (largest + F.col("position")).cast("bigint").alias("token_id"), "user_id", "token_hash",
         (now + F.expr(f"interval {int(lifetime_days)} days")).alias("expires_at"),
         F.lit(False).alias("revoked"))
     snap = append(revoke_tokens(tokens, live.select("token_hash")), successors)

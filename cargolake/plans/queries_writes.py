@@ -105,6 +105,88 @@ def u3c(t):
     return w.saga_context_patch(t.saga_instances, t.saga_context_patches, NOW)
 
 
+# ---- U1: one upsert for each table's policy ---------------------------------
+
+_CHANGE_ROWS = {"shipments": "shipment_rows", "items": "item_rows", "couriers": "courier_rows", "deliveries": "delivery_rows",
+                "warehouses": "warehouse_rows", "inventory_records": "inventory_rows", "saga_instances": "saga_rows",
+                "blockchain_records": "record_rows", "users": "user_rows"}
+# columns of the stored tables that no change set writes, with their value on insert
+_UNWRITTEN = {"shipments": {"departure_date": "NULL", "arrival_date": "NULL", "created_at": _T, "updated_at": _T},
+              "couriers": {"is_active": "true"}, "saga_instances": {"completed_at": "NULL", "retry_count": "0"},
+              "blockchain_records": {"network": "'ethereum'"}}
+
+
+def _policy_oracle(table: str) -> str:
+    p = w.UPSERT_POLICIES[table]
+    changed = _COLUMNS[table]
+    old, new = [f"s.{p.key}"], [f"l.{p.key}"]
+    for c in changed:
+        old.append(f"CASE WHEN l.{p.key} IS NULL THEN s.{c} ELSE l.{c} END AS {c}" if c in p.update else f"s.{c}")
+        new.append(f"l.{c}" if c in p.update else f"f.{c}")
+    for c, value in _UNWRITTEN.get(table, {}).items():
+        old.append(f"CASE WHEN l.{p.key} IS NOT NULL THEN {_T} ELSE s.{c} END AS {c}" if c == "updated_at" else f"s.{c}")
+        new.append(value)
+    return f"""
+WITH l AS (SELECT * FROM {_CHANGE_ROWS[table]} QUALIFY row_number() OVER (PARTITION BY {p.key} ORDER BY change_seq DESC) = 1),
+f AS (SELECT * FROM {_CHANGE_ROWS[table]} QUALIFY row_number() OVER (PARTITION BY {p.key} ORDER BY change_seq) = 1)
+SELECT {', '.join(old)} FROM {table} s LEFT JOIN l ON s.{p.key} = l.{p.key}
+UNION ALL
+SELECT {', '.join(new)} FROM l JOIN f ON l.{p.key} = f.{p.key} WHERE l.{p.key} NOT IN (SELECT {p.key} FROM {table})"""
+
+
+_COLUMNS = {
+    "shipments": ("origin", "destination", "status"),
+    "items": ("shipment_id", "name", "quantity", "weight"),
+    "couriers": ("name", "contact_info"),
+    "deliveries": ("shipment_id", "courier_id", "status", "estimated_arrival", "actual_arrival", "created_at", "updated_at"),
+    "warehouses": ("name", "location"),
+    "inventory_records": ("shipment_id", "warehouse_id", "status", "received_at", "updated_at"),
+    "saga_instances": ("saga_type", "shipment_id", "warehouse_id", "delivery_id", "status", "started_at", "updated_at", "failed_step"),
+    "blockchain_records": ("shipment_id", "tx_hash", "status", "payload", "created_at", "confirmed_at", "block_number", "gas_used"),
+    "users": ("username", "email", "role", "is_active"),
+}
+
+
+def _policy_query(table: str):
+    return lambda t: w.upsert_table(table, getattr(t, table), getattr(t, _CHANGE_ROWS[table]), ["change_seq"], NOW)
+
+
+for _table in w.UPSERT_POLICIES:
+    query(f"U1_policy_{_table}", _policy_oracle(_table))(_policy_query(_table))
+
+
+@query("U3_patch_warehouse_location", """
+WITH p AS (SELECT warehouse_id, arg_max(name, patch_seq) FILTER (WHERE name IS NOT NULL) AS name,
+                  arg_max(country, patch_seq) FILTER (WHERE country IS NOT NULL) AS country,
+                  arg_max(city, patch_seq) FILTER (WHERE city IS NOT NULL) AS city FROM warehouse_patches GROUP BY 1)
+SELECT s.warehouse_id, coalesce(p.name, s.name) AS name,
+       json_object('country', coalesce(p.country, json_extract_string(s.location, '$.country')),
+                   'city', coalesce(p.city, json_extract_string(s.location, '$.city')),
+                   'address', json_extract_string(s.location, '$.address'))::varchar AS location
+FROM warehouses s LEFT JOIN p ON s.warehouse_id = p.warehouse_id""")
+def u3_location(t):
+    return w.patch_location(t.warehouses, t.warehouse_patches, "warehouse_id", ["name"], ["patch_seq"])
+
+
+@query("U8_set_item_weight", """
+SELECT i.item_id, i.shipment_id, i.name, i.quantity, coalesce(c.weight, i.weight) AS weight
+FROM items i LEFT JOIN item_weight_changes c ON i.item_id = c.item_id""")
+def u8_weight(t):
+    return w.set_field(t.items, t.item_weight_changes, "item_id", "weight", ["change_seq"])[0]
+
+
+@query("U8_unknown_items", "SELECT DISTINCT item_id FROM item_weight_changes WHERE item_id NOT IN (SELECT item_id FROM items)")
+def u8_unknown_items(t):
+    return w.set_field(t.items, t.item_weight_changes, "item_id", "weight", ["change_seq"])[1]
+
+
+@query("U8_set_warehouse_location", """
+SELECT s.warehouse_id, s.name, coalesce((SELECT arg_max(c.location, c.change_seq) FROM warehouse_locations c
+                                         WHERE c.warehouse_id = s.warehouse_id), s.location) AS location FROM warehouses s""")
+def u8_location(t):
+    return w.set_field(t.warehouses, t.warehouse_locations, "warehouse_id", "location", ["change_seq"])[0]
+
+
 _FAILED_KEYS = "(SELECT correlation_id FROM domain_events WHERE event_type = 'delivery.failed' AND correlation_id IS NOT NULL)"
 
 
@@ -267,7 +349,7 @@ SELECT token_id, user_id, token_hash, expires_at,
        revoked OR token_hash IN (SELECT token_hash FROM live) AS revoked
 FROM refresh_tokens
 UNION ALL
-SELECT cast(concat('0x', substr(md5(concat(token_hash, '@{TOKEN_NOW}')), 1, 15)) as bigint) AS token_id, user_id,
+SELECT (SELECT max(token_id) FROM refresh_tokens) + row_number() OVER (ORDER BY md5(concat(token_hash, '@{TOKEN_NOW}'))) AS token_id, user_id,
        md5(concat(token_hash, '@{TOKEN_NOW}')) AS token_hash, {_TT} + interval 30 day AS expires_at, false AS revoked
 FROM valid""")
 def u2(t):

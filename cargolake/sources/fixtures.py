@@ -250,6 +250,63 @@ SELECT event_id AS assign_seq, aggregate_id AS delivery_id, event_id % (select c
 FROM domain_events WHERE event_type = 'courier.unassigned'""",
 })
 
+
+def _changes(table: str, key: str, part: str, fresh: str, values: dict[str, str]) -> str:
+    """Two versions of some rows of ``table`` and some rows it lacks; ``{n}`` in a
+    value is the version."""
+    def version(n: int, key_sql: str, every: int) -> str:
+        cols = ", ".join(f"{sql.format(n=n)} AS {name}" for name, sql in values.items())
+        return f"SELECT {n} AS change_seq, {key_sql} AS {key}, {cols} FROM {table} WHERE {part} % {every} = 0"
+
+    return (version(1, key, 3) + "\nUNION ALL\n" + version(2, key, 6) + "\nUNION ALL\n" + version(3, fresh, 7)
+            + "\nUNION ALL\n" + version(4, fresh, 14))
+
+
+_JULY = "timestamp '2024-07-0{n} 00:00:00'"
+SHARED_VIEWS.update({
+    "shipment_rows": _changes("shipments", "shipment_id", "shipment_id", "-shipment_id - 1", {
+        "origin": "destination", "destination": "origin", "status": "case when {n} % 2 = 1 then 'received' else 'in_transit' end"}),
+    "item_rows": _changes("items", "item_id", "shipment_id", "concat('new-', item_id)", {
+        "shipment_id": "shipment_id", "name": "concat(name, ' v{n}')", "quantity": "quantity + {n}", "weight": "weight"}),
+    "courier_rows": _changes("couriers", "courier_id", "courier_id", "-courier_id - 1", {
+        "name": "concat(name, ' v{n}')", "contact_info": "contact_info"}),
+    "delivery_rows": _changes("deliveries", "delivery_id", "delivery_id", "-delivery_id - 1", {
+        "shipment_id": "shipment_id", "courier_id": "courier_id + {n}", "status": "case when {n} % 2 = 1 then 'IN_TRANSIT' else 'DELIVERED' end",
+        "estimated_arrival": "estimated_arrival", "actual_arrival": "case when {n} % 2 = 0 then " + _JULY + " end",
+        "created_at": _JULY, "updated_at": _JULY}),
+    "warehouse_rows": _changes("warehouses", "warehouse_id", "warehouse_id", "-warehouse_id - 1", {
+        "name": "concat(name, ' v{n}')", "location": "location"}),
+    "inventory_rows": _changes("inventory_records", "record_id", "shipment_id", "concat('new-', record_id)", {
+        "shipment_id": "shipment_id", "warehouse_id": "warehouse_id + {n}", "status": "'stored'", "received_at": _JULY, "updated_at": _JULY}),
+    "saga_rows": _changes("saga_instances", "saga_id", "saga_id", "-saga_id - 1", {
+        "saga_type": "concat('type v', cast({n} as string))", "shipment_id": "shipment_id", "warehouse_id": "warehouse_id", "delivery_id": "delivery_id",
+        "status": "'FAILED'", "started_at": _JULY, "updated_at": _JULY, "failed_step": "concat('step ', cast({n} as string))"}),
+    "record_rows": _changes("blockchain_records", "record_id", "record_id", "-record_id - 1", {
+        "shipment_id": "shipment_id", "tx_hash": "tx_hash", "status": "'CONFIRMED'", "payload": "payload", "created_at": _JULY,
+        "confirmed_at": _JULY, "block_number": "block_number + {n}", "gas_used": "gas_used"}),
+    "user_rows": _changes("users", "user_id", "user_id", "-user_id - 1", {
+        "username": "concat(username, ' v{n}')", "email": "email", "role": "'viewer'", "is_active": "not is_active"}),
+    "warehouse_patches": """
+SELECT event_id AS patch_seq, event_id % (select cast(ceil(count(*) * 1.2) as bigint) from nation) AS warehouse_id,
+       case when event_id % 5 = 0 then concat('W', cast(event_id as string)) end AS name,
+       case when event_id % 3 = 0 then concat('C', cast(event_id % 9 as string)) end AS country,
+       case when event_id % 4 = 0 then concat('T', cast(event_id % 99 as string)) end AS city,
+       cast(null as string) AS address
+FROM events""",
+    "item_weight_changes": """
+SELECT 1 AS change_seq, case when shipment_id % 10 = 0 then concat('unknown-', item_id) else item_id end AS item_id,
+       cast(weight + 0.5 as decimal(10,2)) AS weight FROM items WHERE shipment_id % 2 = 0""",
+    "warehouse_locations": """
+SELECT event_id AS change_seq, event_id % (select cast(ceil(count(*) * 1.2) as bigint) from nation) AS warehouse_id,
+       concat('{"country":"C","city":"T', cast(event_id as string), '","address":"A"}') AS location
+FROM events WHERE event_type = 'view'""",
+    "blockchain_events": """
+SELECT event_id AS event_id, case when event_id % 9 = 0 then -event_id - 1 else event_id end AS record_id,
+       case when event_id % 2 = 0 then 'ShipmentRecorded' else 'ShipmentVerified' end AS event_name,
+       props AS event_data, 100000 + event_id AS block_number, ts AS detected_at
+FROM events""",
+})
+
 _CONF_COLS = """case when event_id % 10 = 0 then -event_id - 1 else event_id end AS record_id,
        100000 + event_id + k AS block_number,
        cast(k * (event_id % 5) as int) AS confirmation_count,
