@@ -93,3 +93,11 @@ def keyed_position(df: DataFrame, key: list[str], order: list[str], chunk: Colum
     out = _join_null_safe(local, before, [*key, "_chunk"])
     return (out.withColumn(name, (F.col("_local") + F.col("_before") + F.lit(start - 1)).cast("bigint"))
             .drop("_local", "_before", "_chunk"))
+
+
+def newest_first(df: DataFrame, key: str, ts_col: str, tie: str, name: str) -> DataFrame:
+    """Add the position of each row within its key, newest first (null times
+    last), in chunks of a day."""
+    days_back = F.datediff(F.lit("9999-12-31").cast("date"), F.col(ts_col).cast("date"))
+    return keyed_position(df, [key], [F.col(ts_col).desc_nulls_last(), F.col(tie).desc_nulls_last()],
+                          F.coalesce(days_back, F.lit(1 << 30)), name)

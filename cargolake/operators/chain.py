@@ -9,7 +9,8 @@ from cargolake import schemas
 from cargolake.functions.common import ts_lit
 from cargolake.functions.common import first_per_key
 from cargolake.functions.sequences import hour_chunk, keyed_position
-from cargolake.sources.envelopes import fingerprint
+from cargolake.operators.events import normalised_payload, to_envelopes
+from cargolake.sources.envelopes import fingerprint, uuid_of
 
 REVERTED = "Transaction reverted on chain"
 
@@ -63,6 +64,18 @@ def verified_events(tracked: DataFrame, required: int = schemas.CONFIRMATIONS_RE
                     F.col("confirmed_at").alias("verified_at"), F.lit(required).alias("confirmations")))
 
 
+def verified_envelopes(tracked: DataFrame, required: int = schemas.CONFIRMATIONS_REQUIRED) -> DataFrame:
+    """The typed envelope of each blockchain.verified event."""
+    v = verified_events(tracked, required)
+    payload = normalised_payload(F.struct(
+        uuid_of("record_id").alias("record_id"), uuid_of("shipment_id").alias("shipment_id"), F.col("transaction_hash"),
+        F.col("verified_at"), F.col("confirmations")))
+    rows = v.select(F.concat(F.lit("verified:"), F.col("record_id").cast("string")).alias("event_id"),
+                    F.lit("blockchain.verified").alias("event_type"), F.col("record_id").alias("aggregate_id"),
+                    F.col("verified_at").alias("ts"), payload.alias("payload"), F.lit(None).cast("string").alias("correlation_id"))
+    return to_envelopes(rows)[0]
+
+
 def assign_nonces(records: DataFrame, address_col: str, order: list[str], start: int = 0,
                   stored: DataFrame | None = None) -> DataFrame:
     """Gap-free nonce per (address, network) continuing from the stored

@@ -134,3 +134,75 @@ def shipment_change_events(old: DataFrame, new: DataFrame, as_of: str) -> DataFr
              .otherwise("shipment.cancelled"))
     return (d.where(F.col("op") != "same")
             .select("shipment_id", etype.alias("event_type"), payload.alias("payload"), now.alias("ts")))
+
+
+_NULLS = {"ignoreNullFields": "false"}
+
+
+def _mutations(old: DataFrame, new: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    """J9 change feed of the rows that changed, with the surviving value of each column."""
+    from cargolake.operators.history import snapshot_diff
+    d = snapshot_diff(old.select(key, *cols), new.select(key, *cols), key, cols).where("op <> 'same'")
+    return d.select("*", *[F.when(F.col("op") == "delete", F.col(f"old_{c}")).otherwise(F.col(f"new_{c}")).alias(c) for c in cols])
+
+
+def _text(name: str):
+    return F.col(name).cast("string").alias(name)
+
+
+def item_change_events(old: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
+    """Any change of an item -> shipment.updated("items_updated") of its shipment."""
+    now = ts_lit(as_of)
+    d = _mutations(old, new, "item_id", ["shipment_id", "name", "quantity", "weight"])
+    payload = F.to_json(F.struct(_text("shipment_id"), F.lit("items_updated").alias("status"),
+                                 F.date_format(now, ISO_FORMAT).alias("updated_at")))
+    return d.select("item_id", F.col("shipment_id").alias("aggregate_id"), F.lit("shipment.updated").alias("event_type"),
+                    payload.alias("payload"), now.alias("ts"))
+
+
+def delivery_change_events(old: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
+    """Insert or another courier -> courier.assigned; status to IN_TRANSIT ->
+    delivery.in_transit("Warehouse"); to DELIVERED -> delivery.completed
+    ("Unknown"); a delete emits nothing.  A row may emit several."""
+    now = ts_lit(as_of)
+    iso = F.date_format(now, ISO_FORMAT)
+    d = _mutations(old, new, "delivery_id", ["shipment_id", "courier_id", "status", "estimated_arrival"])
+    inserted, updated = F.col("op") == "insert", F.col("op") == "update"
+    due = F.coalesce(F.date_format(F.date_trunc("day", "estimated_arrival"), ISO_FORMAT), iso)
+    assigned = F.to_json(F.struct(_text("delivery_id"), _text("courier_id"), _text("shipment_id"),
+                                  due.alias("estimated_delivery"), iso.alias("assigned_at")), _NULLS)
+    moving = F.to_json(F.struct(_text("delivery_id"), F.lit("Warehouse").alias("current_location"),
+                                F.lit(None).cast("double").alias("latitude"), F.lit(None).cast("double").alias("longitude"),
+                                iso.alias("updated_at")), _NULLS)
+    done = F.to_json(F.struct(_text("delivery_id"), iso.alias("delivered_at"), F.lit("Unknown").alias("recipient_name"),
+                              F.lit(None).cast("string").alias("recipient_signature")), _NULLS)
+
+    def event(condition, name, payload):
+        return F.when(condition, F.struct(F.lit(name).alias("event_type"), payload.alias("payload")))
+
+    def entered(status):
+        return updated & (F.upper(F.trim("new_status")) == status) & ~F.upper(F.trim("old_status")).eqNullSafe(F.lit(status))
+
+    emitted = F.array_compact(F.array(
+        event(inserted | (updated & ~F.col("old_courier_id").eqNullSafe(F.col("new_courier_id"))), "courier.assigned", assigned),
+        event(entered("IN_TRANSIT"), "delivery.in_transit", moving), event(entered("DELIVERED"), "delivery.completed", done)))
+    return (d.select("delivery_id", F.explode(emitted).alias("e"))
+            .select("delivery_id", F.col("delivery_id").alias("aggregate_id"), "e.event_type", "e.payload", now.alias("ts")))
+
+
+def inventory_change_events(old: DataFrame, new: DataFrame, as_of: str) -> DataFrame:
+    """Record insert -> inventory.reserved; another status -> inventory.updated
+    (item_id = record id, quantity 0); delete -> inventory.released("record_deleted")."""
+    now = ts_lit(as_of)
+    iso = F.date_format(now, ISO_FORMAT)
+    none = F.array().cast("array<string>").alias("items")
+    d = _mutations(old, new, "record_id", ["shipment_id", "warehouse_id", "status"])
+    d = d.where((F.col("op") != "update") | ~F.col("old_status").eqNullSafe(F.col("new_status")))
+    payload = (F.when(F.col("op") == "insert", F.to_json(F.struct(_text("warehouse_id"), _text("shipment_id"), none, iso.alias("reserved_at")), _NULLS))
+               .when(F.col("op") == "update", F.to_json(F.struct(_text("warehouse_id"), _text("record_id").alias("item_id"),
+                                                                 F.lit(0).alias("new_quantity"), iso.alias("updated_at")), _NULLS))
+               .otherwise(F.to_json(F.struct(_text("warehouse_id"), _text("shipment_id"), none, iso.alias("released_at"),
+                                             F.lit("record_deleted").alias("reason")), _NULLS)))
+    name = (F.when(F.col("op") == "insert", "inventory.reserved").when(F.col("op") == "update", "inventory.updated")
+            .otherwise("inventory.released"))
+    return d.select("record_id", F.col("warehouse_id").alias("aggregate_id"), name.alias("event_type"), payload.alias("payload"), now.alias("ts"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from cargolake import schemas
 from cargolake.functions.common import is_distinct, ts_lit
-from cargolake.functions.sequences import hour_chunk, keyed_lag, keyed_last, seq_chunk
+from cargolake.functions.sequences import hour_chunk, keyed_lag, keyed_last, newest_first, seq_chunk
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -273,9 +273,7 @@ def saga_guard(sagas: DataFrame, requests: DataFrame) -> DataFrame:
 
 def timeline(df: DataFrame, key: str, ts_col: str, tie: str) -> DataFrame:
     """Newest-first position of each row within its key."""
-    from pyspark.sql import Window
-    w = Window.partitionBy(key).orderBy(F.col(ts_col).desc(), F.col(tie).desc())
-    return df.withColumn("recency", F.row_number().over(w))
+    return newest_first(df, key, ts_col, tie, "recency")
 
 
 def current_from_history(history: DataFrame, key: str, ts_col: str = "changed_at", seq_col: str = "change_seq") -> DataFrame:

@@ -56,7 +56,9 @@ TABLE_KEYS: dict[str, list[str]] = {
     "warehouses": ["warehouse_id"], "inventory_records": ["record_id"],
     "saga_instances": ["saga_id"], "saga_steps": ["saga_id", "step_name"],
     "blockchain_records": ["record_id"], "transaction_confirmations": ["record_id", "block_number"],
-    "users": ["user_id"], "refresh_tokens": ["token_id"],
+    "users": ["user_id"], "refresh_tokens": ["token_id"], "blockchain_events": ["event_id"],
+    "shipment_status_history": ["shipment_id", "change_seq"], "delivery_status_history": ["delivery_id"],
+    "saga_events": ["saga_id", "change_seq"],
 }
 
 

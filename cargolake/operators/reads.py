@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolake import schemas
+from cargolake.functions.sequences import newest_first
 from cargolake.functions.common import ts_lit
 
 
@@ -45,7 +46,8 @@ def active_sagas(sagas: DataFrame) -> DataFrame:
 
 
 def ranked_children(df: DataFrame, fk: str, order: list[Column], rank_name: str = "position") -> DataFrame:
-    """P5: children of each parent in the parent's order (window per key)."""
+    """P5: children of each parent in the parent's order (a window per key, for
+    children bounded by their parent: a courier's deliveries take ``newest_first``)."""
     return df.withColumn(rank_name, F.row_number().over(Window.partitionBy(fk).orderBy(*order)))
 
 
@@ -131,8 +133,7 @@ def token_search(df: DataFrame, columns: list[str], term: str) -> DataFrame:
 
 def track_history(points: DataFrame) -> DataFrame:
     """Every tracking point with its recency rank per delivery."""
-    w = Window.partitionBy("delivery_id").orderBy(F.col("recorded_at").desc(), F.col("tracking_id").desc())
-    return points.withColumn("recency", F.row_number().over(w))
+    return newest_first(points, "delivery_id", "recorded_at", "tracking_id", "recency")
 
 
 def in_bounding_box(points: DataFrame, lat_min: float, lat_max: float, lon_min: float, lon_max: float) -> DataFrame:

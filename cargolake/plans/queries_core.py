@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from cargolake.operators import stats
+from cargolake.functions.sequences import newest_first
 from cargolake.plans.catalog import query
 
 
@@ -219,8 +220,7 @@ def p5a(t):
 SELECT *, row_number() OVER (PARTITION BY courier_id ORDER BY created_at DESC, delivery_id DESC) AS position
 FROM deliveries""")
 def p5b(t):
-    return reads.ranked_children(t.deliveries, "courier_id",
-                                 [F.col("created_at").desc(), F.col("delivery_id").desc()])
+    return newest_first(t.deliveries, "courier_id", "created_at", "delivery_id", "position")
 
 
 @query("P5_inventory_by_shipment", """

@@ -4,10 +4,7 @@ from __future__ import annotations
 
 from cargolake.operators import quality as q
 from cargolake.plans.catalog import query
-
-_FIXTURE_FKS = [fk for fk in q.FOREIGN_KEYS
-                if fk[0] not in ("shipment_status_history", "delivery_status_history", "saga_events",
-                                 "blockchain_events")]
+from cargolake.plans.queries_families import HISTORIES, child, child_sql
 
 
 def _row_family(family: str):
@@ -35,9 +32,12 @@ def q5(t):
     return q.union_all([q.duplicate_keys(getattr(t, tbl), tbl, cols, where) for tbl, cols, where in q.UNIQUE_KEYS])
 
 
-@query("Q6_referential", "\nUNION ALL\n".join(q.orphans_oracle(*fk) for fk in _FIXTURE_FKS))
+_HISTORY_CTES = ",\n".join(f"{name} AS {child_sql(name)}" for name in HISTORIES)
+
+
+@query("Q6_referential", f"WITH {_HISTORY_CTES}\n" + "\nUNION ALL\n".join(q.orphans_oracle(*fk) for fk in q.FOREIGN_KEYS))
 def q6(t):
-    return q.union_all([q.orphans(getattr(t, c), c, fk, getattr(t, p), p, pk) for c, fk, p, pk in _FIXTURE_FKS])
+    return q.union_all([q.orphans(child(t, c), c, fk, getattr(t, p), p, pk) for c, fk, p, pk in q.FOREIGN_KEYS])
 
 
 # Stored shipments are checked against the CHECK-constraint vocabulary

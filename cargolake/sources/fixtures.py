@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import re
 
+from cargolake.operators.events import EVENT_REGISTRY
+
 # Base tables shipped by the driver (one parquet file each).
 BASE_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -153,8 +155,8 @@ FROM events""",
 SELECT md5(cast(event_id as string)) AS command_id,
        case event_type when 'error' then 'inventory.release' when 'click' then 'courier.unassign'
             when 'view' then 'shipment.cancel' else 'shipment.create' end AS command_type,
-       user_id AS aggregate_id,
-       concat('{"shipment_id":"', cast(user_id as string), '"}') AS payload,
+       case when event_id % 17 = 0 then -event_id - 1 else user_id end AS aggregate_id,
+       concat('{"shipment_id":"', cast(case when event_id % 19 = 0 then -event_id - 1 else user_id end as string), '"}') AS payload,
        user_id AS correlation_id
 FROM events""",
     "http_log": """
@@ -262,6 +264,27 @@ def _changes(table: str, key: str, part: str, fresh: str, values: dict[str, str]
             + "\nUNION ALL\n" + version(4, fresh, 14))
 
 
+def _typed_events() -> str:
+    """Events of every registered type and one unknown one; a payload holds every
+    field that some type knows, or none."""
+    types = " ".join(f"when {i} then '{name}'" for i, (name, _, _) in enumerate(EVENT_REGISTRY))
+    texts = ", ".join(f"'\"{f}\":\"{f}-', cast(event_id as string), '\",'" for f in (
+        "shipment_id", "origin", "destination", "status", "updated_at", "reason", "cancelled_at", "warehouse_id", "dispatched_at",
+        "reserved_at", "released_at", "item_id", "delivery_id", "courier_id", "estimated_delivery", "assigned_at", "unassigned_at",
+        "pickup_location", "started_at", "current_location", "delivered_at", "recipient_name", "recipient_signature", "failed_at",
+        "retry_scheduled", "record_id", "transaction_hash", "recorded_at", "verified_at", "saga_id", "saga_type", "initiated_by",
+        "completed_at", "error_message", "failed_step", "compensating_at"))
+    numbers = ", ".join(f"'\"{f}\":', cast(event_id % 80 as string), '{tail},'" for f, tail in (
+        ("latitude", ".5"), ("longitude", ".25"), ("new_quantity", ""), ("block_number", ""), ("confirmations", "")))
+    lists = ", ".join(f"'\"{f}\":[{{\"item_id\":\"i', cast(event_id as string), '\",\"quantity\":\"2\"}}]{tail}'"
+                      for f, tail in (("items", ","), ("missing_items", "}")))
+    return f"""
+SELECT event_id AS event_id, case event_id % {len(EVENT_REGISTRY) + 1} {types} else 'parcel.lost' end AS event_type,
+       user_id AS aggregate_id, case when event_id % 10 = 0 then null else event_id % 7 end AS correlation_id,
+       case when event_id % 10 = 3 then '{{}}' else concat('{{', {texts}, {numbers}, {lists}) end AS payload, ts AS ts
+FROM events"""
+
+
 _JULY = "timestamp '2024-07-0{n} 00:00:00'"
 SHARED_VIEWS.update({
     "shipment_rows": _changes("shipments", "shipment_id", "shipment_id", "-shipment_id - 1", {
@@ -300,6 +323,7 @@ SELECT 1 AS change_seq, case when shipment_id % 10 = 0 then concat('unknown-', i
 SELECT event_id AS change_seq, event_id % (select cast(ceil(count(*) * 1.2) as bigint) from nation) AS warehouse_id,
        concat('{"country":"C","city":"T', cast(event_id as string), '","address":"A"}') AS location
 FROM events WHERE event_type = 'view'""",
+    "typed_events": _typed_events(),
     "blockchain_events": """
 SELECT event_id AS event_id, case when event_id % 9 = 0 then -event_id - 1 else event_id end AS record_id,
        case when event_id % 2 = 0 then 'ShipmentRecorded' else 'ShipmentVerified' end AS event_name,
