@@ -50,3 +50,32 @@ SELECT 'shipments' AS table_name, cast(shipment_id as varchar) AS row_key, 'doma
 FROM shipments WHERE {_CHECK_RULE.violated}""")
 def q1_check(t):
     return q.row_violations(t.shipments, "shipments", rules=[_CHECK_RULE])
+
+
+# ---- the rules over rows as a load might bring them: every rule finds its faults ----
+
+_STAGED = {"staged_shipments": "shipments", "staged_items": "items", "staged_couriers": "couriers", "staged_deliveries": "deliveries",
+           "staged_points": "delivery_tracking_points", "staged_warehouses": "warehouses", "staged_inventory": "inventory_records",
+           "staged_sagas": "saga_instances", "staged_steps": "saga_steps", "staged_records": "blockchain_records",
+           "staged_checks": "transaction_confirmations", "staged_users": "users", "staged_shipment_history": "shipment_status_history",
+           "staged_delivery_history": "delivery_status_history", "staged_saga_events": "saga_events", "staged_nonces": "nonce_state",
+           "staged_envelopes": "envelopes"}
+
+
+def _staged_rules(name: str, family: str) -> list[q.RowRule]:
+    return [r for r in (q.ROW_RULES | q.ROW_RULES_OTHER)[_STAGED[name]] if r.family == family]
+
+
+def _staged_query(family: str):
+    return lambda t: q.union_all([q.row_violations(getattr(t, name), name, rules=_staged_rules(name, family))
+                                  for name in _STAGED if _staged_rules(name, family)])
+
+
+for _fam, _label in (("Q1", "domains"), ("Q2", "ranges"), ("Q3", "temporal"), ("Q4", "value_rules"), ("Q7", "not_null_and_length")):
+    query(f"{_fam}_staged_{_label}", "\nUNION ALL\n".join(
+        q.row_violations_oracle(name, rules=_staged_rules(name, _fam)) for name in _STAGED if _staged_rules(name, _fam)))(_staged_query(_fam))
+
+
+@query("Q5_staged_nonce_keys", q.duplicate_keys_oracle("staged_nonces", ["address", "network"]))
+def q5_nonces(t):
+    return q.duplicate_keys(t.staged_nonces, "staged_nonces", ["address", "network"])

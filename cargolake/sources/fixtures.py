@@ -331,6 +331,63 @@ SELECT event_id AS event_id, case when event_id % 9 = 0 then -event_id - 1 else
 FROM events""",
 })
 
+
+def _staged(table: str, part: str, **columns: str) -> str:
+    """Rows of ``table`` as a load might bring them: each listed column has its
+    faults.  ``a | b`` in a column's text are faults of rows apart from each other
+    (every 11th, 13th ... by ``part``); the column itself stays elsewhere."""
+    steps, out = iter((11, 13, 17, 19, 23, 29, 31, 37, 41, 43, 47, 53, 59)), []
+    for name, faults in columns.items():
+        cases = " ".join(f"when {part} % {next(steps)} = 3 then {f.strip()}" for f in faults.split(" | ")) if faults else ""
+        out.append(f"case {cases} else {name} end AS {name}" if faults else name)
+    return f"SELECT {', '.join(out)} FROM {table}"
+
+
+_NO_CITY, _NO_COUNTRY = """'{"country":"A","city":" "}'""", """'{"country":"","city":"B"}'"""
+SHARED_VIEWS.update({
+    "staged_shipments": _staged("shipments", "shipment_id", shipment_id="", origin=f"null | {_NO_COUNTRY}", destination=f"null | {_NO_CITY}",
+                                status="null | 'lost' | repeat('x', 60)", created_at="null", updated_at="null"),
+    "staged_items": _staged("items", "shipment_id", item_id="null", shipment_id="null", name="null | repeat('n', 300)",
+                            quantity="null | 0 | -1", weight="null | 0 | -1"),
+    "staged_couriers": _staged("couriers", "courier_id", courier_id="", name="'x' | repeat('n', 120)", contact_info="' 12 '"),
+    "staged_deliveries": _staged("deliveries", "delivery_id", delivery_id="", shipment_id="null", courier_id="null", status="null | 'lost'",
+                                 created_at="", actual_arrival="created_at - interval '1' day"),
+    "staged_points": _staged("delivery_tracking_points", "tracking_id", tracking_id="", delivery_id="null",
+                             latitude="null | cast(95 as decimal(10,8))", longitude="null | cast(-190 as decimal(11,8))",
+                             accuracy_meters="0", recorded_at="null"),
+    "staged_warehouses": _staged("warehouses", "warehouse_id", warehouse_id="", name="repeat('n', 300)", location=f"null | {_NO_CITY} | {_NO_COUNTRY}"),
+    "staged_inventory": _staged("inventory_records", "shipment_id", record_id="", shipment_id="null", warehouse_id="null", status="null | 'lost'"),
+    "staged_sagas": _staged("saga_instances", "saga_id", saga_id="", saga_type="null | repeat('t', 120)", shipment_id="null", status="null | 'LOST'",
+                            started_at="null", completed_at="timestamp '1970-01-01 00:00:00'", retry_count="-1"),
+    "staged_steps": _staged("saga_steps", "saga_id", saga_id="", step_name="", step_order="-1", status="'LOST'", started_at="",
+                            completed_at="timestamp '1970-01-01 00:00:00'"),
+    "staged_records": _staged("blockchain_records", "record_id", record_id="", shipment_id="null", tx_hash="null", status="null | 'LOST'",
+                              block_number="-1", network="repeat('n', 60)"),
+    "staged_checks": _staged("transaction_confirmations", "record_id", record_id="", block_number="-1", confirmation_count="-2"),
+    "staged_users": _staged("users", "user_id", user_id="", username="null", email="null", role="'root'"),
+    "staged_shipment_history": """
+SELECT change_seq, case when change_seq % 11 = 3 then null else shipment_id end AS shipment_id,
+       case change_seq % 7 when 0 then 'PENDING' when 1 then 'in_transit' when 2 then 'DELIVERED' when 3 then 'CANCELLED'
+            when 4 then 'DELAYED' when 5 then null else status end AS new_status, changed_at AS changed_at FROM shipment_changes""",
+    "staged_delivery_history": """
+SELECT delivery_id, case when delivery_id % 13 = 3 then 'lost' when delivery_id % 17 = 3 then null else status end AS new_status,
+       updated_at AS changed_at FROM deliveries""",
+    "staged_saga_events": """
+SELECT change_seq, case when change_seq % 13 = 3 then null else saga_id end AS saga_id,
+       case change_seq % 5 when 0 then 'SAGA_STARTED' when 1 then 'STEP_FAILED' when 2 then 'SAGA_LOST' when 3 then null else 'SAGA_FAILED' end AS event_type,
+       changed_at AS occurred_at FROM saga_changes""",
+    "staged_nonces": """
+SELECT concat(case when record_id % 11 = 3 then '0x0x' else '0x' end, substr(concat(tx_hash, tx_hash), 3, 40)) AS address,
+       case when record_id % 13 = 3 then null else network end AS network, record_id % 17 - 1 AS current_nonce FROM blockchain_records
+UNION ALL
+SELECT concat('0x', substr(concat(tx_hash, tx_hash), 3, 40)) AS address, network, 1 AS current_nonce FROM blockchain_records WHERE record_id % 19 = 3""",
+    "staged_envelopes": """
+SELECT event_id AS row_id, case when event_id % 11 = 3 then 'no-uuid'
+            else concat(substr(md5(cast(event_id as string)), 1, 8), '-0000-4000-8000-', substr(md5(cast(event_id as string)), 1, 12)) end AS event_id,
+       concat('2024-01-01T00:00:00', case event_id % 5 when 0 then 'Z' when 1 then '+03:00' when 2 then '' else '+00:00' end) AS timestamp
+FROM events""",
+})
+
 _CONF_COLS = """case when event_id % 10 = 0 then -event_id - 1 else event_id end AS record_id,
        100000 + event_id + k AS block_number,
        cast(k * (event_id % 5) as int) AS confirmation_count,
