@@ -71,14 +71,21 @@ def requests_per_second(requests: DataFrame, window: str = "1 minute", seconds:
             .agg((F.count(F.lit(1)) / F.lit(float(seconds))).alias("per_second")))
 
 
-def latency_quantiles(requests: DataFrame, qs=(0.99, 0.5), window: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
-    """M3/M4: latency quantiles in ms per service over sliding windows,
-    from the bucket counts (not from raw values), as the dashboard does."""
-    h = (requests.groupBy("service", F.window("ts", window, slide).start.alias("window_start"))
-         .agg(*histogram_aggs(F.col("duration_s"))))
-    out = h.select("service", "window_start", *[
+def latency_quantiles(requests: DataFrame, qs=(0.99, 0.5), window_minutes: int = 5, slide_minutes: int = 1) -> DataFrame:
+    """M3/M4: latency quantiles in ms per service over sliding windows, from the
+    bucket counts (not from raw values), as the dashboard does.  Requests are
+    counted once per pane of a slide's length; only panes, not requests, are
+    repeated for the windows that hold them."""
+    if window_minutes % slide_minutes:
+        raise ValueError("the window must be a whole number of slides")
+    panes = (requests.groupBy("service", F.window("ts", f"{slide_minutes} minutes").start.alias("_pane"))
+             .agg(*histogram_aggs(F.col("duration_s"))))
+    starts = F.array(*[F.col("_pane") - F.expr(f"interval {k * slide_minutes} minutes")
+                       for k in range(window_minutes // slide_minutes)])
+    h = (panes.withColumn("window_start", F.explode(starts)).groupBy("service", "window_start")
+         .agg(*[F.sum(c).cast("bigint").alias(c) for c in BUCKET_COLS]))
+    return h.select("service", "window_start", *[
         (histogram_quantile(q) * 1000).alias(f"p{int(round(q * 100))}_ms") for q in qs])
-    return out
 
 
 def services_up(samples: DataFrame) -> DataFrame:
@@ -114,10 +121,14 @@ def counter_samples(requests: DataFrame) -> DataFrame:
     return per_min.select("service", "ts", F.sum("n").over(w).cast("bigint").alias("value"))
 
 
-def counter_increase(samples: DataFrame) -> DataFrame:
+def counter_increase(samples: DataFrame, as_of: str | None = None, minutes: int = 60) -> DataFrame:
     """M9: total increase per series with reset handling: a negative step
     means the counter restarted, so the new value itself is the increase.
-    The first sample of a series contributes nothing."""
+    The first sample of a series contributes nothing.  With ``as_of`` only the
+    samples of the last ``minutes`` before it count."""
+    if as_of is not None:
+        now = ts_lit(as_of)
+        samples = samples.where((F.col("ts") > now - F.expr(f"interval {int(minutes)} minutes")) & (F.col("ts") <= now))
     lagged = keyed_lag(samples, ["service"], ["ts"], ["value"], F.date_trunc("day", "ts"))
     step = (F.when(F.col("prev_value").isNull(), F.lit(0))
             .when(F.col("value") < F.col("prev_value"), F.col("value"))

@@ -42,12 +42,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
 
 
-def reference_vector(vectors: DataFrame, keyword_text: str, dim: int, name: str) -> DataFrame:
-    """Mean vector of a keyword sentence (one row)."""
-    kw = vectors.sparkSession.createDataFrame([(name, keyword_text)], "rid string, text string")
-    return mean_vectors(kw, "rid", "text", vectors, dim).select(F.col("vec").alias(name))
-
-
 def any_substring(text: Column, stems) -> Column:
     """Any stem occurs as a substring of the lower-cased text."""
     low = F.lower(text)
@@ -57,6 +51,14 @@ def any_substring(text: Column, stems) -> Column:
     return cond
 
 
+# fixed values: keyword sentences and stems of the matcher
+JOB_KEYWORDS = "ищу вакансия работа требуется нужен найму удаленка сотрудник специалист"
+MARKET_KEYWORDS = "вайлдберриз wildberries озон ozon маркетплейс товар продажа магазин"
+MANAGER_KEYWORDS = "менеджер управляющий координатор помощник ассистент администратор"
+MARKET_STEMS = ("вб", "wb", "wildberries", "вайлдберриз", "озон", "ozon", "маркетплейс")
+INTENT_STEMS = ("ищу", "нужен", "требуется", "вакансия", "найму", "работа", "сотрудник", "специалист", "помощник")
+MANAGER_STEMS = ("менеджер", "управляющ", "координатор", "помощник", "ассистент")
+
 # fixed values: score weights, bonuses and thresholds
 W_JOB, W_MARKET, W_MANAGER = 0.3, 0.4, 0.3
 BONUS_MARKET, BONUS_INTENT, BONUS_MANAGER = 0.3, 0.2, 0.2
@@ -64,8 +66,8 @@ MATCH_THRESHOLD = 0.35
 PREVIEW_COUNT, PREVIEW_CHARS = 5, 60
 
 
-def analyse(messages: DataFrame, vectors: DataFrame, dim: int, job_text: str, market_text: str,
-            manager_text: str, market_stems, intent_stems, manager_stems,
+def analyse(messages: DataFrame, vectors: DataFrame, dim: int, job_text: str = JOB_KEYWORDS, market_text: str = MARKET_KEYWORDS,
+            manager_text: str = MANAGER_KEYWORDS, market_stems=MARKET_STEMS, intent_stems=INTENT_STEMS, manager_stems=MANAGER_STEMS,
             id_col: str = "message_id", text_col: str = "text") -> DataFrame:
     """Per message scores, keyword flags, confidence and decision;
     input columns pass through."""
@@ -73,14 +75,11 @@ def analyse(messages: DataFrame, vectors: DataFrame, dim: int, job_text: str, ma
     kw = vectors.sparkSession.createDataFrame(
         [("job_vec", job_text), ("market_vec", market_text), ("manager_vec", manager_text)], "rid string, text string")
     ref_rows = mean_vectors(kw, "rid", "text", vectors, dim)
-    # three keyword vectors in one pass, folded into a single row
-    refs = ref_rows.agg(*[F.max(F.when(F.col("rid") == n, F.col("vec"))).alias(n)
-                          for n in ("job_vec", "market_vec", "manager_vec")]).withColumn("_k", F.lit(1))
-    # exactly one row of three vectors: a fixed-size broadcast
-    scored = (messages.join(mv, id_col).withColumn("_k", F.lit(1)).join(F.broadcast(refs), "_k").drop("_k"))
-    job = cosine(F.col("vec"), F.col("job_vec"))
-    market = cosine(F.col("vec"), F.col("market_vec"))
-    manager = cosine(F.col("vec"), F.col("manager_vec"))
+    # three keyword vectors in one pass, folded into one struct: a scalar subquery, not a join
+    names = ("job_vec", "market_vec", "manager_vec")
+    refs = ref_rows.agg(F.struct(*[F.max(F.when(F.col("rid") == n, F.col("vec"))).alias(n) for n in names]).alias("refs"))
+    scored = messages.join(mv, id_col).withColumn("_refs", refs.scalar())
+    job, market, manager = (cosine(F.col("vec"), F.col(f"_refs.{n}")) for n in names)
     t = F.col(text_col)
     out = scored.select(
         *messages.columns,
@@ -98,6 +97,16 @@ def analyse(messages: DataFrame, vectors: DataFrame, dim: int, job_text: str, ma
                         | (F.col("has_marketplace") & F.col("has_job_intent"))))
 
 
+def nested(analysed: DataFrame) -> DataFrame:
+    """The scores and flags as two structs beside the input columns."""
+    scores = {"job_intent": "job_intent_score", "marketplace": "marketplace_score", "manager_role": "manager_role_score"}
+    flags = {"marketplace": "has_marketplace", "job_intent": "has_job_intent", "manager_role": "has_manager_role"}
+    flat = [*scores.values(), *flags.values()]
+    return analysed.select(*[c for c in analysed.columns if c not in flat],
+                           F.struct(*[F.col(c).alias(n) for n, c in scores.items()]).alias("scores"),
+                           F.struct(*[F.col(c).alias(n) for n, c in flags.items()]).alias("flags"))
+
+
 def preview(analysed: DataFrame, id_col: str = "message_id", text_col: str = "text") -> DataFrame:
     """First five non-matching messages by id, text cut to 60 chars."""
     return (analysed.where(~F.col("is_job_search")).orderBy(id_col).limit(PREVIEW_COUNT)

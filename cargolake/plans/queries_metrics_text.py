@@ -121,6 +121,16 @@ def m9(t):
     return m.counter_increase(m.counter_samples(t.http_log))
 
 
+@query("M9_increase_last_day", f"""
+WITH per_min AS (SELECT service, date_trunc('minute', ts) AS ts, count(*) AS n FROM http_log GROUP BY 1, 2),
+s AS (SELECT service, ts, sum(n) OVER (PARTITION BY service, cast(ts as date) ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM per_min),
+l AS (SELECT *, lag(value) OVER (PARTITION BY service ORDER BY ts) AS prev FROM s WHERE ts > {_T} - interval 24 hour AND ts <= {_T})
+SELECT service, cast(sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END) as bigint) AS increase
+FROM l GROUP BY service""")
+def m9_window(t):
+    return m.counter_increase(m.counter_samples(t.http_log), NOW, minutes=24 * 60)
+
+
 @query("M10_http_rollup", """
 SELECT service, method, path, count(*) AS requests, count(*) FILTER (WHERE status >= 500) AS failures,
        round(avg(round(duration_s * 1000, 2)), 2) AS avg_duration_ms, max(round(duration_s * 1000, 2)) AS max_duration_ms
@@ -189,6 +199,28 @@ def _analysed(t):
 _R6 = ["job_intent_score", "marketplace_score", "manager_role_score", "confidence"]
 
 
+_FLAGS = {"has_marketplace": x.MARKET_STEMS, "has_job_intent": x.INTENT_STEMS, "has_manager_role": x.MANAGER_STEMS}
+
+
+@query("X4_keyword_flags", "SELECT message_id, " + ", ".join(
+    "(" + " OR ".join(f"contains(lower(text), '{stem}')" for stem in stems) + f") AS {name}" for name, stems in _FLAGS.items()) + " FROM posts")
+def x4(t):
+    return t.posts.select("message_id", *[x.any_substring(F.col("text"), stems).alias(name) for name, stems in _FLAGS.items()])
+
+
+@query("X7_nested_analysis", f"""
+WITH {_x_base_sql()}
+SELECT username, message_id, text, is_job_search, round(confidence, 6) AS confidence,
+       round(job_intent_score, 6) AS scores_job_intent, round(marketplace_score, 6) AS scores_marketplace,
+       round(manager_role_score, 6) AS scores_manager_role,
+       has_marketplace AS flags_marketplace, has_job_intent AS flags_job_intent, has_manager_role AS flags_manager_role FROM res""")
+def x7(t):
+    n = x.nested(_analysed(t))
+    return n.select("username", "message_id", "text", "is_job_search", F.round("confidence", 6).alias("confidence"),
+                    *[F.round(f"scores.{c}", 6).alias(f"scores_{c}") for c in ("job_intent", "marketplace", "manager_role")],
+                    *[F.col(f"flags.{c}").alias(f"flags_{c}") for c in ("marketplace", "job_intent", "manager_role")])
+
+
 @query("X1_tokens", f"""
 SELECT message_id, unnest({_TOKS.format(t='text')}) AS token FROM messages""")
 def x1(t):

@@ -129,9 +129,7 @@ SELECT {_TOPIC_CASE} AS topic, count(*) AS n
 FROM domain_events d JOIN (VALUES {_REG_VALUES}) r(event_type, aggregate_type, id_field) ON d.event_type = r.event_type
 GROUP BY 1""")
 def s6(t):
-    log = _event_log(t)
-    per_topic = {tp: log.where(F.col("topic") == tp) for tp in env.EVENT_TOPICS.values()}
-    return env.fan_in(per_topic).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
+    return env.subscribe(_event_log(t), env.EVENT_TOPICS.values()).groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S7_topic_fan_out", """

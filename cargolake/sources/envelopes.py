@@ -130,6 +130,11 @@ def write_commands(commands: DataFrame) -> DataFrame:
         command_json("command_id", "command_type", "aggregate_id", "payload", "correlation_id").alias("value"))
 
 
+def subscribe(log: DataFrame, topics) -> DataFrame:
+    """The records of several topics from one scan of a log with a ``topic`` column."""
+    return log.where(F.col("topic").isin(*topics))
+
+
 def fan_in(streams: dict[str, DataFrame]) -> DataFrame:
     """Several topics consumed as one frame with a ``topic`` column."""
     frames = [df.withColumn("topic", F.lit(t)) if "topic" not in df.columns else df for t, df in streams.items()]

@@ -309,6 +309,10 @@ SHARED_VIEWS.update({
         "confirmed_at": _JULY, "block_number": "block_number + {n}", "gas_used": "gas_used"}),
     "user_rows": _changes("users", "user_id", "user_id", "-user_id - 1", {
         "username": "concat(username, ' v{n}')", "email": "email", "role": "'viewer'", "is_active": "not is_active"}),
+    "posts": """
+SELECT message_id, concat(text, case message_id % 7 when 0 then ' Ищу работа' when 1 then ' ОЗОН' when 2 then ' управляющий складом'
+                                when 3 then ' помощник' when 4 then ' WB нужен менеджер' else '' end) AS text
+FROM messages""",
     "warehouse_patches": """
 SELECT event_id AS patch_seq, event_id % (select cast(ceil(count(*) * 1.2) as bigint) from nation) AS warehouse_id,
        case when event_id % 5 = 0 then concat('W', cast(event_id as string)) end AS name,

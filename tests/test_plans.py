@@ -1,7 +1,9 @@
-"""Plan checks: no single-partition exchanges, no Python in batch plans,
-filters and pruning reach the scan."""
+"""Plan checks: no window over one partition, no pair joins, no Python in batch
+plans; filters and pruning reach the scan."""
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from cargolake.plans.catalog import spark_callables
 
@@ -14,17 +16,52 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def global_windows(plan):
+    """Windows whose rows come from an exchange into one partition."""
+    lines, found = plan.splitlines(), []
+    for i, line in enumerate(lines):
+        if "Window [" in line:
+            below = next((x for x in lines[i + 1:] if "Exchange" in x), "")
+            if "SinglePartition" in below:
+                found.append(line)
+    return found
+
+
+def pair_joins(plan):
+    return [x for x in plan.splitlines() if "CartesianProduct" in x or "BroadcastNestedLoopJoin" in x]
+
+
+def test_the_checks_can_fail(spark):
+    rows = spark.range(10)
+    assert global_windows(_plan(rows.withColumn("n", F.row_number().over(Window.orderBy("id")))))
+    assert not global_windows(_plan(rows.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("id")))))
+    assert pair_joins(_plan(rows.crossJoin(spark.range(3).withColumnRenamed("id", "other"))))
+
+
 @pytest.mark.parametrize("name", sorted(set(spark_callables()) - STREAMS))
-def test_no_python_and_no_single_partition_window(spark, name):
+def test_no_python_no_global_window_no_pair_join(spark, name):
     plan = _plan(spark_callables()[name](spark, SF))
-    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    # a window over one partition would mean a global (unpartitioned) window
-    for line in plan.splitlines():
-        if "Window [" in line:
-            assert "SinglePartition" not in line
+    assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan and "MapInArrow" not in plan
+    assert global_windows(plan) == []
+    assert pair_joins(plan) == []
+
+
+@pytest.mark.parametrize("name, pushed", [
+    ("M6_requests_last_hour", "GreaterThan(ts,"), ("M7_error_ratio", "GreaterThan(ts,")])
+def test_filters_reach_the_scan(spark, name, pushed):
+    queries = spark_callables()
+    scans = [x for x in _plan(queries[name](spark, SF)).splitlines() if "PushedFilters" in x]
+    assert any(pushed in x for x in scans)
+
+
+def test_only_the_needed_columns_are_read(spark):
+    plan = _plan(spark_callables()["P15_points_in_box"](spark, SF))
+    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,event_type:string>" in plan
 
 
-def test_pushdown_and_pruning(spark):
-    df = spark_callables()["P15_points_in_box"](spark, SF)
-    s = df._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,event_type:string>" in s
+def test_unnamed_couriers_meet_no_join(spark):
+    from cargolake.operators.writes import delivery_patch
+    from cargolake.sources.tables import Tables
+    t = Tables(spark, SF)
+    _, rejected = delivery_patch(t.deliveries, t.delivery_patches, t.couriers, "2024-01-30 12:00:00")
+    assert rejected.where("courier_id IS NULL AND reason = 'courier_not_found'").count() == 0
