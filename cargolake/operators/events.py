@@ -58,26 +58,22 @@ PAYLOAD_SCHEMAS = {
 }
 
 
-def registry(spark) -> DataFrame:
-    return spark.createDataFrame(EVENT_REGISTRY, "event_type string, aggregate_type string, id_field string")
-
-
 def to_envelopes(rows: DataFrame, id_col: str = "event_id", type_col: str = "event_type",
                  aggregate_col: str = "aggregate_id", ts_col: str = "ts", payload_col: str = "payload",
                  correlation_col: str = "correlation_id") -> tuple[DataFrame, DataFrame]:
-    """Domain rows -> typed envelopes using the 20-row registry (a fixed
-    constant: broadcasting it is safe).  Unknown types are returned apart.
+    """Domain rows -> typed envelopes by the registry, a constant of twenty
+    entries looked up as a map: no join.  Unknown types are returned apart.
     Ids become deterministic UUID text (T2 normalisation)."""
-    reg = F.broadcast(registry(rows.sparkSession))
-    j = rows.join(reg, rows[type_col] == reg["event_type"], "left")
-    known = j.where(reg["aggregate_type"].isNotNull()).select(
-        uuid_of(rows[id_col]).alias("event_id"), rows[type_col].alias("event_type"),
-        uuid_of(rows[aggregate_col]).alias("aggregate_id"), reg["aggregate_type"], reg["id_field"],
-        rows[payload_col].alias("payload"), rows[ts_col].alias("timestamp"),
-        F.when(rows[correlation_col].isNotNull(), uuid_of(rows[correlation_col])).alias("correlation_id"))
-    unknown = j.where(reg["aggregate_type"].isNull()).select(rows[id_col].alias("source_id"),
-                                                            rows[type_col].alias("event_type"),
-                                                            F.lit("unknown_event_type").alias("reason"))
+    entries = [x for name, aggregate, id_field in EVENT_REGISTRY
+               for x in (F.lit(name), F.struct(F.lit(aggregate).alias("aggregate_type"), F.lit(id_field).alias("id_field")))]
+    found = F.create_map(*entries)[F.col(type_col)]
+    known = rows.where(found.isNotNull()).select(
+        uuid_of(id_col).alias("event_id"), F.col(type_col).alias("event_type"),
+        uuid_of(aggregate_col).alias("aggregate_id"), found.getField("aggregate_type").alias("aggregate_type"),
+        found.getField("id_field").alias("id_field"), F.col(payload_col).alias("payload"), F.col(ts_col).alias("timestamp"),
+        F.when(F.col(correlation_col).isNotNull(), uuid_of(correlation_col)).alias("correlation_id"))
+    unknown = rows.where(found.isNull()).select(F.col(id_col).alias("source_id"), F.col(type_col).alias("event_type"),
+                                                F.lit("unknown_event_type").alias("reason"))
     return known, unknown
 
 
