@@ -28,6 +28,20 @@ def upper_trim(c) -> Column:
     return F.upper(F.trim(col(c)))
 
 
+def normalised(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with these statuses written as they are compared, and marked so:
+    the mark is column metadata, which Parquet files keep."""
+    for name in names:
+        df = df.withColumn(name, upper_trim(name)).withMetadata(name, {"normalised": True})
+    return df
+
+
+def status_of(df: DataFrame, name: str = "status") -> Column:
+    """A status of ``df`` as it is compared.  Where the column is marked as
+    normalised it is compared bare, so that a filter reaches the scan."""
+    return F.col(name) if df.schema[name].metadata.get("normalised") else upper_trim(name)
+
+
 def is_distinct(a, b) -> Column:
     """SQL ``a IS DISTINCT FROM b``."""
     return ~col(a).eqNullSafe(col(b))

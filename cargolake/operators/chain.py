@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cargolake import schemas
-from cargolake.functions.common import ts_lit
-from cargolake.functions.common import first_per_key
+from cargolake.functions.common import first_per_key, status_of, ts_lit
 from cargolake.functions.sequences import hour_chunk, keyed_position
 from cargolake.operators.events import normalised_payload, to_envelopes
 from cargolake.sources.envelopes import fingerprint, uuid_of
@@ -39,8 +38,13 @@ def track_confirmations(records: DataFrame, receipts: DataFrame,
     r = receipts.select("tx_hash", F.col("block_number").alias("r_block"), F.col("confirmations").alias("r_conf"),
                         F.lower(F.col("status")).alias("r_status"), F.col("gas_used").alias("r_gas"),
                         F.col("block_time").alias("r_time"))
-    j = records.join(r, "tx_hash", "left")
-    pending = F.upper(F.trim("status")) == "PENDING"
+    # settled records meet no receipt, so they stay out of the join's shuffle
+    pending = F.coalesce(status_of(records) == "PENDING", F.lit(False))
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in r.schema.fields if f.name != "tx_hash"]
+    settled = records.where(~pending).select("*", *none, F.lit(False).alias("_pending"))
+    waiting = records.where(pending).join(r, "tx_hash", "left").withColumn("_pending", F.lit(True))
+    j = waiting.unionByName(settled)
+    pending = F.col("_pending")
     failed = pending & (F.col("r_status") == "failed")
     confirmed = pending & (F.col("r_status") == "success") & (F.col("r_conf") >= required)
     out = j.select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cargolake import schemas
 from cargolake.functions.sequences import newest_first
-from cargolake.functions.common import ts_lit
+from cargolake.functions.common import status_of, ts_lit
 
 
 def lookup_by_keys(table: DataFrame, keys: DataFrame, key: str, keys_col: str | None = None) -> DataFrame:
@@ -26,17 +26,18 @@ def lookup_by_keys(table: DataFrame, keys: DataFrame, key: str, keys_col: str |
 
 def by_status(df: DataFrame, status: str, order_by=("created_at",)) -> DataFrame:
     """Rows in one status (case-insensitive), ordered."""
-    return df.where(F.upper(F.trim("status")) == status.upper()).orderBy(*order_by)
+    return df.where(status_of(df) == status.upper()).orderBy(*order_by)
 
 
 def status_counts(df: DataFrame) -> DataFrame:
     """One pass over the table for every status list size."""
-    return df.groupBy(F.upper(F.trim("status")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(status_of(df).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def in_statuses(df: DataFrame, statuses, negate: bool = False) -> DataFrame:
-    """Status-set predicate (``isin`` pushed to the scan as an IN filter)."""
-    cond = F.upper(F.trim("status")).isin(*[s.upper() for s in statuses])
+    """Status-set predicate; an IN filter of the scan where the snapshot was
+    written with normalised statuses."""
+    cond = status_of(df).isin(*[s.upper() for s in statuses])
     return df.where(~cond if negate else cond)
 
 
@@ -81,7 +82,7 @@ def latest_per_key(df: DataFrame, key: str, order_cols: list[str], value_cols: l
 
 def oldest_pending(records: DataFrame, n: int = schemas.PENDING_BATCH) -> DataFrame:
     """The ``n`` oldest pending chain records (a top-n is the feature)."""
-    return (records.where(F.upper(F.trim("status")) == "PENDING")
+    return (records.where(status_of(records) == "PENDING")
             .orderBy("created_at", "record_id").limit(int(n)))
 
 
@@ -92,7 +93,7 @@ def valid_tokens(tokens: DataFrame, as_of: str) -> DataFrame:
 
 def shipment_lifecycle(shipments: DataFrame) -> DataFrame:
     """P10: lifecycle row with completion / in-progress flags."""
-    st = F.upper(F.trim("status"))
+    st = status_of(shipments)
     return shipments.select(
         "shipment_id", F.lower(F.trim("status")).alias("status"), "departure_date", "arrival_date",
         (st == "COMPLETED").alias("is_completed"),

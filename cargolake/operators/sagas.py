@@ -13,12 +13,6 @@ from pyspark.sql import functions as F
 
 from cargolake import schemas
 
-# fixed values: compensation strategies (trigger -> ordered commands)
-_REASON_DELIVERY = "Delivery failed rollback"
-_REASON_COURIER = "Courier unassigned rollback"
-_REASON_INVENTORY = "Inventory insufficient"
-TOPIC_DELIVERY, TOPIC_INVENTORY, TOPIC_SHIPMENT = "delivery.commands", "inventory.commands", "shipment.commands"
-
 
 def plan_compensation(events: DataFrame, sagas: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """T4: failure events + saga snapshot -> (outcomes, commands, saga updates).
@@ -54,18 +48,15 @@ def plan_compensation(events: DataFrame, sagas: DataFrame) -> tuple[DataFrame, D
     etype = F.col("event_type")
     reason = F.coalesce(F.get_json_object(F.col("payload"), "$.reason"), F.concat(F.lit("Triggered by "), etype))
 
-    def cmd(ctype, topic, agg, why):
-        return F.struct(F.lit(ctype).alias("command_type"), F.lit(topic).alias("topic"),
-                        agg.cast("string").alias("aggregate_id"), why.alias("reason"))
-
-    unassign = F.when(F.col("delivery_id").isNotNull(), cmd("courier.unassign", TOPIC_DELIVERY, F.col("delivery_id"), reason))
-    release = lambda why: F.when(F.col("warehouse_id").isNotNull(),
-                                 cmd("inventory.release", TOPIC_INVENTORY, F.col("warehouse_id"), F.lit(why)))
-    cancel = lambda why: cmd("shipment.cancel", TOPIC_SHIPMENT, F.col("shipment_id"), F.lit(why))
-    plan = (F.when(etype == "delivery.failed",
-                   F.array(unassign, release(_REASON_DELIVERY), cancel(_REASON_DELIVERY)))
-            .when(etype == "courier.unassigned", F.array(release(_REASON_COURIER), cancel(_REASON_COURIER)))
-            .when(etype == "inventory.insufficient", F.array(cancel(_REASON_INVENTORY))))
+    def command(kind: str, why: str | None):
+        topic, target, needs_target = schemas.COMMAND_TARGETS[kind]
+        made = F.struct(F.lit(kind).alias("command_type"), F.lit(topic).alias("topic"), F.col(target).cast("string").alias("aggregate_id"),
+                        (reason if why is None else F.lit(why)).alias("reason"))
+        return F.when(F.col(target).isNotNull(), made) if needs_target else made
+
+    plan = F.lit(None)
+    for trigger, steps in schemas.COMPENSATION.items():
+        plan = F.when(etype == trigger, F.array(*[command(*step) for step in steps])).otherwise(plan)
     commands = (fired.select("event_id", F.col("correlation_id").alias("saga_id"), "shipment_id", "warehouse_id",
                              "delivery_id", F.posexplode(F.array_compact(plan)).alias("step", "c"))
                 .select("saga_id", "event_id", F.col("step").cast("int").alias("step"),

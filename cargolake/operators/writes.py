@@ -21,7 +21,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolake.functions.common import ts_lit
+from cargolake.functions.common import normalised, ts_lit
 from cargolake.functions.sequences import keyed_position
 
 
@@ -305,11 +305,13 @@ def rotate_tokens(tokens: DataFrame, presented: DataFrame, users: DataFrame, as_
     return snap, report
 
 
-def write_snapshot(df: DataFrame, base_path: str, version: int, partition_by: list[str] | None = None) -> str:
+def write_snapshot(df: DataFrame, base_path: str, version: int, partition_by: list[str] | None = None,
+                   statuses: tuple[str, ...] = ("status",)) -> str:
     """Persist a snapshot version under ``base_path/v=<version>``; readers of
-    older versions are untouched (never overwrite the path being read)."""
+    older versions are untouched (never overwrite the path being read).
+    ``statuses`` are normalised here, once, so that readers can push filters."""
     path = f"{base_path.rstrip('/')}/v={int(version)}"
-    w = df.write.mode("errorifexists")
+    w = normalised(df, *[c for c in statuses if c in df.columns]).write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)

@@ -1,11 +1,13 @@
-"""Registered streaming queries (rows-only checks: a stream run to completion
-with ``Trigger.AvailableNow`` over a log recorded from the fixture tables)."""
+"""Registered streaming queries (a stream run to completion with
+``Trigger.AvailableNow`` over a log recorded from the fixture tables), and
+those that read a snapshot which they have stored."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cargolake.operators import stats
+from cargolake.functions.common import normalised
+from cargolake.operators import reads, stats
 from cargolake.operators import writes as w
 from cargolake.plans.catalog import query
 from cargolake.streaming import feeds
@@ -74,13 +76,48 @@ def a5s(t):
                           ["transaction_date", "network"])
 
 
-@query("A13_incremental_refresh")
+@query("T5_saga_final_states", """
+WITH e AS (SELECT cast(correlation_id AS varchar) AS saga_id, event_type,
+                  row_number() OVER (PARTITION BY correlation_id ORDER BY ts, cast(event_id AS varchar)) AS n
+           FROM domain_events WHERE correlation_id IS NOT NULL),
+begun AS (SELECT saga_id, min(n) AS first_n FROM e WHERE event_type = 'shipment.created' GROUP BY saga_id),
+ended AS (SELECT saga_id, arg_min(event_type, n) AS cause FROM e JOIN begun USING (saga_id)
+          WHERE n > first_n AND event_type IN ('delivery.completed', 'delivery.failed', 'courier.unassigned', 'inventory.insufficient')
+          GROUP BY saga_id)
+SELECT saga_id, CASE WHEN cause IS NULL THEN 'STARTED' WHEN cause = 'delivery.completed' THEN 'COMPLETED' ELSE 'FAILED' END AS status,
+       CASE WHEN cause <> 'delivery.completed' THEN cause END AS failed_step
+FROM begun LEFT JOIN ended USING (saga_id)""")
+def t5_final(t):
+    """The last state of each saga that the drained state machine has reported."""
+    path, schema = _record(t, _event_log(t), "saga-log")
+    told = _drain(t, saga_state_machine(feeds.replay_files(t.spark, path, schema)), "sagas").where("kind = 'snapshot'")
+    final = F.col("status").isin("COMPLETED", "FAILED").cast("int")
+    last = told.groupBy("saga_id").agg(F.max(F.struct(final.alias("final"), "status")).alias("last"),
+                                       F.max(F.when(F.col("status") == "COMPENSATING", F.col("detail"))).alias("failed_step"))
+    return last.select("saga_id", "last.status", "failed_step")
+
+
+@query("A13_incremental_refresh", """
+WITH net AS (SELECT item_id, sum(delta) AS moved FROM item_quantity_changes GROUP BY item_id),
+carried AS (SELECT shipment_id, count(*) AS n, sum(weight) AS mass,
+                   sum(CASE WHEN quantity + moved >= 1 THEN quantity + moved ELSE quantity END) AS pieces
+            FROM items LEFT JOIN net USING (item_id) WHERE item_id IS NOT NULL GROUP BY shipment_id)
+SELECT shipments.* EXCLUDE (departure_date, arrival_date) REPLACE (upper(trim(status)) AS status), ifnull(n, 0) AS total_items,
+       cast(ifnull(pieces, 0) AS bigint) AS total_quantity, cast(ifnull(mass, 0) AS decimal(20,2)) AS total_weight
+FROM shipments LEFT JOIN carried USING (shipment_id)""")
 def a13(t):
-    """Recompute shipment_statistics only for shipments whose items changed
-    (U7) and splice them into the previous result."""
-    before = stats.shipment_statistics(t.shipments, t.items)
+    """The stored shipment_statistics snapshot, with the rows of the shipments
+    whose items changed (U7) computed anew."""
+    stored = w.write_snapshot(stats.shipment_statistics(t.shipments, t.items), feeds.scratch_path(t.spark, "statistics"), 1)
     new_items, _ = w.adjust_quantity(t.items, t.item_quantity_changes)
-    changed = t.items.join(t.item_quantity_changes.select("item_id").distinct(), "item_id", "left_semi") \
-        .select("shipment_id").distinct()
+    changed = t.items.join(t.item_quantity_changes.select("item_id"), "item_id", "left_semi").select("shipment_id")
     recomputed = stats.shipment_statistics(t.shipments.join(changed, "shipment_id", "left_semi"), new_items)
-    return feeds.changed_keys_refresh(before, recomputed, "shipment_id")
+    return feeds.changed_keys_refresh(t.spark.read.parquet(stored), normalised(recomputed, "status"), "shipment_id")
+
+
+@query("P3_deliveries_of_snapshot", """
+SELECT * REPLACE (upper(trim(status)) AS status) FROM deliveries WHERE upper(trim(status)) = 'IN_TRANSIT'""")
+def p3_snapshot(t):
+    """P3/U11 on a stored snapshot: the status filter reaches the scan."""
+    stored = w.write_snapshot(t.deliveries, feeds.scratch_path(t.spark, "deliveries"), 1)
+    return reads.by_status(t.spark.read.parquet(stored), "in_transit", ("created_at", "delivery_id"))

@@ -29,6 +29,22 @@ COMPENSATION_TRIGGER_EVENTS = ("inventory.insufficient", "delivery.failed", "cou
                                "blockchain.verification_failed")
 SAGA_START_EVENTS = ("shipment.created",)
 
+# ---- fixed values: compensation strategies ---------------------------------
+# trigger: commands in order, each with its reason (None: the event's own)
+COMPENSATION = {
+    "delivery.failed": (("courier.unassign", None), ("inventory.release", "Delivery failed rollback"),
+                        ("shipment.cancel", "Delivery failed rollback")),
+    "courier.unassigned": (("inventory.release", "Courier unassigned rollback"),
+                           ("shipment.cancel", "Courier unassigned rollback")),
+    "inventory.insufficient": (("shipment.cancel", "Inventory insufficient"),),
+}
+# command: topic, the saga's id that it is sent to, whether it is sent only where that id is known
+COMMAND_TARGETS = {
+    "courier.unassign": ("delivery.commands", "delivery_id", True),
+    "inventory.release": ("inventory.commands", "warehouse_id", True),
+    "shipment.cancel": ("shipment.commands", "shipment_id", False),
+}
+
 # ---- fixed values: thresholds ----------------------------------------------
 STUCK_SAGA_SECONDS = 600           # 10 minutes
 STUCK_TX_SECONDS = 1800            # 30 minutes

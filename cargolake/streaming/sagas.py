@@ -2,8 +2,10 @@
 
 Key: saga id (= correlation_id).  State per saga is a handful of scalars
 (status, ids, timestamps, retry count), so it stays small regardless of how
-many events a saga receives; events arrive per key in bounded Arrow
-batches and are folded in (timestamp, event_id) order.
+many events a saga receives.  Only the events that a saga handles reach
+Python, without their payloads, and are folded in (timestamp, event_id) order;
+one saga's events of one micro-batch are held at a time, so the size of a
+trigger (``replay_files``' ``max_files_per_trigger``) bounds them.
 
 Transitions (reference behaviour plus the C21 choices):
 * shipment.created starts a saga (STARTED) when none exists;
@@ -37,22 +39,16 @@ STATE_SCHEMA = ("status STRING, shipment_id STRING, warehouse_id STRING, deliver
 _FINAL_OR_COMP = {"COMPLETED", "COMPENSATING", "FAILED", "CANCELLED"}
 
 
-def _commands(event_type: str, reason: str | None, shipment, warehouse, delivery):
+_TARGET = {kind: (target, needed) for kind, (_, target, needed) in schemas.COMMAND_TARGETS.items()}
+_HANDLED = (*schemas.SAGA_START_EVENTS, *schemas.COMPENSATION_TRIGGER_EVENTS, "inventory.reserved", "courier.assigned", "delivery.completed")
+
+
+def _commands(event_type: str, reason: str | None, saga: dict):
     """The ordered compensation commands of one fired failure event."""
-    out = []
-    if event_type == "delivery.failed":
-        if delivery:
-            out.append(("courier.unassign", reason or f"Triggered by {event_type}"))
-        if warehouse:
-            out.append(("inventory.release", "Delivery failed rollback"))
-        out.append(("shipment.cancel", "Delivery failed rollback"))
-    elif event_type == "courier.unassigned":
-        if warehouse:
-            out.append(("inventory.release", "Courier unassigned rollback"))
-        out.append(("shipment.cancel", "Courier unassigned rollback"))
-    elif event_type == "inventory.insufficient":
-        out.append(("shipment.cancel", "Inventory insufficient"))
-    return out
+    for kind, why in schemas.COMPENSATION[event_type]:
+        target, needed = _TARGET[kind]
+        if saga[target] or not needed:
+            yield kind, why or reason or f"Triggered by {event_type}"
 
 
 def fold_saga(key, pdfs: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int) -> Iterator[pd.DataFrame]:
@@ -85,17 +81,10 @@ def fold_saga(key, pdfs: Iterator[pd.DataFrame], state: GroupState, timeout_ms:
             if cur["status"] in _FINAL_OR_COMP:
                 rows.append((saga_id, "outcome", cur["status"], "already_final", None, None, eid, ts))
                 continue
-            if et == "blockchain.verification_failed":  # reported, no compensation
+            if et not in schemas.COMPENSATION:  # a failed verification is reported, no compensation
                 rows.append((saga_id, "outcome", cur["status"], "no_strategy", None, None, eid, ts))
                 continue
-            reason = None
-            if isinstance(ev.payload, str) and '"reason"' in ev.payload:
-                import json
-                try:
-                    reason = json.loads(ev.payload).get("reason")
-                except ValueError:
-                    reason = None
-            for ctype, why in _commands(et, reason, cur["shipment_id"], cur["warehouse_id"], cur["delivery_id"]):
+            for ctype, why in _commands(et, ev.reason, cur):
                 rows.append((saga_id, "command", ctype, why, cur["warehouse_id"], cur["delivery_id"], eid, ts))
             cur.update(status="FAILED", failed_step=et, updated_at=ts)
             rows.append((saga_id, "snapshot", "COMPENSATING", et, cur["warehouse_id"], cur["delivery_id"], eid, ts))
@@ -130,9 +119,11 @@ def saga_state_machine(events: DataFrame, watermark: str = "10 minutes",
         events = events.withColumn("context_id", F.lit(None).cast("string"))
     e = (events.where(F.col("correlation_id").isNotNull())
          .select(F.col("correlation_id").cast("string").alias("saga_id"), F.col("event_id").cast("string").alias("event_id"),
-                 "event_type", F.col("aggregate_id").cast("string").alias("aggregate_id"), "payload",
+                 "event_type", F.col("aggregate_id").cast("string").alias("aggregate_id"),
+                 F.get_json_object("payload", "$.reason").alias("reason"),
                  F.col("context_id").cast("string").alias("context_id"), F.col("ts").cast("timestamp").alias("ts"))
-         .withWatermark("ts", watermark))
+         .withWatermark("ts", watermark)
+         .where(F.col("event_type").isin(*_HANDLED)))  # after the watermark, which all events move
     timeout_ms = int(timeout_s) * 1000
     return e.groupBy("saga_id").applyInPandasWithState(
         lambda k, p, s: fold_saga(k, p, s, timeout_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append",

@@ -5,11 +5,14 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from cargolake import schemas
+from cargolake.operators import reads
+from cargolake.operators.writes import write_snapshot
 from cargolake.plans.catalog import spark_callables
 
 SF = "/root/testdata/sf0.001"
 STREAMS = {"S8_S9_log_replay", "T12_stream_dedup", "T5_saga_state_machine", "M1_stream_request_rate",
-           "A5_stream_daily_blockchain"}
+           "A5_stream_daily_blockchain", "T5_saga_final_states"}
 
 
 def _plan(df):
@@ -55,6 +58,23 @@ def test_filters_reach_the_scan(spark, name, pushed):
     assert any(pushed in x for x in scans)
 
 
+@pytest.mark.parametrize("read, pushed", [
+    (lambda s: reads.by_status(s, "in_transit"), "EqualTo(status,IN_TRANSIT)"),
+    (lambda s: reads.in_statuses(s, schemas.DELIVERY_ACTIVE), "In(status, ["),
+    (lambda s: reads.oldest_pending(s.withColumnRenamed("delivery_id", "record_id")), "EqualTo(status,PENDING)")])
+def test_status_filters_reach_the_scan_of_a_stored_snapshot(spark, tmp_path, read, pushed):
+    rows = spark.createDataFrame([(1, " in_transit "), (2, "Pending"), (3, "lost"), (4, None)], "delivery_id long, status string")
+    rows = rows.withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    stored = spark.read.parquet(write_snapshot(rows, str(tmp_path), 1))
+    assert read(stored).count() == read(rows).count() == 1
+    assert pushed in _plan(read(stored)) and pushed not in _plan(read(rows))
+
+
+def test_settled_records_meet_no_join(spark):
+    plan = _plan(spark_callables()["T8_confirmation_tracking"](spark, SF))
+    assert "Union" in plan and "= PENDING" in plan
+
+
 def test_only_the_needed_columns_are_read(spark):
     plan = _plan(spark_callables()["P15_points_in_box"](spark, SF))
     assert "ReadSchema: struct<event_id:bigint,ts:timestamp_ntz,event_type:string>" in plan
