@@ -8,9 +8,10 @@ over them by their smoothed counts, so that every word of any text has a
 normalised probability.
 
 Training reads all training documents: each partition runs numpy minibatches of
-noise-contrastive estimation over every ``stride``-th token of its texts, and
-the partitions' parameters, of fixed size, are averaged in two levels; this is
-repeated ``rounds`` times.  Scoring needs the normaliser of each pair of
+noise-contrastive estimation over its texts, and the partitions' parameters, of
+fixed size, are averaged in two levels; this is repeated ``rounds`` times.  A
+round takes every ``rounds``-th token of a text, the next one another offset, so
+that each token of each text is the target once.  Scoring needs the normaliser of each pair of
 predecessors: because the score is a sum over places, all of them come out of
 one matrix product of exponentials.
 
@@ -45,7 +46,7 @@ from cargolake.llm.common import fold, prepare, raw_texts, stored
 
 VOCABULARY, WIDTH, CONTEXT = 2048, 24, 2
 HEAD = 131_072
-STRIDE, ROUNDS, BATCH, NOISE, RATE = 8, 2, 512, 64, 0.2
+ROUNDS, BATCH, NOISE, RATE = 2, 512, 64, 0.2
 FLUSH = 300_000  # words counted in a task before they are sent on
 LONGEST_HEAD = 64  # longer words are never in the head list
 END_KEY = "\n"  # no word holds white space
@@ -164,29 +165,47 @@ class Trainer:
         self.past = [np.full_like(x, 1e-2) for x in (self.m.target, self.m.context, self.m.bias, self.m.place)]
 
     def step(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> float:
+        """The noise's matrix is in single precision, all sums and parameters are in double."""
         m, size = self.m, len(word)
         drawn = np.minimum(np.searchsorted(self.edges, self.random.random(self.noise)), len(self.edges) - 1)
-        first, second = m.context[one], m.context[two]
+        first, second, goal = m.context.take(one, axis=0), m.context.take(two, axis=0), m.target.take(word, axis=0)
         hidden = first * m.place[0] + second * m.place[1]
-        real = np.einsum("ij,ij->i", hidden, m.target[word]) + m.bias[word] - self.log_noise[word]
-        fake = hidden @ m.target[drawn].T + m.bias[drawn] - self.log_noise[drawn]
+        real = np.einsum("ij,ij->i", hidden, goal) + m.bias[word] - self.log_noise[word]
+        single, other = hidden.astype(np.float32), m.target[drawn].astype(np.float32)
+        fake = single @ other.T
+        fake += (m.bias[drawn] - self.log_noise[drawn]).astype(np.float32)
         g_real = 1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1
-        g_fake = 1 / (1 + np.exp(-np.clip(fake, -30, 30)))
-        d_hidden = g_real[:, None] * m.target[word] + g_fake @ m.target[drawn]
-        grads = [np.zeros_like(x) for x in (m.target, m.context, m.bias, m.place)]
-        np.add.at(grads[0], word, g_real[:, None] * hidden)
-        np.add.at(grads[0], drawn, g_fake.T @ hidden)
-        np.add.at(grads[1], one, d_hidden * m.place[0])
-        np.add.at(grads[1], two, d_hidden * m.place[1])
-        np.add.at(grads[2], word, g_real)
-        np.add.at(grads[2], drawn, g_fake.sum(axis=0))
-        grads[3][0], grads[3][1] = (d_hidden * first).sum(axis=0), (d_hidden * second).sum(axis=0)
-        for x, g, past in zip((m.target, m.context, m.bias, m.place), grads, self.past):
-            g /= size
-            past += g * g
-            x -= self.rate * g / np.sqrt(past)
+        np.clip(fake, -30, 30, out=fake)
+        np.exp(np.negative(fake, out=fake), out=fake)
+        fake += 1
+        g_fake = np.reciprocal(fake, out=fake)
+        d_hidden = g_real[:, None] * goal + g_fake @ other
+        rows, begins, order = _same(np.concatenate((word, drawn)))
+        parts = np.concatenate((g_real[:, None] * hidden, g_fake.T @ single))
+        self._move(0, rows, np.add.reduceat(parts.take(order, axis=0), begins) / size)
+        self._move(2, rows, np.add.reduceat(np.concatenate((g_real, g_fake.sum(axis=0, dtype=np.float64)))[order], begins) / size)
+        place = np.stack(((d_hidden * first).sum(axis=0), (d_hidden * second).sum(axis=0)))
+        rows, begins, order = _same(np.concatenate((one, two)))
+        parts = np.concatenate((d_hidden * m.place[0], d_hidden * m.place[1]))
+        self._move(1, rows, np.add.reduceat(parts.take(order, axis=0), begins) / size)
+        self._move(3, slice(None), place / size)
         return float(-np.log1p(-np.minimum(-g_real, 1 - 1e-9)).mean())
 
+    def _move(self, k: int, rows: np.ndarray | slice, g: np.ndarray) -> None:
+        """One step of some rows of the parameter ``k``; a row without gradient would not move."""
+        x, past = (self.m.target, self.m.context, self.m.bias, self.m.place)[k], self.past[k]
+        sums = past[rows] + g * g
+        past[rows] = sums
+        x[rows] -= self.rate * g / np.sqrt(sums)
+
+
+def _same(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, where the group of each begins in the sorted order, and that order."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    begins = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+    return ids[begins], begins, order
+
 
 @cache
 def _lookup(words: tuple[bytes, ...]) -> dict[bytes, int]:
@@ -200,8 +219,8 @@ def _examples(ids: np.ndarray, start: int, stride: int) -> tuple[np.ndarray, np.
     return ids[at], padded[at + 1], padded[at]
 
 
-def train_round(docs: DataFrame, words: list[bytes], unigram: np.ndarray, model: LogBilinear, turn: int, stride: int = STRIDE) -> LogBilinear:
-    """One round over all texts of ``docs``: partitions train apart, then average by examples seen."""
+def train_round(docs: DataFrame, words: list[bytes], unigram: np.ndarray, model: LogBilinear, turn: int, stride: int = ROUNDS) -> LogBilinear:
+    """Round ``turn`` of ``stride`` over all texts of ``docs``: partitions train apart, then average by examples seen."""
     flat, size, width = model.flat(), *model.target.shape
     parts = math.ceil(len(flat) / 2048)
 
@@ -215,10 +234,12 @@ def train_round(docs: DataFrame, words: list[bytes], unigram: np.ndarray, model:
                 ids = np.append(np.where(ids < 0, REST, ids + 2), END)
                 waiting.append(_examples(ids, (zlib.crc32(raw) + turn) % stride, stride))
                 ready += len(waiting[-1][0])
-                while ready >= BATCH:
+                if ready >= BATCH:
                     word, one, two = (np.concatenate(c) for c in zip(*waiting))
-                    trainer.step(word[:BATCH], one[:BATCH], two[:BATCH])
-                    waiting, ready, seen = [(word[BATCH:], one[BATCH:], two[BATCH:])], ready - BATCH, seen + BATCH
+                    whole = ready - ready % BATCH
+                    for k in range(0, whole, BATCH):
+                        trainer.step(word[k:k + BATCH], one[k:k + BATCH], two[k:k + BATCH])
+                    waiting, ready, seen = [(word[whole:], one[whole:], two[whole:])], ready - whole, seen + whole
         if ready:
             word, one, two = (np.concatenate(c) for c in zip(*waiting))
             trainer.step(word, one, two)
@@ -255,7 +276,7 @@ def train(docs: DataFrame, counts: DataFrame, size: int = VOCABULARY, width: int
     unigram = known.unigram()
     net = LogBilinear.start(unigram, width)
     for turn in range(rounds if known.tokens else 0):
-        net = train_round(docs, known.words[:known.in_model], unigram, net, turn)
+        net = train_round(docs, known.words[:known.in_model], unigram, net, turn, rounds)
     return Model(known, net)
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -251,6 +252,34 @@ def test_lm_is_normalised_and_learns():
     assert np.allclose(p.sum(axis=2), 1, atol=1e-4) and p[3, 2, 4] > 0.9
 
 
+def test_lm_trains_on_every_token(monkeypatch):
+    texts = ["a b c a b c d", "a", "", None, "b b b", "a b c a b c d"] + [f"a b c w{i} d" for i in range(40)]
+    known = lm.Vocabulary([b"a", b"b", b"c"], np.array([46, 47, 44]), len(texts), 300, 45, 5)
+    targets = Counter()
+
+    class Task:
+        get, partitionId = classmethod(lambda cls: cls), classmethod(lambda cls: 0)
+
+    class Docs:  # runs the training function here, and drops its models
+        select = groupBy = applyInPandas = lambda self, *_: self
+        collect = lambda self: []
+
+        def mapInArrow(self, run, schema):
+            list(run(iter([pa.RecordBatch.from_arrays([pa.array(part, pa.string())], names=["text"]) for part in (texts[:3], texts[3:])])))
+            return self
+
+    monkeypatch.setattr(lm, "BATCH", 16)
+    monkeypatch.setattr(lm, "TaskContext", Task)
+    monkeypatch.setattr(lm, "vocabulary", lambda counts, size: known)
+    monkeypatch.setattr(lm.Trainer, "step", lambda self, *example: targets.update(zip(*(x.tolist() for x in example))))
+    lm.train(Docs(), None, size=5, width=4)
+    want = Counter()
+    for text in texts:
+        ids = [{"a": 2, "b": 3, "c": 4}.get(w, lm.REST) for w in (text or "").split()] + [lm.END]
+        want.update(zip(ids, [lm.END, *ids], [lm.END, lm.END, *ids]))
+    assert targets == want
+
+
 # ---- decontamination
 
 def test_alignment_against_brute_force():
