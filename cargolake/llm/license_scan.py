@@ -1,8 +1,9 @@
 """License scan: exact phrases, and an exact set-similarity join of text blocks
 with license templates.
 
-A block is a line, or an overlapping window of a long line that is sure to
-hold any template-sized stretch.  A block matches a template when it holds at
+A block is a line, or one of the half-overlapping windows of a long line, and of
+all words of the text where they cross a line end, so that any template-sized
+stretch is in a block, also if it is wrapped over lines.  A block matches a template when it holds at
 least the share ``threshold`` of the template's distinct words.  The join is
 exact and filtered: words are ordered by how many blocks of the whole corpus
 hold them, rarest first; only the prefix of a template that every match must
@@ -57,14 +58,25 @@ def word_lines(raw: bytes) -> list[list[bytes]]:
 
 
 def blocks(lines: list[list[bytes]], longest: int) -> Iterator[set[bytes]]:
-    """Word sets of lines, and of half-overlapping windows of long lines."""
+    """Word sets of lines, and of half-overlapping windows of long lines and of the whole text across line ends."""
+    stream: list[bytes] = []
+    ends: list[int] = []  # where each line ends in the stream
     for words in lines:
+        if not words:
+            continue
+        stream += words
+        ends.append(len(stream))
         if len(words) <= 2 * longest:
-            if words:
-                yield set(words)
+            yield set(words)
             continue
         for at in range(0, len(words) - longest, longest):
             yield set(words[at:at + 2 * longest])
+    line = 0
+    for at in range(0, max(1, len(stream) - longest), longest):
+        while line < len(ends) and ends[line] <= at:
+            line += 1
+        if line < len(ends) and ends[line] < min(at + 2 * longest, len(stream)):
+            yield set(stream[at:at + 2 * longest])
 
 
 @dataclass(frozen=True)

@@ -58,6 +58,29 @@ def test_similarity_join_is_exact():
             assert {t for t, _ in index.matches(block)} == want
 
 
+def test_wrapped_notices(docs_of):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated files"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n#\n# modification, are permitted provided that"
+    gpl = "This work is licensed under the\nGNU General Public\nLicense version 3"
+    pad = "\n".join(f"line{i} of other words" for i in range(37))
+    rows = [(1, mit), (2, bsd), (3, gpl), (4, f"{pad}\n{mit}\n{pad}"), (5, f"{pad} {bsd}"), (6, pad), (7, f"{pad}\n{mit}")]
+    got = {r.doc_id: (r.labels, r.n_blocks > 0) for r in license_scan.scan(docs_of(rows)).collect()}
+    assert got == {1: ("mit", True), 2: ("bsd", True), 3: ("gpl", True), 4: ("mit", True), 5: ("bsd", True), 6: ("", False), 7: ("mit", True)}
+
+
+def test_every_stretch_is_in_a_block():
+    random.seed(5)
+    for _ in range(200):
+        longest, n = random.randint(1, 6), random.randint(1, 40)
+        words, lines = [b"%d" % i for i in range(n)], []
+        while sum(map(len, lines)) < n:
+            at = sum(map(len, lines))
+            lines.append(words[at:at + random.randint(0, 20)])
+        found = list(license_scan.blocks(lines, longest))
+        assert all(any(set(words[at:at + longest]) <= block for block in found) for at in range(max(1, n - longest + 1)))
+        assert all(len(block) <= 2 * longest for block in found)
+
+
 # ---- token counts
 
 @pytest.mark.parametrize("chunk, overlap", [(32768, 512), (200, 30), (64, 4)])
