@@ -7,7 +7,9 @@ comments, hidden parts) leave a gap of blank lines.  Then the text lengths of
 sliding windows of lines are summed: a region surges where its windows pass a
 threshold and ends at a dive to nothing; text between is kept.  Link text adds
 no length, so unlabelled link lists dive by themselves.  The threshold falls
-with the page's largest window, so short articles are kept.
+with the page's largest window, so short articles are kept.  In a marked article
+(<article>, <main>) nothing is chosen: every line outside unwanted elements is
+kept.
 
 Edge cases: null or empty html, or html without text, gives an empty text;
 unclosed or crossed tags are read as far as they go; an unclosed unwanted
@@ -147,7 +149,7 @@ def main_text(page: str) -> str:
     lines = lines_of(_HEAD.sub(" ", page, count=1))
     marked = sum(n for _, n, inside in lines if inside)
     if marked and marked >= MAIN_SHARE * sum(n for _, n, _ in lines):
-        lines = [x if x[2] else ("", 0, False) for x in lines]
+        return " ".join(text for text, _, inside in lines if inside and text)
     size = [n for _, n, _ in lines]
     block = [sum(size[i:i + WINDOW]) for i in range(len(size))]
     least = min(SURGE, SURGE_SHARE * max(block, default=0))

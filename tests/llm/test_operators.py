@@ -203,6 +203,19 @@ def test_main_text(page, text):
     assert html_text.main_text(page or "") == text
 
 
+LONG = "A long paragraph of the article itself. " * 12
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<article><h1>Title</h1><div class=ad>buy</div><p>{0}</p></article>", "Title {0}"),
+    ("<main><h1>Title</h1><article><p>{0}</p></article></main>", "Title {0}"),
+    ("<article><p>{0}</p><div class=ad>buy</div><p>Short.</p><aside>more</aside><p>{0}</p></article>", "{0} Short. {0}"),
+    ("<article><h1><a href=x>Title</a></h1><p>{0}</p><p><a href=y>Source</a></p></article>", "Title {0} Source"),
+])
+def test_a_marked_article_is_kept_whole(page, text):
+    assert html_text.main_text(page.format(LONG)) == text.format(LONG.strip())
+
+
 def test_html_query_shape(spark):
     frame = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>A</p>", "y")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract(frame).orderBy("text").collect()] == [(1, "", 0), (None, "A", 1)]
