@@ -3,7 +3,11 @@
 Markup is stripped to lines, one for each stretch between block-level tags.
 Elements that by tag, role, class or id are never article text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader
-comments, hidden parts) leave a gap of blank lines.  Then the text lengths of
+comments, hidden parts) leave a gap of blank lines, unless they hold the page's
+chief article: the longest by text outside links of those that are not a
+comment or a teaser by class and not inside an element of such.  A name that
+holds a listed word in its middle ("layout-sidebar-right") does not make an
+element unwanted that holds most of the page's text.  Then the text lengths of
 sliding windows of lines are summed: a region surges where its windows pass a
 threshold and ends at a dive to nothing; text between is kept.  Link text adds
 no length, so unlabelled link lists dive by themselves.  The threshold falls
@@ -43,7 +47,10 @@ UNWANTED_NAMES = frozenset("""ad ads adv advert adverts advertisement advertisin
     navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended
     related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar topbar
     widget widgets""".split())
-STATES = frozenset("with without has no is show hide".split())  # prefixes of names that tell a state
+STATES = frozenset("with without has no is show hide".split())  # parts of names that tell a state by what follows
+# Those of the above whose articles are remarks or teasers.
+REMARK_TAGS = frozenset(("aside", "nav"))
+REMARK_NAMES = frozenset("comment comments commentlist disqus recommended related replies reply respond sidebar".split())
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike
     strong sub sup time tt u var wbr""".split())
 MAIN = frozenset(("article", "main"))
@@ -57,23 +64,65 @@ _ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)\s*(?:=\s*("
 _HEAD = re.compile(r"<head\b[^>]*>.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
 
 
-def _unwanted(name: str, attributes: str) -> bool:
-    if name in UNWANTED_TAGS:
-        return True
-    if not attributes or name in ROOTS:
-        return False
+WANTED, INNER, UNWANTED, REMARK = range(4)
+
+
+def _kind(name: str, attributes: str) -> int:
+    """INNER: only by a listed word in the middle of a name; REMARK: articles in it are none of the page's own."""
+    if name in REMARK_TAGS:
+        return REMARK
+    kind = UNWANTED if name in UNWANTED_TAGS else WANTED
+    if not attributes or name in ROOTS and name != "article":
+        return kind
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in UNWANTED_ROLES:
-            return True
-        if key == "style" and "display:none" in value.replace(" ", ""):
-            return True
         if key in ("class", "id"):
-            for one in value.split():  # "with-sidebar" names a page that has one
+            if name == "article":  # whole names only: an article "comments-open" has comments
+                if not REMARK_NAMES.isdisjoint(value.split()):
+                    return REMARK
+                continue
+            for one in value.split():
                 parts = re.split(r"[^a-z0-9]+", one)
-                if parts[0] not in STATES and not UNWANTED_NAMES.isdisjoint(parts):
-                    return True
-    return False
+                state = next((k for k, part in enumerate(parts) if part in STATES), len(parts))
+                parts = parts[:state]  # "content-with-sidebar" names a page that has one
+                listed = [k for k, part in enumerate(parts) if part in UNWANTED_NAMES]
+                if not listed:
+                    continue
+                if not REMARK_NAMES.isdisjoint(parts) and (0 in listed or listed[-1] == len(parts) - 1):
+                    return REMARK
+                kind = max(kind, UNWANTED if 0 in listed or listed[-1] == len(parts) - 1 else INNER)
+        elif name != "article" and (key == "hidden" or key == "aria-hidden" and value == "true" or key == "role" and value in UNWANTED_ROLES
+                                    or key == "style" and "display:none" in value.replace(" ", "")):
+            kind = UNWANTED
+    return kind
+
+
+def _chiefs(page: str, tokens: list[tuple], matched: dict[int, int], kinds: dict[int, int], mains: list[int]) -> tuple[list[int], list[int]]:
+    """(tokens that open a chief article, text outside links before each token and in all)."""
+    before, link, at = [0], 0, 0
+    for start, end, slash, name, _, raw in tokens:
+        before.append(before[-1] + (0 if link else len("".join(page[at:start].split()))))
+        at = end
+        if name and not raw and (name == "a" or name not in INLINE):
+            link = int(name == "a" and not slash)
+    before.append(before[-1] + len("".join(page[at:].split())))
+    turns = [0] * (len(tokens) + 1)  # where remarks begin and end
+    for i, kind in kinds.items():
+        if kind == REMARK and i in matched:
+            turns[i] += 1
+            turns[matched[i]] -= 1
+    inside, inner = 0, set()
+    for i in range(len(tokens)):
+        inside += turns[i]
+        if inside:
+            inner.add(i)
+    size = {i: before[matched.get(i, len(tokens)) + 1] - before[i + 1] for i in mains if kinds.get(i) != REMARK}
+    found = []
+    for name in MAIN:
+        own = [i for i in size if tokens[i][3] == name and i not in inner]
+        if own:
+            found.append(max(own, key=size.__getitem__))
+    return found + [i for i in size if i in inner and 2 * size[i] > before[-1]], before
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
@@ -96,6 +145,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                 stack.append(i)
             elif stack:
                 matched[stack.pop()] = i
+    kinds = {i: kind for i, (_, _, slash, name, attributes, raw) in enumerate(tokens) if name and not slash and not raw
+             and (kind := _kind(name, attributes))}
+    chiefs, before = _chiefs(page, tokens, matched, kinds, mains) if kinds else ([], [0])
     lines: list[tuple[str, int, bool]] = []
     piece: list[str] = []
     weight, depth, link, at, i = 0, 0, 0, 0, 0
@@ -121,9 +173,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
         if raw or not name:
             i += 1
             continue
-        if not slash and _unwanted(name, attributes):
+        if kinds.get(i):
             stop = matched.get(i, len(tokens) if name == "footer" else None)
-            if stop is not None and not any(i < m < stop for m in mains):
+            most = stop is not None and kinds[i] == INNER and 2 * (before[stop + 1] - before[i + 1]) > before[-1]
+            if stop is not None and not most and not any(i < m < stop for m in chiefs):
                 if name not in INLINE:
                     close_line()
                     lines.extend([("", 0, False)] * WINDOW)

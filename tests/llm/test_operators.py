@@ -216,6 +216,20 @@ def test_a_marked_article_is_kept_whole(page, text):
     assert html_text.main_text(page.format(LONG)) == text.format(LONG.strip())
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article><p>{0}</p></article><section id=comments><article class=comment>{0}{0}</article><article>{0}</article></section>", "{0}"),
+    ("<main><p>{0}</p><article class='comment odd'><p>remark</p></article></main>", "{0}"),
+    ("<main><p>{0}</p><aside><article>teaser</article></aside><div class=related><article>teaser</article></div></main>", "{0}"),
+    ("<div class=content-with-sidebar><p>{0}</p><div class=sidebar>box</div></div>", "{0}"),
+    ("<div class=layout-sidebar-right><p>{0}</p></div><div class=site-footer>foot</div>", "{0}"),
+    ("<div class=sidebar-page><article><p>{0}</p></article></div>", "{0}"),
+    ("<main><div class=comments-open><article class='post comments-open'><p>{0}</p></article></div></main>", "{0}"),
+    ("<p>{0}</p><div class=page-sidebar-box>box</div>", "{0}"),
+])
+def test_unwanted_elements_and_the_chief_article(page, text):
+    assert html_text.main_text(page.format(LONG)) == text.format(LONG.strip())
+
+
 def test_html_query_shape(spark):
     frame = spark.createDataFrame([(1, "u", None, "x"), (None, None, "<p>A</p>", "y")], "page_id long, url string, html string, text string")
     assert [(r.page_id, r.text, r.n_chars) for r in html_text.extract(frame).orderBy("text").collect()] == [(1, "", 0), (None, "A", 1)]
