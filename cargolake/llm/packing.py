@@ -29,6 +29,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -118,12 +119,14 @@ def text_ids(raw: bytes, path: str) -> bytes:
 
 
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
+SALT = ", salt long"  # tells equal rows apart; stored with the pieces, so that their slices stay
 
 
 def _pieces(path: str, capacity: int, separator: int):
     end = packed([separator])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = TaskContext.get().partitionId() << 40
         for batch in batches:
             source, piece, start, length, crc = [], [], [], [], []
             for row, raw in enumerate(raw_texts(batch.column("text"))):
@@ -135,10 +138,12 @@ def _pieces(path: str, capacity: int, separator: int):
                     start.append(at // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
+            salts = np.arange(salt, salt + len(source))
+            salt += len(source)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(source, pa.int64())), pa.array(piece, pa.int32()),
-                 *[pa.array(v, pa.int64()) for v in (start, length, crc)]],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                 *[pa.array(v, pa.int64()) for v in (start, length, crc, salts)]],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     return run
 
@@ -265,17 +270,21 @@ def _placed(plan: Plan):
     return run
 
 
+def sliced(pieces: DataFrame, slices: int) -> DataFrame:
+    """``pieces`` with a hash slice; the salt spreads equal rows over all slices."""
+    return pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(slices)))
+
+
 def ranked(pieces: DataFrame) -> DataFrame:
     """``pieces`` with their rank (from 0) within their length, by hash slices."""
     total = pieces.count()
-    slices = max(16, total // ROWS_PER_SLICE)
-    sliced = pieces.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(slices)))
-    sizes = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
+    dealt = sliced(pieces, max(16, total // ROWS_PER_SLICE))
+    sizes = dealt.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("length", "slice", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    own = F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    return (sliced.withColumn("own", own).join(starts, ["length", "slice"])
-            .select(*pieces.columns, (F.col("own") + F.col("earlier")).alias("rank")))
+    own = F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32", "salt")) - 1
+    return (dealt.withColumn("own", own).join(starts, ["length", "slice"])
+            .select(*pieces.drop("salt").columns, (F.col("own") + F.col("earlier")).alias("rank")))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, separator: int = 0) -> DataFrame:
@@ -284,7 +293,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, separator: int = 0) -
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     read = docs.select("doc_id", "text")
-    pieces = stored(read.mapInArrow(_pieces(path, capacity, separator), PIECES.format(kind=kind)), "pieces")
+    pieces = stored(read.mapInArrow(_pieces(path, capacity, separator), PIECES.format(kind=kind) + SALT), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``capacity`` rows
     plan = bin_plan(histogram, capacity)
     return ranked(pieces).mapInArrow(_placed(plan), PIECES.format(kind=kind) + ", sequence_id long, offset long")

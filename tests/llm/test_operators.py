@@ -182,6 +182,16 @@ def test_packing(docs_of):
     assert packing.pack(docs_of([]), path).count() == 0
 
 
+def test_equal_rows_are_spread_over_slices(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(packing, "stored", lambda df, name: kept.append(df) or df)
+    docs = spark.createDataFrame([(None, "")] * 2000, "doc_id long, text string").coalesce(1)
+    out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 64).collect()
+    assert len({(r.sequence_id, r.offset) for r in out}) == 2000
+    sizes = [r["count"] for r in packing.sliced(kept[0], 16).groupBy("length", "slice").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 400
+
+
 def test_bin_plan_covers_every_piece():
     random.seed(4)
     histogram = {n: random.randint(1, 40) for n in random.sample(range(1, 101), 60)}
