@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from cargolake.llm import (
-    ann, conversations, decontaminate, html_text, langid, license_scan, lm, packing, quality, simhash, token_counts,
+    alignment, ann, conversations, decontaminate, html_text, langid, license_scan, lm, packing, quality, simhash, token_counts,
 )
 from cargolake.llm.common import table
 
@@ -53,6 +53,11 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return conversations.repaired_summary(conversations.damage(rows), rows)
@@ -62,7 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_token_counts, op3_simhash_near_dedup, op4_best_fit_packing, op5_html_extraction,
         op6_quality_classifier, op7_language_id, op8_lm_scoring, op9_benchmark_decontamination, op10_nearest_neighbours,
-        op12_conversation_repair,
+        op11_tokenizer_alignment, op12_conversation_repair,
     )
 }
 
