@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cargolake.llm import (
     alignment, ann, conversations, decontaminate, html_text, langid, license_scan, lm, packing, quality, simhash, token_counts,
+    url_filter,
 )
 from cargolake.llm.common import table
 
@@ -63,11 +64,15 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repaired_summary(conversations.damage(rows), rows)
 
 
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_license_scan, op2_token_counts, op3_simhash_near_dedup, op4_best_fit_packing, op5_html_extraction,
         op6_quality_classifier, op7_language_id, op8_lm_scoring, op9_benchmark_decontamination, op10_nearest_neighbours,
-        op11_tokenizer_alignment, op12_conversation_repair,
+        op11_tokenizer_alignment, op12_conversation_repair, op13_url_filter,
     )
 }
 
