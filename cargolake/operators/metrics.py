@@ -76,18 +76,33 @@ def latency_quantiles(requests: DataFrame, qs=(0.99, 0.5), window_minutes: int =
     bucket counts (not from raw values), as the dashboard does.  Requests are
     counted once per pane of a slide's length; only panes, not requests, are
     repeated for the windows that hold them."""
+    panes = (requests.groupBy("service", F.window("ts", f"{slide_minutes} minutes").start.alias("pane"))
+             .agg(*histogram_aggs(F.col("duration_s"))))
+    return quantiles_of_panes(panes, qs, window_minutes, slide_minutes)
+
+
+def _windows(pane: str, window_minutes: int, slide_minutes: int) -> Column:
+    """The starts of the windows that hold a pane."""
     if window_minutes % slide_minutes:
         raise ValueError("the window must be a whole number of slides")
-    panes = (requests.groupBy("service", F.window("ts", f"{slide_minutes} minutes").start.alias("_pane"))
-             .agg(*histogram_aggs(F.col("duration_s"))))
-    starts = F.array(*[F.col("_pane") - F.expr(f"interval {k * slide_minutes} minutes")
-                       for k in range(window_minutes // slide_minutes)])
-    h = (panes.withColumn("window_start", F.explode(starts)).groupBy("service", "window_start")
+    return F.array(*[F.col(pane) - F.expr(f"interval {k * slide_minutes} minutes") for k in range(window_minutes // slide_minutes)])
+
+
+def quantiles_of_panes(panes: DataFrame, qs=(0.99, 0.5), window_minutes: int = 5, slide_minutes: int = 1) -> DataFrame:
+    """M3/M4 from the bucket counts of panes (service, pane, one column a bucket), which add up."""
+    h = (panes.withColumn("window_start", F.explode(_windows("pane", window_minutes, slide_minutes))).groupBy("service", "window_start")
          .agg(*[F.sum(c).cast("bigint").alias(c) for c in BUCKET_COLS]))
     return h.select("service", "window_start", *[
         (histogram_quantile(q) * 1000).alias(f"p{int(round(q * 100))}_ms") for q in qs])
 
 
+def error_ratio_of_panes(panes: DataFrame, window_minutes: int = 5, slide_minutes: int = 1) -> DataFrame:
+    """M7 over sliding windows: 5xx share in % from the counts of panes (pane, errors, requests)."""
+    h = (panes.withColumn("window_start", F.explode(_windows("pane", window_minutes, slide_minutes))).groupBy("window_start")
+         .agg(F.sum("errors").alias("errors"), F.sum("requests").alias("requests")))
+    return h.select("window_start", (F.lit(100.0) * F.col("errors") / F.col("requests")).alias("error_pct"))
+
+
 def services_up(samples: DataFrame) -> DataFrame:
     """M5: number of services whose latest ``up`` sample is 1."""
     latest = samples.groupBy("service").agg(F.max_by("up", F.struct("ts", "seq")).alias("up"))

@@ -61,17 +61,26 @@ def _parse(df: DataFrame, value_col: str, schema: str, required, uuid_fields, ts
     return parsed.withColumn("_reason", F.coalesce(*checks))
 
 
-def read_events(df: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
-    """S1 + S3: (typed events, quarantine).  correlation_id: falsy -> null."""
-    p = _parse(df, value_col, EVENT_SCHEMA, EVENT_REQUIRED, ("event_id", "aggregate_id"), "timestamp")
-    good = p.where(F.col("_reason").isNull()).select(
+def parse_events(df: DataFrame, value_col: str = "value") -> DataFrame:
+    """Each record with its parsed envelope (``_e``) and the reason to reject it (``_reason``, null if valid)."""
+    return _parse(df, value_col, EVENT_SCHEMA, EVENT_REQUIRED, ("event_id", "aggregate_id"), "timestamp")
+
+
+def accepted_events(parsed: DataFrame, columns: list[str], value_col: str = "value") -> DataFrame:
+    """The typed envelopes of the valid records, with the other ``columns`` of the log.  correlation_id: falsy -> null."""
+    return parsed.where(F.col("_reason").isNull()).select(
         F.col("_e.event_id").alias("event_id"), F.col("_e.event_type").alias("event_type"),
         F.col("_e.aggregate_id").alias("aggregate_id"), F.col("_e.aggregate_type").alias("aggregate_type"),
         F.col("_e.payload").alias("payload"),
         F.try_to_timestamp(F.col("_e.timestamp")).cast("timestamp_ntz").alias("timestamp"),
         F.when(F.col("_e.correlation_id") != "", F.col("_e.correlation_id")).alias("correlation_id"),
-        *[c for c in df.columns if c != value_col])
-    return good, quarantine(p, value_col)
+        *[c for c in columns if c != value_col])
+
+
+def read_events(df: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:
+    """S1 + S3: (typed events, quarantine)."""
+    p = parse_events(df, value_col)
+    return accepted_events(p, df.columns, value_col), quarantine(p, value_col)
 
 
 def read_commands(df: DataFrame, value_col: str = "value") -> tuple[DataFrame, DataFrame]:

@@ -1,6 +1,6 @@
 """Structured Streaming forms: log replay (S8/S9), idempotent consumption
-(T12), watermarked windowed aggregates (streaming A5, M1) and
-micro-batch application through ``foreachBatch`` (T6, T8, A13).
+(T12) and watermarked windowed aggregates (streaming A5, M1-M4, M7).  Workers
+that apply micro-batches to stored tables are in ``streaming.workers``.
 
 Sources are file streams here (no Kafka jar in the image); on a cluster the
 same plans run on ``readStream.format("kafka")`` with
@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cargolake.operators import metrics
 from cargolake.session import checkpoint_dir
 
 DEFAULT_WATERMARK = "10 minutes"
@@ -86,9 +87,20 @@ def windowed_request_rate(requests: DataFrame, watermark: str = DEFAULT_WATERMAR
             .select("service", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "per_second"))
 
 
-def late_rows(df: DataFrame, max_event_time, watermark_seconds: int) -> DataFrame:
-    """Late-data audit: rows older than (max event time - watermark)."""
-    return df.where(F.col("ts") < F.lit(max_event_time) - F.expr(f"interval {int(watermark_seconds)} seconds"))
+def latency_panes_stream(requests: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+    """M3/M4 (stream): bucket counts per service and minute.  They add up, so sliding windows of any length
+    (``metrics.quantiles_of_panes``) need no state of their own."""
+    r = as_event_time(requests).withWatermark("ts", watermark)
+    return (r.groupBy("service", F.window("ts", "1 minute").alias("window")).agg(*metrics.histogram_aggs(F.col("duration_s")))
+            .select("service", F.col("window.start").cast("timestamp_ntz").alias("pane"), *metrics.BUCKET_COLS))
+
+
+def error_panes_stream(requests: DataFrame, watermark: str = DEFAULT_WATERMARK) -> DataFrame:
+    """M7 (stream): requests and 5xx answers per minute over all services."""
+    r = as_event_time(requests).withWatermark("ts", watermark)
+    return (r.groupBy(F.window("ts", "1 minute").alias("window"))
+            .agg(F.count_if(F.col("status").between(500, 599)).alias("errors"), F.count(F.lit(1)).alias("requests"))
+            .select(F.col("window.start").cast("timestamp_ntz").alias("pane"), "errors", "requests"))
 
 
 def daily_chain_stats_stream(records: DataFrame, watermark: str = "1 day") -> DataFrame:
