@@ -17,6 +17,12 @@ Transitions (reference behaviour plus the C21 choices):
   commands of T4 plus COMPENSATING then FAILED;
 * no event for ``timeout`` of event time -> one step_timeout row, status
   kept (event-time timeout driven by the watermark, never wall clock).
+
+State: a finished saga (completed, failed, cancelled) is forgotten ``keep`` of
+event time after its last event, so state is bounded by the running sagas and
+those that ended within ``keep``; a failure that comes later than that finds no
+saga.  ``keep`` must therefore exceed how late an event may come.  Sagas that were
+begun before the log are handed over as ``loaded_sagas``, rows at its start.
 """
 
 from __future__ import annotations
@@ -37,10 +43,12 @@ STATE_SCHEMA = ("status STRING, shipment_id STRING, warehouse_id STRING, deliver
                 "started_at TIMESTAMP, updated_at TIMESTAMP, failed_step STRING, retry_count INT")
 
 _FINAL_OR_COMP = {"COMPLETED", "COMPENSATING", "FAILED", "CANCELLED"}
+LOADED = "saga.loaded"  # a row of the saga snapshot, in the log
+KEEP_SECONDS = 7 * 24 * 3600
 
 
 _TARGET = {kind: (target, needed) for kind, (_, target, needed) in schemas.COMMAND_TARGETS.items()}
-_HANDLED = (*schemas.SAGA_START_EVENTS, *schemas.COMPENSATION_TRIGGER_EVENTS, "inventory.reserved", "courier.assigned", "delivery.completed")
+_HANDLED = (*schemas.SAGA_START_EVENTS, *schemas.COMPENSATION_TRIGGER_EVENTS, "inventory.reserved", "courier.assigned", "delivery.completed", LOADED)
 
 
 def _commands(event_type: str, reason: str | None, saga: dict):
@@ -51,12 +59,16 @@ def _commands(event_type: str, reason: str | None, saga: dict):
             yield kind, why or reason or f"Triggered by {event_type}"
 
 
-def fold_saga(key, pdfs: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int) -> Iterator[pd.DataFrame]:
+def fold_saga(key, pdfs: Iterator[pd.DataFrame], state: GroupState, timeout_ms: int, keep_ms: int) -> Iterator[pd.DataFrame]:
     saga_id = str(key[0])
     rows = []
-    if state.hasTimedOut:  # reported once; the saga and its status stay, for what may still come
+    if state.hasTimedOut:
         st = dict(zip(("status", "shipment_id", "warehouse_id", "delivery_id", "started_at", "updated_at",
                        "failed_step", "retry_count"), state.get))
+        if st["status"] in _FINAL_OR_COMP:
+            state.remove()
+            return
+        # a running saga is reported once; it and its status stay, for what may still come
         rows.append((saga_id, "step_timeout", st["status"], "no event within timeout", st["warehouse_id"],
                      st["delivery_id"], None, st["updated_at"]))
         yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in OUTPUT_SCHEMA.split(", ")])
@@ -65,9 +77,15 @@ def fold_saga(key, pdfs: Iterator[pd.DataFrame], state: GroupState, timeout_ms:
     if state.exists:
         cur = dict(zip(("status", "shipment_id", "warehouse_id", "delivery_id", "started_at", "updated_at",
                         "failed_step", "retry_count"), state.get))
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["ts", "event_id"], kind="stable")
+    batch = pd.concat(list(pdfs), ignore_index=True)
+    batch = batch.assign(_later=batch["event_type"] != LOADED).sort_values(["_later", "ts", "event_id"], kind="stable")
     for ev in batch.itertuples(index=False):
         et, eid, ts = ev.event_type, str(ev.event_id), ev.ts
+        if et == LOADED:
+            if cur is None:
+                cur = {"status": ev.status, "shipment_id": ev.aggregate_id, "warehouse_id": ev.warehouse_id, "delivery_id": ev.delivery_id,
+                       "started_at": ts, "updated_at": ts, "failed_step": None, "retry_count": 0}
+            continue
         if et in schemas.SAGA_START_EVENTS:
             if cur is None:
                 cur = {"status": "STARTED", "shipment_id": str(ev.aggregate_id), "warehouse_id": None,
@@ -104,14 +122,24 @@ def fold_saga(key, pdfs: Iterator[pd.DataFrame], state: GroupState, timeout_ms:
     if cur is not None:
         state.update((cur["status"], cur["shipment_id"], cur["warehouse_id"], cur["delivery_id"],
                       cur["started_at"], cur["updated_at"], cur["failed_step"], int(cur["retry_count"])))
-        if cur["status"] not in _FINAL_OR_COMP:  # only a running saga can be late
-            last = int(pd.Timestamp(cur["updated_at"]).timestamp() * 1000)
-            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + timeout_ms)
+        # a running saga may be late, an ended one is forgotten
+        last = max(int(pd.Timestamp(cur["updated_at"]).timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(last + (keep_ms if cur["status"] in _FINAL_OR_COMP else timeout_ms))
     yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in OUTPUT_SCHEMA.split(", ")])
 
 
-def saga_state_machine(events: DataFrame, watermark: str = "10 minutes",
-                       timeout_s: int = schemas.STEP_TIMEOUT_SECONDS) -> DataFrame:
+def loaded_sagas(sagas: DataFrame) -> DataFrame:
+    """A saga snapshot as the first events of a log (event_id, event_type, aggregate_id, correlation_id, payload, ts,
+    context_id): the state that the machine starts from."""
+    text = F.to_json(F.struct(F.upper(F.trim("status")).alias("status"), F.col("warehouse_id").cast("string").alias("warehouse_id"),
+                              F.col("delivery_id").cast("string").alias("delivery_id")))
+    return sagas.select(F.concat(F.lit("loaded:"), F.col("saga_id").cast("string")).alias("event_id"), F.lit(LOADED).alias("event_type"),
+                        F.col("shipment_id").cast("string").alias("aggregate_id"), F.col("saga_id").cast("string").alias("correlation_id"),
+                        text.alias("payload"), F.coalesce("updated_at", "started_at").alias("ts"), F.lit(None).cast("string").alias("context_id"))
+
+
+def saga_state_machine(events: DataFrame, watermark: str = "10 minutes", timeout_s: int = schemas.STEP_TIMEOUT_SECONDS,
+                       keep_s: int = KEEP_SECONDS) -> DataFrame:
     """T5 on a streaming (or batch) frame of events with columns event_id,
     event_type, aggregate_id, correlation_id, payload, ts[, context_id]."""
     ship_package(events.sparkSession)
@@ -120,11 +148,11 @@ def saga_state_machine(events: DataFrame, watermark: str = "10 minutes",
     e = (events.where(F.col("correlation_id").isNotNull())
          .select(F.col("correlation_id").cast("string").alias("saga_id"), F.col("event_id").cast("string").alias("event_id"),
                  "event_type", F.col("aggregate_id").cast("string").alias("aggregate_id"),
-                 F.get_json_object("payload", "$.reason").alias("reason"),
+                 *[F.get_json_object("payload", f"$.{c}").alias(c) for c in ("reason", "status", "warehouse_id", "delivery_id")],
                  F.col("context_id").cast("string").alias("context_id"), F.col("ts").cast("timestamp").alias("ts"))
          .withWatermark("ts", watermark)
          .where(F.col("event_type").isin(*_HANDLED)))  # after the watermark, which all events move
-    timeout_ms = int(timeout_s) * 1000
+    timeout_ms, keep_ms = int(timeout_s) * 1000, int(keep_s) * 1000
     return e.groupBy("saga_id").applyInPandasWithState(
-        lambda k, p, s: fold_saga(k, p, s, timeout_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
+        lambda k, p, s: fold_saga(k, p, s, timeout_ms, keep_ms), OUTPUT_SCHEMA, STATE_SCHEMA, "append",
         GroupStateTimeout.EventTimeTimeout)
