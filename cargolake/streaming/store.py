@@ -1,7 +1,7 @@
 """Versioned table snapshots in buckets, with a ledger of applied batches.
 
 A store holds named tables, each split by a hash of its key into buckets:
-``<table>/v=<version>/bucket=<k>``.  A commit writes only the buckets that its
+``<table>/store_version=<n>/store_bucket=<k>``.  A commit writes only the buckets that its
 changes touch, under a new version, and then one ledger entry that says for
 every bucket which version holds it; all other buckets are carried by reference.
 The ledger entry, a single file, is the commit: a reader sees all of a version's
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 ENTRY = "batch long, table string, key string, kind string, buckets int, bucket int, at int, facts string"
+VERSION, BUCKET = "store_version", "store_bucket"  # folder names, so no column names of a table
 
 
 @dataclass(frozen=True)
@@ -53,6 +54,8 @@ class SnapshotStore:
         store = cls(spark, path)
         entries = []
         for name, (df, key) in tables.items():
+            if {VERSION, BUCKET} & {c.lower() for c in df.columns}:
+                raise ValueError(f"a column of {name} is named {VERSION} or {BUCKET}")
             kind = df.schema.json()
             held = store._write(name, 0, df, key, buckets)
             entries += [(-1, name, key, kind, buckets, b, 0 if b in held else None, json.dumps(facts or {})) for b in range(buckets)]
@@ -152,19 +155,19 @@ class SnapshotStore:
     def _scan(self, table: str, rows: list, wanted: list[int] | None) -> DataFrame:
         schema = StructType.fromJson(json.loads(rows[0]["kind"]))
         root = f"{self.path}/{table}"
-        paths = [f"{root}/v={r['at']}/bucket={r['bucket']}" for r in rows
+        paths = [f"{root}/{VERSION}={r['at']}/{BUCKET}={r['bucket']}" for r in rows
                  if r["at"] is not None and (wanted is None or r["bucket"] in wanted)]
         if not paths:
             return self.spark.createDataFrame([], schema)
-        marks = [StructField("v", IntegerType()), StructField("bucket", IntegerType())]
+        marks = [StructField(VERSION, IntegerType()), StructField(BUCKET, IntegerType())]
         return (self.spark.read.schema(StructType([*schema.fields, *marks])).option("basePath", root).parquet(*paths)
                 .select(*[F.col(f.name) for f in schema.fields]))
 
     def _write(self, table: str, version: int, df: DataFrame, key: str, buckets: int) -> set[int]:
         """Write ``df`` as ``version``; the buckets that hold rows."""
-        path = f"{self.path}/{table}/v={version}"
+        path = f"{self.path}/{table}/{VERSION}={version}"
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         held = Observation()
-        marked = df.withColumn("bucket", bucket).hint("rebalance", "bucket").observe(held, F.collect_set("bucket").alias("held"))
-        marked.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        marked = df.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).observe(held, F.collect_set(BUCKET).alias("held"))
+        marked.write.mode("overwrite").partitionBy(BUCKET).parquet(path)
         return set(held.get["held"])

@@ -339,7 +339,7 @@ class LateAudit:
         split = batch.withColumn("_late", F.coalesce(behind, F.lit(False))).persist()
         try:
             put(split.where("NOT _late").drop("_late"), self.kept, number)
-            put(split.where("_late").drop("_late").withColumn("behind", F.lit(latest)), self.late, number)
+            put(split.where("_late").drop("_late").withColumn("behind", F.lit(latest).cast("string")), self.late, number)
             seen = split.agg(F.max(at).alias("latest"), F.count(F.lit(1)).alias("rows"), F.count_if("_late").alias("late")).first()
         finally:
             split.unpersist()
