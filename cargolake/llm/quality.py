@@ -7,12 +7,17 @@ rows it is surest of, within the classes' shares, and hands them to the other.
 Both are then calibrated on labelled rows that neither was fitted to, and their
 log odds are added less the prior's, which would otherwise count twice.
 
-The fit uses hash samples of at most about ``max_labelled`` labelled and
-``max_unlabelled`` unlabelled rows, of which only numbers reach the driver.
-Scoring reads whole texts of all rows in one pass, without a shuffle.
+Texts are read once: their measures are stored, a few numbers a row.  All
+unlabelled rows take part in the rounds.  A round is a histogram of each view's
+log odds, from which the cut of the surest rows follows, and a few Newton steps
+whose sums (gradient and curvature over the pseudo-labelled rows) are added up
+per task and then per entry: what reaches the driver has a fixed size.  Only
+labelled rows are bounded: one row an id, at most ``max_labelled`` by hash.  The
+pseudo-labelled rows of a round weigh together at most as much as the labelled.
 
 Edge cases: a null text is measured as empty; null metadata is a value of its
-own; null ids are scored but not learned from; conflicting labels of one id
+own; rows with null ids are unlabelled; of several rows of a labelled id one
+(by hash) is learned from; conflicting labels of one id
 count as bad unless most say good; without labels of both classes every score
 is the share of good ones (1 if none), so all or none are kept; repeated rows
 stay; an empty table gives an empty result; other columns are ignored.
@@ -21,8 +26,8 @@ stay; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolake.llm.common import hash_rate, per_text, prepare
+from cargolake.llm.common import per_text, prepare, stored
 
-MAX_LABELLED, MAX_UNLABELLED = 20_000, 20_000
-ROUNDS, SURE, PENALTY = 4, 0.95, 1.0
+MAX_LABELLED = 20_000
+ROUNDS, STEPS, SURE, PENALTY = 4, 6, 0.95, 1.0
+BINS, BIN = 3000, 0.02  # of log odds, from -30 to 30
 SOURCES, LANGS = 32, 8  # hash buckets of the metadata values
 
 FEATURES = ("log_words", "word_length", "upper", "digits", "symbols", "exclaims", "bars", "distinct", "top_word",
@@ -73,10 +79,6 @@ def measure_column(text: Column) -> Column:
     return per_text(fields, ", ".join(f"{name} double" for name in FEATURES), measures)(text)
 
 
-def _bucket(value: str | None, buckets: int) -> int:
-    return buckets if value is None else zlib.crc32(value.encode()) % buckets
-
-
 def _metadata_columns() -> list[Column]:
     """Bucket of source, bucket of language, log length (each with a place for null)."""
     def bucket(name: str, n: int) -> Column:
@@ -101,21 +103,32 @@ class Logistic:
     shift: float = 0.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, penalty: float = PENALTY) -> Logistic:
-        mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-6
-        z = np.column_stack([(x - mean) / spread, np.ones(len(x))])
-        w, ridge = np.zeros(z.shape[1]), np.full(z.shape[1], penalty)
-        ridge[-1] = 1e-6
+    def fit(cls, x: np.ndarray, y: np.ndarray, mean: np.ndarray | None = None, spread: np.ndarray | None = None) -> Logistic:
+        model = cls(x.mean(axis=0) if mean is None else mean, x.std(axis=0) + 1e-6 if spread is None else spread, np.zeros(x.shape[1] + 1))
         for _ in range(25):
-            p = _sigmoid(z @ w)
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(ridge), z.T @ (y - p) - ridge * w)
-            w += step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
-            if np.abs(step).max() < 1e-6:
+            if model.step(*model.sums(x, y)) < 1e-6:
                 break
-        return cls(mean, spread, w)
+        return model
+
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([(x - self.mean) / self.spread, np.ones(len(x))])
+
+    def sums(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Curvature and gradient of the log likelihood, summed over rows."""
+        z = self.standard(x)
+        p = _sigmoid(z @ self.weight)
+        return (z * (p * (1 - p))[:, None]).T @ z, z.T @ (y - p)
+
+    def step(self, curvature: np.ndarray, gradient: np.ndarray, penalty: float = PENALTY) -> float:
+        """One bounded Newton step; its size."""
+        ridge = np.full(len(self.weight), penalty)
+        ridge[-1] = 1e-6
+        step = np.linalg.solve(curvature + np.diag(ridge), gradient - ridge * self.weight)
+        self.weight = self.weight + step * min(1.0, 4 / (np.abs(step).max() + 1e-12))
+        return float(np.abs(step).max())
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return np.column_stack([(x - self.mean) / self.spread, np.ones(len(x))]) @ self.weight
+        return self.standard(x) @ self.weight
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         return self.slope * self.raw(x) + self.shift
@@ -141,10 +154,13 @@ class CoTrained:
 
     def score(self, text: Column) -> Column:
         """Probability of good quality, over a row's text, source, lang and n_chars."""
+        return self.score_measured(measure_column(text), *_metadata_columns())
+
+    def score_measured(self, m: Column, source: Column, lang: Column, size: Column) -> Column:
+        """The same from the row's measures and metadata columns."""
         if self.content is None or self.metadata is None:
             return F.lit(self.prior)
         weights, start = self.content.flat()
-        m = measure_column(text)
 
         # one struct column, read by plain arithmetic: no second pass over the text
         def content(s: Column) -> Column:
@@ -154,7 +170,6 @@ class CoTrained:
             return total
 
         meta, base = self.metadata.flat()
-        source, lang, size = _metadata_columns()
         by_source = F.element_at(F.array(*[F.lit(w) for w in meta[:SOURCES + 1]]), source + 1)
         by_lang = F.element_at(F.array(*[F.lit(w) for w in meta[SOURCES + 1:SOURCES + LANGS + 2]]), lang + 1)
         odds = F.lit(math.log(self.prior / (1 - self.prior)))
@@ -163,62 +178,141 @@ class CoTrained:
         return 1 / (1 + F.exp(-logit))
 
 
-def _metadata_matrix(rows: list) -> np.ndarray:
-    out = np.zeros((len(rows), SOURCES + LANGS + 3))
-    for i, r in enumerate(rows):
-        out[i, r["source_b"]] = out[i, SOURCES + 1 + r["lang_b"]] = 1
-        out[i, -1] = r["log_chars"]
+def _metadata_matrix(source: np.ndarray, lang: np.ndarray, size: np.ndarray) -> np.ndarray:
+    out, rows = np.zeros((len(source), SOURCES + LANGS + 3)), np.arange(len(source))
+    out[rows, source] = out[rows, SOURCES + 1 + lang] = 1
+    out[:, -1] = size
     return out
 
 
-def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, free_content: np.ndarray, free_metadata: np.ndarray,
+def _views(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of a batch of measured rows."""
+    m = batch.column("m")
+    content = np.column_stack([m.field(i).to_numpy(zero_copy_only=False) for i in range(len(FEATURES))])
+    return content, _metadata_matrix(*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("source_b", "lang_b", "log_chars")))
+
+
+def _bins(model: Logistic, x: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(model.logit(x) / BIN).astype(np.int64) + BINS // 2, 0, BINS - 1)
+
+
+def _added(rows: DataFrame, numbers: Callable[[np.ndarray, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+    """Sum over all ``rows`` of a vector of ``size`` numbers that a batch gives: per task, then per entry."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size)
+        for batch in batches:
+            total += numbers(*_views(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["sums"])
+
+    per_task = rows.select("m", "source_b", "lang_b", "log_chars").mapInArrow(run, "sums array<double>")
+    found = per_task.select(F.posexplode("sums").alias("at", "v")).groupBy("at").agg(F.sum("v").alias("v")).collect()  # ``size`` rows
+    out = np.zeros(size)
+    for r in found:
+        out[r["at"]] = r["v"]
+    return out
+
+
+def _cuts(histogram: np.ndarray, quota: float, prior: float, sure: float) -> tuple[int, int]:
+    """The lowest bin of rows taken for good and the highest of those taken for bad: whole bins, the surest first, until
+    ``quota`` is reached in the classes' shares.  A view that is sure of too few rows of one class teaches as much fewer
+    of the other, and nothing if it is sure of none."""
+    edge = math.ceil(math.log(sure / (1 - sure)) / BIN)
+    high, low = edge + BINS // 2, BINS // 2 - edge - 1
+    filled = min(histogram[high:].sum() / max(quota * prior, 1e-9), histogram[:low + 1].sum() / max(quota * (1 - prior), 1e-9), 1.0)
+    if not filled:
+        return BINS, -1
+    up, down = np.cumsum(histogram[::-1]), np.cumsum(histogram)
+    top = BINS - 1 - int(np.searchsorted(up, filled * quota * prior - 1e-6))
+    bottom = int(np.searchsorted(down, filled * quota * (1 - prior) - 1e-6))
+    return max(top, high), min(bottom, low)
+
+
+def co_train(content: np.ndarray, metadata: np.ndarray, y: np.ndarray, free: DataFrame, scales: list[tuple[np.ndarray, np.ndarray]],
              rounds: int = ROUNDS, sure: float = SURE) -> CoTrained:
-    """Fit both views; ``y`` is 0 or 1, the free rows have no label."""
+    """Fit both views to labelled rows (``y`` is 0 or 1) and to the measured rows ``free``, which have no label."""
     prior = float(y.mean())
     held = np.arange(len(y)) % 4 == 3  # for calibration alone
-    views = [(content, free_content), (metadata, free_metadata)]
-    extra: list[dict[int, int]] = [{}, {}]  # pseudo-labels that each view was given
-    models: list[Logistic] = []
-    for turn in range(rounds + 1):
-        models = []
-        for (x, free), given in zip(views, extra):
-            rows, labels = list(given), np.array(list(given.values()), float)
-            models.append(Logistic.fit(np.vstack([x[~held], free[rows]]) if rows else x[~held], np.concatenate([y[~held], labels])))
-            models[-1].calibrate(x[held], y[held])
-        if turn == rounds or not len(free_content):
-            break
-        share = max(1, len(free_content) // (2 * rounds))
-        for teacher, learner in ((0, 1), (1, 0)):
-            p = _sigmoid(models[teacher].logit(views[teacher][1]))
-            for label, confidence, quota in ((1, p, prior), (0, 1 - p, 1 - prior)):
-                order = np.argsort(-confidence, kind="stable")[:max(1, int(share * quota) * (turn + 1))]
-                extra[learner].update({int(i): label for i in order if confidence[i] >= sure})
+    labelled = (content, metadata)
+    models = [Logistic.fit(x[~held], y[~held], *scale) for x, scale in zip(labelled, scales)]
+    widths = [len(m.weight) for m in models]
+    n_free = free.count()
+
+    def calibrated() -> None:
+        for model, x in zip(models, labelled):
+            model.slope, model.shift = 1.0, 0.0
+            model.calibrate(x[held], y[held])
+
+    calibrated()
+    for turn in range(rounds if n_free else 0):
+        told = [Logistic(m.mean, m.spread, m.weight, m.slope, m.shift) for m in models]  # the teachers of this round
+        counts = _added(free, lambda *x: np.concatenate([np.bincount(_bins(m, v), minlength=BINS) for m, v in zip(told, x)]), 2 * BINS)
+        quota = n_free * (turn + 1) / (2 * rounds)
+        cuts = [_cuts(h, quota, prior, sure) for h in (counts[:BINS], counts[BINS:])]
+        for _ in range(STEPS):
+            pupils = [Logistic(m.mean, m.spread, m.weight) for m in models]
+
+            def taught(*x: np.ndarray) -> np.ndarray:
+                out = []
+                for learner, teacher in ((0, 1), (1, 0)):
+                    bins, (good, bad) = _bins(told[teacher], x[teacher]), cuts[teacher]
+                    chosen = (bins >= good) | (bins <= bad)
+                    curvature, gradient = pupils[learner].sums(x[learner][chosen], (bins[chosen] >= good).astype(float))
+                    out += [curvature.ravel(), gradient, [chosen.sum()]]
+                return np.concatenate(out)
+
+            sums, at, size = _added(free, taught, sum(w * w + w + 1 for w in widths)), 0, 0.0
+            for model, x, w in zip(models, labelled, widths):
+                curvature, gradient, n = sums[at:at + w * w].reshape(w, w), sums[at + w * w:at + w * w + w], sums[at + w * w + w]
+                at += w * w + w + 1
+                weight = min(1.0, (~held).sum() * (turn + 1) / rounds / max(n, 1.0))
+                own = model.sums(x[~held], y[~held])
+                size = max(size, model.step(own[0] + weight * curvature, own[1] + weight * gradient))
+            if size < 0.01:
+                break
+        calibrated()
     return CoTrained(models[0], models[1], min(max(prior, 1e-3), 1 - 1e-3))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_unlabelled: int = MAX_UNLABELLED) -> CoTrained:
-    """Fit to ``docs`` (doc_id, text, lang, source, n_chars) and ``labels`` (doc_id, quality)."""
+def measured(docs: DataFrame) -> DataFrame:
+    """doc_id, the content view's measures and the metadata columns of every row.  Stored."""
     prepare(docs.sparkSession)
+    return stored(docs.select("doc_id", measure_column(F.col("text")).alias("m"), *_metadata_columns()), "measures")
+
+
+def fit(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained:
+    """Fit to ``measured`` rows and ``labels`` (doc_id, quality)."""
     known = (labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id")
              .agg((F.avg("quality") > 0.5).cast("int").alias("y")))
     total = known.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("good")).first()
     if not total["n"] or total["good"] in (0, total["n"]):
         return CoTrained(None, None, (total["good"] or 0) / total["n"] if total["n"] else 1.0)
-    pool = max(docs.select(F.count("doc_id")).first()[0], 1)
-    lab_rate, free_rate = min(1.0, max_labelled / total["n"]), min(1.0, max_unlabelled / pool)
-    numbers = ["doc_id", measure_column(F.col("text")).alias("m"), *_metadata_columns()]
-    sample = docs.filter(hash_rate(F.col("doc_id"), lab_rate)).select(*numbers).join(known, "doc_id").collect()
-    free = docs.filter(hash_rate(F.col("doc_id"), free_rate)).select(*numbers).join(known, "doc_id", "left_anti").collect()
-    sample.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
-    free.sort(key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
+    numbers = ("m", "source_b", "lang_b", "log_chars")
+    by_hash = F.xxhash64(F.col("doc_id").cast("string"), *numbers)
+    one_an_id = (rows.join(known.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id")
+                 .agg(F.min_by(F.struct(*numbers), by_hash).alias("r")).join(known, "doc_id"))
+    some = F.xxhash64(F.col("doc_id").cast("string"), F.lit("labelled"))
+    sample = one_an_id.select("doc_id", "r.*", "y").orderBy(some, F.col("doc_id").cast("string")).limit(max_labelled).collect()
     y = np.array([r["y"] for r in sample], float)
     if len(set(y.tolist())) < 2 or len(set(y[np.arange(len(y)) % 4 != 3].tolist())) < 2:
         return CoTrained(None, None, total["good"] / total["n"])
-    matrix = lambda rows: np.array([list(r["m"]) for r in rows], float).reshape(len(rows), len(FEATURES))
-    return co_train(matrix(sample), _metadata_matrix(sample), y, matrix(free), _metadata_matrix(free))
+    content = np.array([list(r["m"]) for r in sample], float)
+    metadata = _metadata_matrix(*(np.array([r[c] for r in sample]) for c in numbers[1:]))
+    spread = rows.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate([*(f"m.{name}" for name in FEATURES), "log_chars"])
+                        for n, f in (("a", F.avg), ("s", F.stddev_pop))]).first()
+    size = len(FEATURES)
+    plain = np.zeros(SOURCES + LANGS + 2)
+    scales = [(np.array([spread[f"a{i}"] for i in range(size)]), np.array([spread[f"s{i}"] for i in range(size)]) + 1e-6),
+              (np.append(plain, spread[f"a{size}"]), np.append(plain + 1, spread[f"s{size}"] + 1e-6))]
+    return co_train(content, metadata, y, rows.join(known, "doc_id", "left_anti"), scales)
+
+
+def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained:
+    """Fit to ``docs`` (doc_id, text, lang, source, n_chars) and ``labels`` (doc_id, quality)."""
+    return fit(measured(docs), labels, max_labelled)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per row of ``docs``: doc_id, score (probability of good quality), good (score >= threshold)."""
-    model = learn(docs, labels)
-    return docs.select("doc_id", model.score(F.col("text")).alias("score")).withColumn("good", F.col("score") >= threshold)
+    rows = measured(docs)
+    score = fit(rows, labels).score_measured(F.col("m"), F.col("source_b"), F.col("lang_b"), F.col("log_chars"))
+    return rows.select("doc_id", score.alias("score")).withColumn("good", F.col("score") >= threshold)

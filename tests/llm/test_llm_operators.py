@@ -284,6 +284,48 @@ def test_quality_edges(docs_of, spark):
     assert quality.classify(docs_of([]), labels.limit(0)).count() == 0
 
 
+def test_quality_labelled_rows_are_bounded_by_rows(spark, monkeypatch):
+    """One labelled id holds a third of all rows: it is one row of the fit, whatever the bound of ids would let in."""
+    seen = {}
+    real = quality.co_train
+
+    def watched(content, metadata, y, free, scales, **more):
+        seen.update(rows=len(y), free=free.count())
+        return real(content, metadata, y, free, scales, **more)
+
+    monkeypatch.setattr(quality, "co_train", watched)
+    rows = spark.range(3000).select(F.when(F.col("id") < 1000, F.lit(7)).otherwise(F.col("id")).alias("doc_id"),
+                                    F.concat(F.lit("some words of prose, "), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, " !!! $$$ ###").otherwise(".")).alias("text"),
+                                    F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(30).alias("n_chars"))
+    labels = spark.createDataFrame([(7, 1)] + [(i, i % 2) for i in range(1000, 1400)], "doc_id long, quality int")
+    out = quality.classify(rows, labels)
+    assert out.count() == 3000 and seen == {"rows": 401, "free": 1600}
+    good = {r.good for r in out.filter("doc_id >= 1400 AND doc_id % 2 = 1").collect()}, {r.good for r in out.filter("doc_id >= 1400 AND doc_id % 2 = 0").collect()}
+    assert good == ({True}, {False})
+    quality.learn(rows, labels, max_labelled=100)
+    assert seen["rows"] == 100
+
+
+def test_quality_sums_and_cuts_equal_plain_ones(spark):
+    """Sums over all rows in Spark against numpy; the cuts take whole bins, the surest first."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = quality.measured(docs)
+    held = rows.collect()
+    content = np.array([list(r.m) for r in held])
+    metadata = quality._metadata_matrix(*(np.array([r[c] for r in held]) for c in ("source_b", "lang_b", "log_chars")))
+    got = quality._added(rows, lambda c, m: np.concatenate([c.sum(axis=0), m.sum(axis=0)]), content.shape[1] + metadata.shape[1])
+    assert np.allclose(got, np.concatenate([content.sum(axis=0), metadata.sum(axis=0)]))
+    assert sorted(tuple(quality.measures((r.text or "").encode())) for r in docs.collect()) == sorted(map(tuple, content))
+    histogram = np.zeros(quality.BINS)
+    histogram[[0, 1, 2, -3, -2, -1]] = 10
+    assert quality._cuts(histogram, 30, 0.5, 0.95) == (quality.BINS - 2, 1)
+    assert quality._cuts(histogram, 1e9, 0.5, 0.95) == (quality.BINS - 3, 2)
+    histogram[-3:] = 0, 0, 10  # sure of fewer good rows: as much fewer bad ones
+    assert quality._cuts(histogram, 30, 0.5, 0.95) == (quality.BINS - 1, 0)
+    histogram[-1] = 0
+    assert quality._cuts(histogram, 30, 0.5, 0.95) == (quality.BINS, -1)
+
+
 # ---- language model
 
 def test_lm_scores(docs_of, documents):
