@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cargolake.llm.common import prepare, raw_texts
 
@@ -242,7 +243,7 @@ def contaminations(docs: DataFrame, items: DataFrame, threshold: float = THRESHO
     item_id, score, first_word, end_word (words of the document, from 0)."""
     prepare(docs.sparkSession)
     kind = items.schema["item_id"].dataType.simpleString()
-    arrow_kind = pa.string() if kind == "string" else {"int": pa.int32(), "smallint": pa.int16()}.get(kind, pa.int64())
+    arrow_kind = to_arrow_type(items.schema["item_id"].dataType)
     out = docs.sparkSession.createDataFrame([], f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {kind}, score double, first_word int, end_word int")
     for block, common in _seeded(docs, items, rare_share, block_words):
         pairs = docs.select("doc_id", F.explode(_found(block, common, threshold, kind, arrow_kind, F.col("text"))).alias("f"))
@@ -254,7 +255,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
                block_words: int = BLOCK_WORDS) -> DataFrame:
     """``docs`` without the rows whose text holds an item."""
     prepare(docs.sparkSession)
-    kept = docs
+    kept, kind = docs, items.schema["item_id"].dataType
     for block, common in _seeded(docs, items, rare_share, block_words):
-        kept = kept.filter(F.size(_found(block, common, threshold, "long", pa.int64(), F.col("text"))) == 0)
+        kept = kept.filter(F.size(_found(block, common, threshold, kind.simpleString(), to_arrow_type(kind), F.col("text"))) == 0)
     return kept

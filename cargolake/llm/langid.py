@@ -6,8 +6,8 @@ language whose profile its own ranked n-grams are least out of place in: the
 sum over the text's n-grams of how far the ranks lie apart, an n-gram that the
 profile lacks counting as one whole profile length.
 
-Profiles are learned from a hash sample of at most about
-``docs_per_language`` labelled texts of each language (a bound on the fit
+Profiles are learned from a hash sample (of rows, by id and text) of about
+``docs_per_language`` labelled texts of each language, one at least (a bound on the fit
 alone); prediction reads whole texts, in one pass, without a shuffle.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; ties
@@ -127,12 +127,14 @@ def learn(docs: DataFrame, may_learn: Column, size: int = PROFILE, docs_per_lang
     """Profiles from the rows of ``docs`` (doc_id, text, lang) where ``may_learn`` holds and text and lang are not null."""
     prepare(docs.sparkSession)
     usable = docs.select("doc_id", "text", "lang", may_learn.alias("may")).filter("may AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}  # one row a language
+    row = F.xxhash64("doc_id", "text")  # not the id alone: one id may hold all rows of a language
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("least")).collect()  # one row a language
     if not sizes:
         return Profiles([], np.empty(0, np.int64), np.empty((0, 0)), size)
     wanted = F.lit(False)
-    for lang, n in sizes.items():
-        wanted = wanted | ((F.col("lang") == lang) & hash_rate(F.col("doc_id"), min(1.0, docs_per_language / n)))
+    for r in sizes:
+        chosen = hash_rate(row, min(1.0, docs_per_language / r["n"])) | (row == r["least"])  # one text at least
+        wanted = wanted | ((F.col("lang") == r["lang"]) & chosen)
     counted = (usable.filter(wanted).select("lang", "text").mapInArrow(_count_ngrams, "lang string, code long, n long")
                .groupBy("lang", "code").agg(F.sum("n").alias("n")))
     top = Window.partitionBy("lang").orderBy(F.desc("n"), "code")

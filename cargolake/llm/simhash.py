@@ -152,10 +152,13 @@ def keep_one(docs: DataFrame, radius: int = 2, shingle: int = 3, seed: int = 42)
     """``docs`` without all but one row of each class: the smallest id stays
     (null ids last, then the smaller fingerprint); one of repeated rows stays."""
     prepare(docs.sparkSession)
-    marked = stored(docs.withColumn("__fp", fingerprint_column(F.col("text"), shingle, seed)), "marked")
-    known = classes(marked.select("doc_id", F.col("__fp").alias("fp")), radius)
+    name = "__fp"  # a name that the table does not hold
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    marked = stored(docs.withColumn(name, fingerprint_column(F.col("text"), shingle, seed)), "marked")
+    known = classes(marked.select("doc_id", F.col(name).alias("fp")), radius)
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "fp")
     first = (known.groupBy("root").agg(F.min(rank).alias("r"))
              .select(F.col("r.doc_id").alias("__id"), F.col("r.fp").alias("__f")))
-    kept = marked.join(first, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__f")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = marked.join(first, marked["doc_id"].eqNullSafe(first["__id"]) & (marked[name] == first["__f"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", name]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -150,10 +150,13 @@ def _spliced(summary: DataFrame) -> DataFrame:
 
 def _long_counts(texts: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
     """(id, n_tokens) of texts (id, text) longer than ``chunk``."""
-    done, todo = None, texts
+    spark = texts.sparkSession
+    # equal texts of one id are counted once; chunks are heavy, so their tasks are not merged by bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    done, todo = None, texts.dropDuplicates(["id"])
     while True:
-        pieces = todo.mapInArrow(_cut(chunk, overlap), PIECES).repartition("id", "part")
-        summary = pieces.mapInArrow(_encode(path), SUMMARY).dropDuplicates(["id", "part"])
+        pieces = todo.mapInArrow(_cut(chunk, overlap), PIECES).repartition(tasks, "id", "part")
+        summary = pieces.mapInArrow(_encode(path), SUMMARY)
         counts = stored(_spliced(summary), "splices")
         settled = counts.filter("n_tokens IS NOT NULL")
         done = settled if done is None else done.unionByName(settled)

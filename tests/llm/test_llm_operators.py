@@ -449,3 +449,83 @@ def test_few_vectors(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0]), (0, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(frame).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]
     assert ann.nearest(frame.limit(0)).count() == 0
+
+
+# ---- faults found in review
+
+LONG = "A long paragraph of prose that goes on for a while, so that its windows surge and nothing of it dives. " * 2
+
+
+@pytest.mark.parametrize("page, wanted", [
+    (f"<svg/><p>{LONG}</p>", [LONG]),
+    (f"<p>{LONG}</p><iframe src=x/><p>{LONG}</p>", [LONG, LONG]),
+    (f"<iframe src=x><p>{LONG}</p>", [LONG]),
+    (f"<html><head><title>x</title><meta a=b><p>{LONG}</p>", [LONG]),
+    (f"<head><title>x</title></head><body><title-card>Card</title-card><p>{LONG}</p>", [LONG]),
+    (f"<article><h2 id='share-prices'>Prices</h2><p>{LONG}</p><h2 id=copyright-law>Law</h2><p>{LONG}</p></article>", ["Prices", LONG, "Law", LONG]),
+    (f"<div class='post-header'><h1>Title</h1></div><p>{LONG}</p>", ["Title", LONG]),
+    (f"<p>{LONG}</p><div class=ad>Buy</div><p>Short.</p><div class=ad>Buy</div><p>{LONG}</p>", [LONG, "Short.", LONG]),
+    (f"<h1><a href=x>Linked title</a></h1><p>{LONG}</p>", ["Linked title", LONG]),
+    (f"<nav><a>Menu</a></nav><p>{LONG}</p><script>if (a < b) x()</script><!-- no --><footer>Foot</footer>", [LONG]),
+    (f"<SCRIPT>x</SCRIPT ><p title='a > b'>{LONG}</p><style>p > a", [LONG]),
+])
+def test_html_keeps_article_text(page, wanted):
+    text = html_text.main_text(page)
+    assert [w for w in (" ".join(x.split()) for x in wanted) if w not in text] == []
+    assert not any(w in text for w in ("Buy", "Menu", "Foot", "x()", "no -->", "> b", "> a"))
+
+
+@pytest.mark.parametrize("unit", ["<script", "<head", "<a '", "<svg>", "<a \">\" ", "<!-", "<", "</p", "<script>", "<iframe>x", "<p class='ad'>"])
+def test_html_hostile_pages_are_read_in_linear_time(unit):
+    import time
+    page = unit * (1_000_000 // len(unit))
+    start = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - start < 8  # on a loaded machine; quadratic time would be hours
+
+
+def test_html_regions_equal_plain_ones():
+    """Surge and dive against a plain reading of the rule."""
+    random.seed(8)
+    for _ in range(300):
+        size = [random.choice([0, 0, 0, 5, 30, 90, 200]) for _ in range(random.randint(0, 25))]
+        block = [sum(size[i:i + html_text.WINDOW]) for i in range(len(size))]
+        least = min(html_text.SURGE, html_text.SURGE_SHARE * max(block, default=0))
+        want = []
+        for i in range(len(size)):
+            first = next((k for k in range(i + 1) if size[k] and all(block[k:i + 1])), None)
+            end = next((k for k in range(i, len(size)) if not block[k]), len(size))
+            want.append(first is not None and max(block[first:end]) >= least)
+        assert html_text.regions(size) == want
+
+
+def test_one_id_does_not_hide_a_language(docs_of, spark):
+    rows = spark.createDataFrame([(1, f"der die das und nicht ein {i}", "de") for i in range(3000)]
+                                 + [(i + 10, f"the and of that is in {i}", "en") for i in range(3000)], "doc_id long, text string, lang string")
+    assert langid.learn(rows, F.lit(True), docs_per_language=20).languages == ["de", "en"]
+    same = spark.createDataFrame([(1, "der die das", "de")] * 2000 + [(2, "the and of", "en")] * 2000, "doc_id long, text string, lang string")
+    assert langid.learn(same, F.lit(True), docs_per_language=1).languages == ["de", "en"]
+
+
+def test_decontamination_takes_any_id(spark, docs_of):
+    passage = "a rare passage of quite unusual words about seventeen purple walruses dancing under eleven lamps"
+    docs = docs_of([(1, f"before {passage} after"), (2, "nothing of the kind is in this text at all")])
+    for kind, value in (("string", "q-1"), ("double", 1.5), ("decimal(5,2)", None), ("date", None)):
+        items = spark.createDataFrame([(passage,)], "text string").select(
+            (F.lit(value) if value is not None else F.lit("2024-01-01" if kind == "date" else "7.25")).cast(kind).alias("item_id"), "text")
+        assert [r.doc_id for r in decontaminate.keep_clean(docs, items).collect()] == [2]
+        assert [r.doc_id for r in decontaminate.contaminations(docs, items).collect()] == [1]
+
+
+def test_keep_one_leaves_the_callers_columns(docs_of):
+    docs = docs_of([(1, "a b c d"), (2, "a b c d"), (3, "quite other words here")]).withColumn("__fp", F.lit("mine"))
+    kept = simhash.keep_one(docs).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3] and {r["__fp"] for r in kept} == {"mine"}
+
+
+def test_repeated_long_texts_are_counted_once_each_row(docs_of):
+    text = "word " * 9000 + "end"
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    out = token_counts.token_counts(docs_of([(1, text)] * 20 + [(None, text)] * 20 + [(2, text + " x")]), path).collect()
+    n = len(Tokenizer.from_file(path).encode(text).ids)
+    assert len(out) == 41 and sorted({(str(r.doc_id), r.n_tokens) for r in out}) == [("1", n), ("2", n + 1), ("None", n)]
