@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cargolake.llm.common import per_text, prepare, stored
+from cargolake.llm.common import hash_rate, per_text, prepare, stored
 
 MAX_LABELLED = 20_000
 ROUNDS, STEPS, SURE, PENALTY = 4, 6, 0.95, 1.0
@@ -287,11 +287,15 @@ def fit(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     if not total["n"] or total["good"] in (0, total["n"]):
         return CoTrained(None, None, (total["good"] or 0) / total["n"] if total["n"] else 1.0)
     numbers = ("m", "source_b", "lang_b", "log_chars")
-    by_hash = F.xxhash64(F.col("doc_id").cast("string"), *numbers)
-    one_an_id = (rows.join(known.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id")
-                 .agg(F.min_by(F.struct(*numbers), by_hash).alias("r")).join(known, "doc_id"))
-    some = F.xxhash64(F.col("doc_id").cast("string"), F.lit("labelled"))
-    sample = one_an_id.select("doc_id", "r.*", "y").orderBy(some, F.col("doc_id").cast("string")).limit(max_labelled).collect()
+    by_id = F.col("doc_id").cast("string")
+    by_hash = F.xxhash64(by_id, *numbers)
+    marked = stored(rows.join(known, "doc_id", "left"), "labelled-measures")  # joined once, read in every round
+    # about a tenth more than is wanted, so that no task hands on more rows than that; then the bound itself
+    near = hash_rate(by_id, min(1.0, 1.1 * max_labelled / total["n"]))
+    one_an_id = marked.filter("y IS NOT NULL").filter(near).groupBy("doc_id").agg(
+        F.min_by(F.struct(*numbers), by_hash).alias("r"), F.max("y").alias("y"))
+    some = F.xxhash64(by_id, F.lit("labelled"))
+    sample = one_an_id.select("doc_id", "r.*", "y").orderBy(some, by_id).limit(max_labelled).collect()
     y = np.array([r["y"] for r in sample], float)
     if len(set(y.tolist())) < 2 or len(set(y[np.arange(len(y)) % 4 != 3].tolist())) < 2:
         return CoTrained(None, None, total["good"] / total["n"])
@@ -303,7 +307,7 @@ def fit(rows: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     plain = np.zeros(SOURCES + LANGS + 2)
     scales = [(np.array([spread[f"a{i}"] for i in range(size)]), np.array([spread[f"s{i}"] for i in range(size)]) + 1e-6),
               (np.append(plain, spread[f"a{size}"]), np.append(plain + 1, spread[f"s{size}"] + 1e-6))]
-    return co_train(content, metadata, y, rows.join(known, "doc_id", "left_anti"), scales)
+    return co_train(content, metadata, y, marked.filter("y IS NULL"), scales)
 
 
 def learn(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> CoTrained:
