@@ -21,7 +21,7 @@ def a1(t):
 from pyspark.sql import functions as F  # noqa: E402
 
 from cargolake import schemas  # noqa: E402
-from cargolake.operators import joins, monitor, reads  # noqa: E402
+from cargolake.operators import joins, monitor, reads, traces  # noqa: E402
 from cargolake.sources.fixtures import AS_OF_EVENTS, AS_OF_ORDERS  # noqa: E402
 
 _SECS = "epoch({a} - {b})"
@@ -427,3 +427,40 @@ def a14(t):
     from cargolake.functions.sequences import hour_chunk, keyed_position
     ev = t.domain_events.where(F.col("correlation_id").isNotNull()).select("correlation_id", "event_id", "event_type", "ts")
     return keyed_position(ev, ["correlation_id"], ["ts", "event_id"], hour_chunk("ts"))
+
+
+_TRACE_CAP = 60  # so that the fixture has traces of both forms
+_STEPS_SQL = f"""steps AS (
+  SELECT correlation_id, ts, 'event' AS kind, cast(event_id AS varchar) AS id, event_type AS label FROM domain_events
+  UNION ALL SELECT correlation_id, ts, 'command', command_id, command_type FROM command_log
+  UNION ALL SELECT correlation_id, ts, 'log', line_id, concat_ws(' ', level, message) FROM service_logs),
+sized AS (SELECT *, count(*) OVER (PARTITION BY correlation_id) AS n FROM steps WHERE correlation_id IS NOT NULL)"""
+
+
+@query("A14_short_traces", f"""
+WITH {_STEPS_SQL}
+SELECT correlation_id, cast(count(*) AS integer) AS n_steps, min(ts) AS first_ts, max(ts) AS last_ts,
+       string_agg(kind || ':' || id || ':' || label, ' > ' ORDER BY ts, kind, id) AS path
+FROM sized WHERE n <= {_TRACE_CAP} GROUP BY correlation_id""")
+def a14_short(t):
+    short, _ = traces.assemble(traces.steps(t.domain_events, t.command_log, t.service_logs), _TRACE_CAP)
+    told = F.transform("steps", lambda s: F.concat_ws(":", s["kind"], s["id"], s["label"]))
+    return short.select("correlation_id", "n_steps", "first_ts", "last_ts", F.array_join(told, " > ").alias("path"))
+
+
+@query("A14_long_traces", f"""
+WITH {_STEPS_SQL}
+SELECT correlation_id, ts, kind, id, label, row_number() OVER (PARTITION BY correlation_id ORDER BY ts, kind, id) AS position
+FROM sized WHERE n > {_TRACE_CAP}""")
+def a14_long(t):
+    return traces.assemble(traces.steps(t.domain_events, t.command_log, t.service_logs), _TRACE_CAP)[1]
+
+
+@query("P12_deliveries_with_nested_courier", """
+SELECT d.delivery_id, d.shipment_id, d.status, c.courier_id, c.name AS courier_name, c.contact_info AS courier_contact
+FROM deliveries d JOIN couriers c ON d.courier_id = c.courier_id""")
+def p12_nested(t):
+    """The delivery read with its courier as one nested value."""
+    rows = joins.deliveries_with_courier(t.deliveries, t.couriers, nested=True)
+    return rows.select("delivery_id", "shipment_id", "status", F.col("courier.courier_id").alias("courier_id"),
+                       F.col("courier.name").alias("courier_name"), F.col("courier.contact_info").alias("courier_contact"))

@@ -201,6 +201,15 @@ SELECT event_id AS patch_seq, case when event_id % 11 = 0 then -event_id - 1 els
        case when event_id % 5 = 0 then ts end AS actual_arrival,
        case when event_id % 3 = 0 then ts + interval '2' day end AS estimated_arrival,
        case when event_id % 4 = 0 then event_id % (select cast(ceil(count(*) * 1.2) as bigint) from supplier) end AS courier_id
+FROM domain_events""",
+    "command_log": """
+SELECT md5(concat('c', cast(event_id as string))) AS command_id,
+       case event_type when 'delivery.failed' then 'courier.unassign' when 'courier.unassigned' then 'inventory.release' else 'shipment.cancel' end AS command_type,
+       correlation_id AS correlation_id, ts + interval '1' second AS ts
+FROM domain_events WHERE event_type in ('delivery.failed', 'courier.unassigned', 'inventory.insufficient')""",
+    "service_logs": """
+SELECT concat('log-', cast(event_id as string)) AS line_id, case when event_type = 'delivery.failed' then 'ERROR' else 'INFO' end AS level,
+       concat('handled ', event_type) AS message, correlation_id AS correlation_id, ts + interval '2' second AS ts
 FROM domain_events""",
     "saga_context_patches": """
 SELECT event_id AS patch_seq, correlation_id AS saga_id,
