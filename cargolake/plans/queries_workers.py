@@ -17,7 +17,7 @@ from cargolake.plans.catalog import REGISTRY, query
 from cargolake.plans.queries_streaming import _drain, _drain_upserts
 from cargolake.plans.queries_streams import _ENVELOPES_SQL, _T4_BASE, _mixed
 from cargolake.sources.fixtures import AS_OF_EVENTS as NOW
-from cargolake.streaming import feeds, workers
+from cargolake.streaming import feeds, maintained, workers
 
 LATE = "interval '6' hour"  # how much later than the others every seventh row arrives
 HOLD = dt.timedelta(hours=7)
@@ -274,3 +274,57 @@ def late_audit(t):
     worker.run(log_stream(t, log), scratch(t, "audit-ckpt"))
     return (t.spark.read.parquet(kept).select("event_id", "ts", F.lit(False).alias("late"))
             .unionByName(t.spark.read.parquet(late).select("event_id", "ts", F.lit(True).alias("late"))))
+
+
+# ---- A13: statistics kept up from a change feed
+
+def _versions(current: DataFrame, changes: DataFrame, key: str, kept: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The changed rows as they were and as they are; ``kept`` columns stay those of the stored row."""
+    before = current.join(changes.select(key), key, "left_semi")
+    after = changes.join(current.select(key, *kept), key, "left").select(*current.columns)
+    return before, after
+
+
+@query("A13_maintained_saga_statistics", """
+WITH last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY saga_id ORDER BY change_seq DESC) AS rn FROM saga_rows) WHERE rn = 1),
+now AS (SELECT coalesce(l.saga_type, s.saga_type) AS saga_type, upper(trim(coalesce(l.status, s.status))) AS status,
+               coalesce(l.started_at, s.started_at) AS started_at, s.completed_at, s.retry_count
+        FROM saga_instances s FULL JOIN last l ON s.saga_id = l.saga_id)
+SELECT saga_type, count(*) AS total_sagas, count(*) FILTER (WHERE status = 'COMPLETED') AS completed,
+       count(*) FILTER (WHERE status = 'FAILED') AS failed, count(*) FILTER (WHERE status = 'CANCELLED') AS cancelled,
+       count(*) FILTER (WHERE status IN ('STARTED', 'COMPENSATING')) AS in_progress,
+       round(avg(epoch_us(completed_at) - epoch_us(started_at)) / 1e6, 6) AS avg_duration_seconds,
+       max(retry_count) AS max_retry_count, round(avg(retry_count), 6) AS avg_retry_count
+FROM now GROUP BY saga_type""")
+def a13_sagas(t):
+    """A2 after two change sets (new versions of some sagas, and new ones), the second applied twice."""
+    current = t.saga_instances.select("saga_id", "saga_type", "status", "started_at", "completed_at", "retry_count")
+    state = maintained.Maintained.start(t.spark, scratch(t, "saga-statistics"), current, maintained.saga_statistic())
+    for batch, versions in ((0, (1, 3)), (1, (2, 4))):
+        changes = t.saga_rows.where(F.col("change_seq").isin(*versions)).select("saga_id", "saga_type", "status", "started_at")
+        before, after = _versions(current, changes, "saga_id", ["completed_at", "retry_count"])
+        state.apply(batch, before, after)
+        current = current.join(changes.select("saga_id"), "saga_id", "left_anti").unionByName(after)
+    state.apply(1, before, after)
+    return maintained.saga_statistics(state)
+
+
+@query("A13_maintained_daily_blockchain", """
+WITH last AS (SELECT * FROM record_rows WHERE change_seq IN (1, 3)),
+now AS (SELECT coalesce(l.created_at, b.created_at) AS created_at, coalesce(l.status, b.status) AS status,
+               CASE WHEN l.record_id IS NULL THEN b.confirmed_at ELSE l.confirmed_at END AS confirmed_at,
+               CASE WHEN l.record_id IS NULL THEN b.gas_used ELSE l.gas_used END AS gas_used, b.network
+        FROM blockchain_records b FULL JOIN last l ON b.record_id = l.record_id)
+SELECT cast(created_at AS date) AS transaction_date, network, count(*) AS total_transactions,
+       count(*) FILTER (WHERE upper(trim(status)) = 'CONFIRMED') AS confirmed, count(*) FILTER (WHERE upper(trim(status)) = 'FAILED') AS failed,
+       cast(sum(gas_used) AS bigint) AS total_gas_used,
+       round(avg(epoch_us(confirmed_at) - epoch_us(created_at)) / 1e6, 6) AS avg_confirmation_time_seconds
+FROM now GROUP BY ALL""")
+def a13_chain(t):
+    """A5 after a change set that moves records to another day and adds new ones."""
+    columns = ["record_id", "created_at", "status", "confirmed_at", "gas_used", "network"]
+    current = t.blockchain_records.select(*columns)
+    state = maintained.Maintained.start(t.spark, scratch(t, "chain-statistics"), current, maintained.daily_chain_statistic())
+    changes = t.record_rows.where(F.col("change_seq").isin(1, 3)).select(*columns[:-1])
+    state.apply(0, *_versions(current, changes, "record_id", ["network"]))
+    return maintained.daily_blockchain_statistics(state)
