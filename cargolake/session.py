@@ -47,6 +47,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     return spark
 
 
+_LOCAL: dict[str, str] = {}  # folders made for local masters, by application
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
@@ -55,13 +58,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     then a temporary folder is made.  Elsewhere a missing setting is an error,
     because other executors cannot see a folder of one machine.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    app = spark.sparkContext.applicationId
+    current = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(app) or spark.sparkContext.getCheckpointDir()
     if not current:
         master = spark.sparkContext.master
         if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        current = tempfile.mkdtemp(prefix="cargolake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
+        current = _LOCAL[app] = tempfile.mkdtemp(prefix="cargolake-ckpt-")  # the setting itself is static
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return current
