@@ -8,8 +8,11 @@ histogram, which has at most ``capacity`` entries whatever the input:
    is covered by the chosen make-ups) is solved approximately by multiplicative
    weights; each round prices make-ups with an unbounded-knapsack dynamic
    program over the current weights of the lengths;
-2. the fractional solution is rounded down to whole bins within the counts;
-3. what is left is packed best fit decreasing, on counts, not on pieces.
+2. the fractional solution is rounded: its whole bins first, then one bin more of
+   each make-up by largest remainder, where the counts allow and the make-up is
+   full to a few tokens; the program is solved and rounded again for what is left;
+3. the rest, a few pieces a length at most, is packed best fit decreasing, on
+   counts, not on pieces.
 
 The plan is a short list of (length, rank interval, first sequence, offset), so
 pieces find their place from their rank within their length.  Ranks come from
@@ -39,7 +42,8 @@ from cargolake.llm.common import prepare, raw_texts, stored
 
 MEMO = 250_000  # words, and parts of other words, whose ids are remembered per worker
 LONGEST_WORD = 64
-ROUNDS, BATCH, RATE = 120, 48, 0.5
+ROUNDS, BATCH, RATE = 60, 48, 0.5
+PASSES = 3  # times that the program is solved and rounded
 ROWS_PER_SLICE = 20_000
 
 Plan = dict[str, np.ndarray]
@@ -225,6 +229,29 @@ def _best_fit(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tupl
     return [x for level in open_bins for x in level]
 
 
+def rounded(sizes: np.ndarray, counts: np.ndarray, capacity: int,
+            passes: int = PASSES) -> tuple[list[tuple[int, dict[int, int]]], np.ndarray]:
+    """Whole bins by the program, as (bins, {index of size: times}) pairs, and how many of each size remain."""
+    bins, left = [], counts.copy()
+    for _ in range(passes):
+        some = np.flatnonzero(left)
+        if not len(some):
+            break
+        program = [(x, {int(some[i]): t for i, t in inside.items()})
+                   for x, inside in configuration_program(sizes[some], left[some], capacity)]
+        full = [(x, inside) for x, inside in program
+                if capacity - sum(int(sizes[i]) * t for i, t in inside.items()) <= capacity // 512]
+        wanted = [(int(x), inside) for x, inside in program]
+        wanted += [(1, inside) for _, inside in sorted(full, key=lambda y: int(y[0]) - y[0])]
+        for n, inside in wanted:
+            n = min([n, *(int(left[i]) // t for i, t in inside.items())])
+            if n > 0:
+                for i, t in inside.items():
+                    left[i] -= n * t
+                bins.append((n, inside))
+    return bins, left
+
+
 def bin_plan(histogram: dict[int, int], capacity: int) -> Plan:
     """Where the pieces of each length go, by their rank within the length."""
     bins: list[tuple[int, dict[int, int]]] = []  # how many, {length: times}
@@ -232,14 +259,10 @@ def bin_plan(histogram: dict[int, int], capacity: int) -> Plan:
         bins.append((histogram[capacity], {capacity: 1}))
     sizes = np.array(sorted(k for k, n in histogram.items() if n and k < capacity), dtype=np.int64)
     if len(sizes):
-        left = np.array([histogram[int(k)] for k in sizes], dtype=np.int64)
-        for x, inside in configuration_program(sizes, left, capacity):
-            whole = min([int(x), *(int(left[i]) // t for i, t in inside.items())])
-            if whole > 0:
-                for i, t in inside.items():
-                    left[i] -= whole * t
-                bins.append((whole, {int(sizes[i]): t for i, t in inside.items()}))
-        bins += [(n, {int(sizes[i]): t for i, t in inside.items()}) for n, inside in _best_fit(sizes, left, capacity)]
+        counts = np.array([histogram[int(k)] for k in sizes], dtype=np.int64)
+        planned, left = rounded(sizes, counts, capacity)
+        for n, inside in planned + _best_fit(sizes, left, capacity):
+            bins.append((n, {int(sizes[i]): t for i, t in inside.items()}))
     rows, used, sequence = [], dict.fromkeys(histogram, 0), 0
     for n, inside in bins:
         offset = 0

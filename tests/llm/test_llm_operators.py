@@ -201,6 +201,23 @@ def test_bin_plan_covers_every_piece():
         assert ranks[0] == 0 and (np.diff(ranks) > 0).all() and ranks[-1] < n
 
 
+def test_the_program_places_nearly_all_pieces():
+    random.seed(11)
+    histogram = Counter(min(2047, max(2, int(random.lognormvariate(6.3, 0.8)))) for _ in range(6000))
+    sizes = np.array(sorted(histogram), dtype=np.int64)
+    counts = np.array([histogram[k] for k in sizes.tolist()], dtype=np.int64)
+    bins, left = packing.rounded(sizes, counts, 2048)
+    held = np.zeros(len(sizes), dtype=np.int64)
+    for n, inside in bins:
+        assert sum(int(sizes[i]) * t for i, t in inside.items()) <= 2048
+        for i, t in inside.items():
+            held[i] += n * t
+    assert (held + left == counts).all() and (left >= 0).all()
+    assert held.sum() >= 0.9 * counts.sum() and left.sum() <= len(sizes)
+    sequences = sum(n for n, _ in bins) + sum(n for n, _ in packing._best_fit(sizes, left, 2048))
+    assert sequences <= math.ceil(int((sizes * counts).sum()) / 2048) * 1.002 + 1
+
+
 # ---- HTML
 
 @pytest.mark.parametrize("page, text", [
