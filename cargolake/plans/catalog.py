@@ -33,7 +33,7 @@ def query(name: str, oracle: str | None = None):
 
 def load_all() -> dict[str, Query]:
     # importing the modules registers their queries
-    from cargolake.plans import queries_core, queries_quality, queries_writes, queries_history, queries_streams, queries_metrics_text, queries_streaming, queries_families, queries_workers  # noqa: F401
+    from cargolake.plans import queries_core, queries_quality, queries_writes, queries_history, queries_streams, queries_metrics_text, queries_streaming, queries_families, queries_workers, queries_indexes  # noqa: F401
     return REGISTRY
 
 

@@ -13,7 +13,8 @@ again after a failure is recognised and changes nothing, which makes
 
 Scale: a commit reads and writes the touched buckets only, so its cost follows
 the change set (with more buckets, the closer); a bucket that holds many of the
-rows is written by several tasks (``rebalance``); the manifest that the driver
+rows is written by several tasks (``rebalance``); files are sorted by key, or by
+the layout columns that a table names, so that filters on them skip row groups; the manifest that the driver
 reads has one row a table and bucket, whatever the tables hold.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-ENTRY = "batch long, table string, key string, kind string, buckets int, bucket int, at int, facts string"
+ENTRY = "batch long, table string, key string, kind string, buckets int, bucket int, at int, facts string, layout string"
 VERSION, BUCKET = "store_version", "store_bucket"  # folder names, so no column names of a table
 
 
@@ -48,17 +49,20 @@ class SnapshotStore:
         self._last: tuple[int, list] | None = None  # the last version and its manifest: a store has one writer
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, tables: dict[str, tuple[DataFrame, str]], buckets: int = 16,
+    def create(cls, spark: SparkSession, path: str, tables: dict[str, tuple], buckets: int = 16,
                facts: dict | None = None) -> SnapshotStore:
-        """A new store of ``tables`` (frame, key column): version 0, before any batch."""
+        """A new store of ``tables`` (frame, key column, and if wanted the columns that files are sorted by in place of
+        the key): version 0, before any batch."""
         store = cls(spark, path)
         entries = []
-        for name, (df, key) in tables.items():
+        for name, (df, key, *layout) in tables.items():
             if {VERSION, BUCKET} & {c.lower() for c in df.columns}:
                 raise ValueError(f"a column of {name} is named {VERSION} or {BUCKET}")
             kind = df.schema.json()
-            held = store._write(name, 0, df, key, buckets)
-            entries += [(-1, name, key, kind, buckets, b, 0 if b in held else None, json.dumps(facts or {})) for b in range(buckets)]
+            order = layout[0] if layout else [key]
+            held = store._write(name, 0, df, key, buckets, order)
+            entries += [(-1, name, key, kind, buckets, b, 0 if b in held else None, json.dumps(facts or {}), json.dumps(order))
+                        for b in range(buckets)]
         store._enter(0, entries)
         return store
 
@@ -111,13 +115,13 @@ class SnapshotStore:
             fresh = change.rows(self._scan(name, rows, touched))
             schema = StructType.fromJson(json.loads(rows[0]["kind"]))
             fresh = fresh.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
-            held = self._write(name, new, fresh, rows[0]["key"], rows[0]["buckets"])
+            held = self._write(name, new, fresh, rows[0]["key"], rows[0]["buckets"], json.loads(rows[0]["layout"]))
             if not held <= set(touched):
                 raise ValueError(f"a change of {name} gave rows of buckets that its keys do not touch")
             places.update({(name, b): new if b in held else None for b in touched})
         noted = manifest[0]["facts"] if facts is None else json.dumps(facts)
-        self._enter(new, [(batch, r["table"], r["key"], r["kind"], r["buckets"], r["bucket"], places[r["table"], r["bucket"]], noted)
-                          for r in manifest])
+        self._enter(new, [(batch, r["table"], r["key"], r["kind"], r["buckets"], r["bucket"], places[r["table"], r["bucket"]], noted,
+                           r["layout"]) for r in manifest])
         return True
 
     # ---- files
@@ -163,11 +167,11 @@ class SnapshotStore:
         return (self.spark.read.schema(StructType([*schema.fields, *marks])).option("basePath", root).parquet(*paths)
                 .select(*[F.col(f.name) for f in schema.fields]))
 
-    def _write(self, table: str, version: int, df: DataFrame, key: str, buckets: int) -> set[int]:
+    def _write(self, table: str, version: int, df: DataFrame, key: str, buckets: int, order: list[str]) -> set[int]:
         """Write ``df`` as ``version``; the buckets that hold rows."""
         path = f"{self.path}/{table}/{VERSION}={version}"
         bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         held = Observation()
-        marked = df.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).observe(held, F.collect_set(BUCKET).alias("held"))
+        marked = df.withColumn(BUCKET, bucket).hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, *order).observe(held, F.collect_set(BUCKET).alias("held"))
         marked.write.mode("overwrite").partitionBy(BUCKET).parquet(path)
         return set(held.get["held"])
