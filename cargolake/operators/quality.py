@@ -277,6 +277,28 @@ def orphans(child: DataFrame, child_name: str, fk: str, parent: DataFrame, paren
                     F.lit(f"fk:{fk}->{parent_name}").alias("rule"), F.col(fk).cast("string").alias("value")))
 
 
+def orphans_by_parent(children: list[tuple[DataFrame, str, str]], parent: DataFrame, parent_name: str, pk: str) -> DataFrame:
+    """Q6: ``orphans`` of several (child, name, foreign key) of one parent, whose keys are read and shuffled once."""
+    rows = union_all([
+        child.where(F.col(fk).isNotNull()).select(
+            F.lit(name).alias("table_name"), F.expr(key_sql(name)).alias("row_key"), F.lit(f"fk:{fk}->{parent_name}").alias("rule"),
+            F.col(fk).alias("_fk")) for child, name, fk in children])
+    keys = parent.select(F.col(pk).alias("_fk"))
+    return rows.join(keys, "_fk", "left_anti").select("table_name", "row_key", "rule", F.col("_fk").cast("string").alias("value"))
+
+
+def parentless(changes: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
+    """The changes of keys that the parent lacks.  A history depends on the rows of its own key alone, so the
+    orphans of a history are the history of these: nothing else needs to be put in order."""
+    return changes.where(F.col(fk).isNotNull()).join(parent.select(F.col(pk).alias(fk)), fk, "left_anti")
+
+
+def all_rows(child: DataFrame, child_name: str, fk: str, parent_name: str) -> DataFrame:
+    """Rows that are known to be orphans, as violations."""
+    return child.select(F.lit(child_name).alias("table_name"), F.expr(key_sql(child_name)).alias("row_key"),
+                        F.lit(f"fk:{fk}->{parent_name}").alias("rule"), F.col(fk).cast("string").alias("value"))
+
+
 def orphans_oracle(child_name: str, fk: str, parent_name: str, pk: str) -> str:
     return (f"SELECT '{child_name}' AS table_name, {key_sql(child_name)} AS row_key, "
             f"'fk:{fk}->{parent_name}' AS rule, cast({fk} as varchar) AS value FROM {child_name} c "

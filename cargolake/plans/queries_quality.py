@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from cargolake.operators import history as h
 from cargolake.operators import quality as q
 from cargolake.plans.catalog import query
 from cargolake.plans.queries_families import HISTORIES, child, child_sql
@@ -37,7 +38,20 @@ _HISTORY_CTES = ",\n".join(f"{name} AS {child_sql(name)}" for name in HISTORIES)
 
 @query("Q6_referential", f"WITH {_HISTORY_CTES}\n" + "\nUNION ALL\n".join(q.orphans_oracle(*fk) for fk in q.FOREIGN_KEYS))
 def q6(t):
-    return q.union_all([q.orphans(child(t, c), c, fk, getattr(t, p), p, pk) for c, fk, p, pk in q.FOREIGN_KEYS])
+    """One join a parent; the histories that come from a change log are derived for parentless keys alone, of which
+    no snapshot holds a row."""
+    logs = {"shipment_status_history": (t.shipment_changes, lambda old, log: h.status_history_from_log(old, log, "shipment_id")),
+            "saga_events": (t.saga_changes, h.saga_events_from_log)}
+    found, children = [], {}
+    for name, fk, parent, pk in q.FOREIGN_KEYS:
+        if name in logs:
+            log, history = logs[name]
+            stored = getattr(t, parent)
+            found.append(q.all_rows(history(stored.where("false"), q.parentless(log, fk, stored, pk)), name, fk, parent))
+        else:
+            children.setdefault((parent, pk), []).append((child(t, name), name, fk))
+    found += [q.orphans_by_parent(some, getattr(t, parent), parent, pk) for (parent, pk), some in children.items()]
+    return q.union_all(found)
 
 
 # Stored shipments are checked against the CHECK-constraint vocabulary
