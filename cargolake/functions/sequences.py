@@ -22,14 +22,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _join_null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """Left join in which null equals null (a null key or chunk is a value of its own)."""
-    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in on else F.col(c) for c in right.columns])
-    same = None
-    for c in on:
-        one = left[c].eqNullSafe(renamed[f"_r_{c}"])
-        same = one if same is None else same & one
-    return left.join(renamed, same, "left").drop(*[f"_r_{c}" for c in on])
+def _with_chunk(df: DataFrame, key: list[str], chunk: Column) -> DataFrame:
+    """Add ``_at``, the key and its chunk as one struct.  Structs compare null
+    fields as equal, so windows, aggregates and the stitch join all hash the
+    same column: the rows are shuffled once, null keys and chunks included."""
+    return df.withColumn("_at", F.struct(*[F.col(c) for c in key], chunk.alias("_chunk")))
+
+
+def _over_chunks(key: list[str]):
+    """The chunks of a key in order (null first)."""
+    return Window.partitionBy(*[F.col(f"_at.{c}") for c in key]).orderBy(F.col("_at._chunk").asc_nulls_first())
 
 
 def hour_chunk(ts_col: str) -> Column:
@@ -45,37 +47,35 @@ def seq_chunk(seq_col: str, rows: int = 1 << 16) -> Column:
 def keyed_last(df: DataFrame, key: list[str], order: list[str], value: str, chunk: Column, name: str) -> DataFrame:
     """Add ``name``: the last known (non-null) ``value`` in an earlier row of the
     same key (null: none)."""
-    s = df.withColumn("_chunk", chunk)
-    before = Window.partitionBy(*key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    s = _with_chunk(df, key, chunk)
+    before = Window.partitionBy("_at").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = s.withColumn("_near", F.last(value, ignorenulls=True).over(before))
-    last = (s.groupBy(*key, "_chunk")
+    last = (s.groupBy("_at")
             .agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*[F.col(c) for c in order]))).alias("_known")))
-    earlier = (Window.partitionBy(*key).orderBy(F.col("_chunk").asc_nulls_first())
-               .rowsBetween(Window.unboundedPreceding, -1))
-    carry = last.withColumn("_far", F.last("_known", ignorenulls=True).over(earlier)).select(*key, "_chunk", "_far")
-    out = _join_null_safe(local, carry, [*key, "_chunk"])
-    return out.withColumn(name, F.coalesce("_near", "_far")).drop("_near", "_far", "_chunk")
+    earlier = _over_chunks(key).rowsBetween(Window.unboundedPreceding, -1)
+    carry = last.withColumn("_far", F.last("_known", ignorenulls=True).over(earlier)).select("_at", "_far")
+    out = local.join(carry, "_at", "left")
+    return out.withColumn(name, F.coalesce("_near", "_far")).drop("_near", "_far", "_at")
 
 
 def keyed_lag(df: DataFrame, key: list[str], order: list[str], cols: list[str], chunk: Column,
               prefix: str = "prev_") -> DataFrame:
     """Add ``prev_<c>``: the value of ``c`` in the previous row of the same key
     (null on the key's first row), for every c in ``cols``."""
-    s = df.withColumn("_chunk", chunk)
-    w = Window.partitionBy(*key, "_chunk").orderBy(*order)
+    s = _with_chunk(df, key, chunk)
+    w = Window.partitionBy("_at").orderBy(*order)
     local = s.withColumn("_first", F.row_number().over(w) == 1)
     for c in cols:
         local = local.withColumn(f"_lag_{c}", F.lag(c).over(w))
     ordering = F.struct(*[F.col(c) for c in order])
-    last = (s.groupBy(*key, "_chunk")
+    last = (s.groupBy("_at")
             .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), ordering).alias("_last")))
-    w_chunks = Window.partitionBy(*key).orderBy(F.col("_chunk").asc_nulls_first())
-    carry = last.withColumn("_carry", F.lag("_last").over(w_chunks)).select(*key, "_chunk", "_carry")
-    out = _join_null_safe(local, carry, [*key, "_chunk"])
+    carry = last.withColumn("_carry", F.lag("_last").over(_over_chunks(key))).select("_at", "_carry")
+    out = local.join(carry, "_at", "left")
     for c in cols:
         out = out.withColumn(f"{prefix}{c}",
                              F.when(F.col("_first"), F.col(f"_carry.{c}")).otherwise(F.col(f"_lag_{c}")))
-    return out.drop("_first", "_carry", "_chunk", *[f"_lag_{c}" for c in cols])
+    return out.drop("_first", "_carry", "_at", *[f"_lag_{c}" for c in cols])
 
 
 def keyed_position(df: DataFrame, key: list[str], order: list[str], chunk: Column, name: str = "position",
@@ -83,16 +83,15 @@ def keyed_position(df: DataFrame, key: list[str], order: list[str], chunk: Colum
     """Add a gap-free position of each row within its key, starting at
     ``start``: local row number inside the (key, chunk) + the row counts of
     the key's earlier chunks (a prefix sum over the small count table)."""
-    s = df.withColumn("_chunk", chunk)
-    w = Window.partitionBy(*key, "_chunk").orderBy(*order)
+    s = _with_chunk(df, key, chunk)
+    w = Window.partitionBy("_at").orderBy(*order)
     local = s.withColumn("_local", F.row_number().over(w))
-    counts = s.groupBy(*key, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    w_prev = (Window.partitionBy(*key).orderBy(F.col("_chunk").asc_nulls_first())
-              .rowsBetween(Window.unboundedPreceding, -1))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w_prev), F.lit(0))).select(*key, "_chunk", "_before")
-    out = _join_null_safe(local, before, [*key, "_chunk"])
+    counts = s.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
+    w_prev = _over_chunks(key).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w_prev), F.lit(0))).select("_at", "_before")
+    out = local.join(before, "_at", "left")
     return (out.withColumn(name, (F.col("_local") + F.col("_before") + F.lit(start - 1)).cast("bigint"))
-            .drop("_local", "_before", "_chunk"))
+            .drop("_local", "_before", "_at"))
 
 
 def newest_first(df: DataFrame, key: str, ts_col: str, tie: str, name: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOKEN_RE = r"([\p{L}\p{N}_]+)"
+HEAD_WORDS = 1024  # most frequent words, whose vectors are broadcast
 
 
 def tokens(c) -> Column:
@@ -19,14 +20,29 @@ def tokens(c) -> Column:
     return F.regexp_extract_all(F.lower(c if isinstance(c, Column) else F.col(c)), F.lit(TOKEN_RE), 1)
 
 
-def mean_vectors(docs: DataFrame, id_col: str, text_col: str, vectors: DataFrame, dim: int) -> DataFrame:
-    """(id, vec) - mean of the known word vectors, zero vector if none."""
-    words = (docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("word"))
-             .groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("_n")))
-    known = words.join(vectors.select("word", "vec"), "word", "inner")
+def mean_vectors(docs: DataFrame, id_col: str, text_col: str, vectors: DataFrame, dim: int,
+                 head_words: int = HEAD_WORDS) -> DataFrame:
+    """(id, vec) - mean of the known word vectors, zero vector if none.
+
+    Frequent words would be hot keys of the join by word (J11).  The most
+    frequent ones, ``head_words`` whatever the corpus (0: none, for a few texts), are
+    broadcast with their vectors; only the others, each in less than one in
+    ``head_words`` of the rows, are shuffled by word."""
+    vectors = vectors.select("word", "vec")
+    counted = (docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("word"))
+               .groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("_n")))
+    if head_words:
+        # one row a (message, word) meets the join, so rows are what makes a word hot
+        top = counted.groupBy("word").agg(F.count(F.lit(1)).alias("_rows")).orderBy(F.desc("_rows"), "word").limit(head_words)
+        head = F.broadcast(F.broadcast(top.select("word")).join(vectors, "word", "left").withColumn("_head", F.lit(True)))
+        split = counted.join(head, "word", "left")
+        rest = split.where(F.col("_head").isNull()).select(id_col, "word", "_n").join(vectors, "word")
+        known = split.where(F.col("_head") & F.col("vec").isNotNull()).select(id_col, "vec", "_n").unionByName(rest.select(id_col, "vec", "_n"))
+    else:
+        known = counted.join(vectors, "word").select(id_col, "vec", "_n")
     # one row per (task, message): all dimensions are sums of one aggregation
-    sums = [F.sum(F.col("vec")[d].cast("double") * F.col("_n")) / F.sum("_n") for d in range(dim)]
-    vec = known.groupBy(id_col).agg(F.array(*sums).alias("vec"))
+    means = F.expr(f"array({', '.join(f'sum(cast(vec[{d}] as double) * _n) / sum(_n)' for d in range(dim))})")
+    vec = known.groupBy(id_col).agg(means.alias("vec"))
     zero = F.array_repeat(F.lit(0.0), dim)
     return (docs.select(id_col).join(vec, id_col, "left")
             .select(id_col, F.coalesce(F.col("vec"), zero).alias("vec")))
@@ -74,7 +90,7 @@ def analyse(messages: DataFrame, vectors: DataFrame, dim: int, job_text: str = J
     mv = mean_vectors(messages, id_col, text_col, vectors, dim)
     kw = vectors.sparkSession.createDataFrame(
         [("job_vec", job_text), ("market_vec", market_text), ("manager_vec", manager_text)], "rid string, text string")
-    ref_rows = mean_vectors(kw, "rid", "text", vectors, dim)
+    ref_rows = mean_vectors(kw, "rid", "text", vectors, dim, head_words=0)
     # three keyword vectors in one pass, folded into one struct: a scalar subquery, not a join
     names = ("job_vec", "market_vec", "manager_vec")
     refs = ref_rows.agg(F.struct(*[F.max(F.when(F.col("rid") == n, F.col("vec"))).alias(n) for n in names]).alias("refs"))

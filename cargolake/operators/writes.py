@@ -190,9 +190,10 @@ def delivery_patch(deliveries: DataFrame, patches: DataFrame, couriers: DataFram
     accepted_c = (patches.where(F.col("courier_id").isNull())
                   .unionByName(named.join(known, "courier_id", "left_semi")))
     rejected_c = named.join(known, "courier_id", "left_anti").withColumn("reason", F.lit("courier_not_found"))
-    accepted, missing = require_existing(deliveries, accepted_c, "delivery_id")
+    _, missing = require_existing(deliveries, accepted_c, "delivery_id")
     rejected = rejected_c.unionByName(missing.withColumn("reason", F.lit("delivery_not_found")))
-    effective = accepted.select(
+    # the snapshot needs no check of the delivery: its left join passes over requests for unknown ones
+    effective = accepted_c.select(
         "delivery_id", "patch_seq",
         F.when(F.col("actual_arrival").isNotNull(), F.lit("DELIVERED")).otherwise(F.col("status")).alias("status"),
         "actual_arrival", "estimated_arrival", "courier_id")

@@ -174,3 +174,36 @@ def test_seconds_between_ignores_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == (dt.datetime(1998, 7, 1) - dt.datetime(1996, 4, 6)).total_seconds()
+
+
+def test_mean_vectors_alike_with_and_without_a_head(spark):
+    rows = [(1, "the the cat"), (2, "the dog"), (3, "the nobody knows"), (4, ""), (5, None), (6, "nobody"), (6, "the cat")]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    vecs = spark.createDataFrame([("the", [1.0, 0.0]), ("cat", [0.0, 3.0]), ("dog", [2.0, 2.0])], "word string, vec array<double>")
+    got = []
+    for head_words in (0, 1, 2, 100):
+        out = text.mean_vectors(docs, "id", "text", vecs, 2, head_words)
+        got.append(sorted((r.id, [round(x, 9) for x in r.vec]) for r in out.collect()))
+    assert got[0] == got[1] == got[2] == got[3]
+    means = dict(got[0])
+    assert means[1] == [round(2 / 3, 9), 1.0] and means[3] == [1.0, 0.0] and means[4] == means[5] == [0.0, 0.0]
+
+
+def test_a_hot_word_is_broadcast_and_stays_out_of_the_join_by_word(spark):
+    docs = spark.createDataFrame([(i, f"the word{i}") for i in range(50)], "id long, text string")
+    vecs = spark.createDataFrame([("the", [1.0])], "word string, vec array<double>")
+    plan = text.mean_vectors(docs, "id", "text", vecs, 1, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [word" in plan and "isnull(_head" in plan
+
+
+def test_keyed_sequences_shuffle_the_rows_once(spark):
+    df = spark.createDataFrame([(None, None, 1), ("a", dt.datetime(2024, 1, 1, 5), 2)], "k string, ts timestamp_ntz, seq long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = keyed_position(df, ["k"], ["ts", "seq"], hour_chunk("ts"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # the window's exchange and order serve the join: nothing lies between them
+    lines = [line.strip() for line in plan.splitlines()]
+    at = next(i for i, line in enumerate(lines) if "SortMergeJoin [_at#" in line)
+    assert lines[at + 1].startswith(":- Window")
