@@ -1,7 +1,8 @@
 """Statistics kept up from a change feed instead of computed anew.
 
 A result row is a group's partial state: the number of rows, sums of whole numbers
-(counts, microseconds, gas) and, where an extreme is wanted, how often each value
+(counts, microseconds, gas; as decimals, since some ten thousand durations of thirty
+years pass the range of a long) and, where an extreme is wanted, how often each value
 occurs.  All of these can be taken back, so a changed row is its old version with
 weight -1 and its new one with weight 1; a group without rows goes.  Deltas are
 added up per group with map-side combine before they meet the stored state, and
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 
 from cargolake.streaming.store import Change, SnapshotStore
 
+TOTAL = "decimal(38,0)"
+
 
 def microseconds(later: str, earlier: str) -> Column:
     """Whole microseconds between two times: sums of them are exact in any order."""
@@ -35,7 +38,7 @@ class Statistic:
 
     def rows(self, df: DataFrame, weight: int) -> DataFrame:
         keys = [c.alias(k) for k, c in self.keys.items()]
-        sums = [(F.coalesce(c.cast("bigint"), F.lit(0)) * weight).alias(s) for s, c in self.sums.items()]
+        sums = [(F.coalesce(c.cast("bigint"), F.lit(0)) * weight).cast(TOTAL).alias(s) for s, c in self.sums.items()]
         value = (F.lit(None).cast("int") if self.extremes is None else self.extremes).alias("value")
         found = df.select(*keys, F.lit(weight).cast("bigint").alias("n"), *sums, value)
         return found.withColumn("group", F.to_json(F.struct(*self.keys), {"ignoreNullFields": "false"}))
@@ -72,7 +75,11 @@ def daily_chain_statistic() -> Statistic:
 
 
 def _mean(total: str, n: str, unit: float = 1.0) -> Column:
-    return F.round(F.col(total) / F.nullif(F.col(n), F.lit(0)) / unit, 6)
+    return F.round(F.col(total).cast("double") / F.nullif(F.col(n), F.lit(0)).cast("double") / unit, 6)
+
+
+def _whole(name: str) -> Column:
+    return F.col(name).cast("bigint").alias(name)
 
 
 @dataclass
@@ -109,7 +116,7 @@ class Maintained:
 def saga_statistics(state: Maintained) -> DataFrame:
     """A2 from its maintained state."""
     return state.table().select(
-        "saga_type", F.col("n").alias("total_sagas"), "completed", "failed", "cancelled", "in_progress",
+        "saga_type", F.col("n").alias("total_sagas"), *map(_whole, ("completed", "failed", "cancelled", "in_progress")),
         _mean("duration_us", "durations", 1e6).alias("avg_duration_seconds"), F.col("most").alias("max_retry_count"),
         _mean("retry_sum", "retries").alias("avg_retry_count"))
 
@@ -117,6 +124,6 @@ def saga_statistics(state: Maintained) -> DataFrame:
 def daily_blockchain_statistics(state: Maintained) -> DataFrame:
     """A5 from its maintained state."""
     return state.table().select(
-        "transaction_date", "network", F.col("n").alias("total_transactions"), "confirmed", "failed",
-        F.when(F.col("gas_rows") > 0, F.col("gas")).alias("total_gas_used"),
+        "transaction_date", "network", F.col("n").alias("total_transactions"), _whole("confirmed"), _whole("failed"),
+        F.when(F.col("gas_rows") > 0, F.col("gas").cast("bigint")).alias("total_gas_used"),
         _mean("duration_us", "durations", 1e6).alias("avg_confirmation_time_seconds"))

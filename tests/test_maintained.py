@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from cargolake.operators import stats
 from cargolake.streaming import maintained
 from cargolake.streaming.maintained import Maintained
@@ -49,3 +51,15 @@ def test_extremes_are_taken_back_and_other_groups_stay(spark, tmp_path):
     assert sum(v == 1 for v in state.store.places("sums").values()) == 1  # only the bucket of group a
     state.apply(1, frame(rows[1:]), frame([]))
     assert maintained.saga_statistics(state).count() == 0
+
+
+def test_sums_of_long_durations_pass_a_long(spark, tmp_path):
+    """Sagas that ended thirty years before their noted start, as a change set may have it."""
+    rows = spark.range(20_000).select(F.col("id").cast("int").alias("saga_id"), F.lit("a").alias("saga_type"), F.lit("FAILED").alias("status"),
+                                      F.expr("timestamp_ntz '2024-01-01'").alias("started_at"), F.expr("timestamp_ntz '1994-01-01'").alias("completed_at"),
+                                      F.lit(1).alias("retry_count"))
+    state = Maintained.start(spark, str(tmp_path / "s"), rows, maintained.saga_statistic(), 2)
+    state.apply(0, rows.where("saga_id < 10"), rows.where("saga_id < 10"))
+    out = maintained.saga_statistics(state)
+    assert [(r.total_sagas, r.failed, r.avg_duration_seconds) for r in out.collect()] == [(20_000, 20_000, -946684800.0)]
+    assert dict(out.dtypes)["failed"] == "bigint"
