@@ -298,6 +298,29 @@ def test_state_of_finished_sagas_is_bounded(spark, tmp_path):
     assert max(held) <= 60 and spark.read.parquet(sink).where("status = 'COMPLETED'").count() == 120
 
 
+def saga_turn(spark, tmp_path, name, batches, groups):
+    """(all that is told, state rows held at most) of a log, one micro-batch for each list of events."""
+    schema = "event_id string, event_type string, aggregate_id string, correlation_id string, payload string, ts timestamp"
+    log, ckpt, sink = (str(tmp_path / f"{name}-{n}") for n in ("log", "ckpt", "sink"))
+    held = [0]
+    for batch in batches:
+        add(spark, log, batch, schema)
+        stream = saga_state_machine(feeds.replay_files(spark, log, schema), "1 minute", 600, groups=groups)
+        q = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+        q.awaitTermination()
+        held += [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    return rows(spark.read.parquet(sink)), max(held)
+
+
+def test_many_sagas_share_a_call(spark, tmp_path):
+    """Python is called once a group, not once a saga."""
+    batch = [(f"{kind}{i}", name, "9", f"s{i}", "{}", at(m)) for i in range(300)
+             for kind, name, m in (("a", "shipment.created", 0), ("b", "delivery.completed" if i % 3 else "delivery.failed", 1))]
+    told, held = saga_turn(spark, tmp_path, "many", [batch], 4)
+    assert held <= 4
+    assert sum(r[2] == "COMPLETED" for r in told) == 200 and sum(r[2] == "FAILED" for r in told) == 100
+
+
 def test_sagas_of_the_snapshot_are_known(spark, tmp_path):
     sagas = spark.createDataFrame([(1, 5, 6, 7, "started", at(0), at(0)), (2, 5, None, None, "Completed", at(0), at(0))],
                                   "saga_id long, shipment_id long, warehouse_id long, delivery_id long, status string, started_at timestamp, updated_at timestamp")
