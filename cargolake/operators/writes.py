@@ -10,8 +10,8 @@ Scale notes
   partial aggregation, so a key holding a third of all changes costs one
   partial row per map task, not a skewed shuffle partition).
 * The snapshot-to-changes join is a key-equi join; with a target bucketed
-  on its key only the (small) change side shuffles; AQE broadcasts the
-  change side when its measured size allows.
+  on its key only the (small) change side shuffles; upserts hash the
+  change side and never sort the stored rows.
 """
 
 from __future__ import annotations
@@ -56,10 +56,12 @@ def upsert(target: DataFrame, changes: DataFrame, key: list[str] | str, update_c
         F.max_by(F.struct(*present), _ordering(order_by)).alias("_c"),
         *([F.min_by(F.struct(*kept), _ordering(order_by)).alias("_k")] if kept else []))
     last = folded.select(*key, *[F.col(f"_c.{c}") for c in present], *[F.col(f"_k.{c}") for c in kept], F.lit(True).alias("_hit"))
-    # stored rows meet the changes in a left join, which may broadcast a small
-    # change set; new keys are added apart, so the target is never outer-joined
-    joined = target.alias("t").join(last.alias("c"), key, "left")
-    fresh = last.join(target.select(*key), key, "left_anti")
+    # stored rows, and their keys, meet the changes in joins that hash the changes,
+    # one narrow row a key: to sort the stored ones takes memory by their number;
+    # new keys are added apart, so the target is never outer-joined
+    joined = target.alias("t").join(last.hint("shuffle_hash").alias("c"), key, "left")
+    found = target.select(*key).join(last.select(*key).hint("shuffle_hash"), key, "left_semi")
+    fresh = last.join(found, key, "left_anti")
     now = ts_lit(as_of) if as_of else None
     stored, added = [], []
     for name in target.columns:

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -207,3 +208,22 @@ def test_keyed_sequences_shuffle_the_rows_once(spark):
     lines = [line.strip() for line in plan.splitlines()]
     at = next(i for i, line in enumerate(lines) if "SortMergeJoin [_at#" in line)
     assert lines[at + 1].startswith(":- Window")
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_upsert_never_sorts_the_stored_rows(spark):
+    from cargolake.operators.writes import upsert
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stored = spark.range(100).select(F.col("id").alias("k"), F.lit("wide text").alias("text"), F.lit("a").alias("status"))
+        changes = spark.range(50, 150).select(F.col("id").alias("k"), F.lit("b").alias("status"), F.col("id").alias("n"))
+        out = upsert(stored, changes, "k", ["status"], ["n"])
+        joins = [line for line in _plan(out).splitlines() if "Join [" in line]
+        assert [kind for line in joins for kind in ("LeftOuter", "LeftSemi") if kind in line and "ShuffledHashJoin" in line] == ["LeftOuter", "LeftSemi"]
+        assert {(r.k, r.text, r.status) for r in out.collect()} == {
+            (k, "wide text" if k < 100 else None, "a" if k < 50 else "b") for k in range(150)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
