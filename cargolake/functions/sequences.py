@@ -78,6 +78,16 @@ def keyed_lag(df: DataFrame, key: list[str], order: list[str], cols: list[str],
     return out.drop("_first", "_carry", "_at", *[f"_lag_{c}" for c in cols])
 
 
+def crowded(df: DataFrame, key: list[str], rows: int = 1 << 16) -> DataFrame:
+    """``df`` with ``_crowded``: true for all keys of more than ``rows`` rows (and
+    for few others, whose hash meets theirs), false elsewhere.  Only hashes are
+    counted and shuffled; there are at most total / ``rows`` crowded ones."""
+    mark = F.xxhash64(*key)
+    many = df.select(mark.alias("_mark")).groupBy("_mark").count().where(F.col("count") > rows).select("_mark", F.lit(True).alias("_many"))
+    return (df.withColumn("_mark", mark).join(F.broadcast(many), "_mark", "left")
+            .withColumn("_crowded", F.col("_many").isNotNull()).drop("_mark", "_many"))
+
+
 def keyed_position(df: DataFrame, key: list[str], order: list[str], chunk: Column, name: str = "position",
                    start: int = 1) -> DataFrame:
     """Add a gap-free position of each row within its key, starting at

@@ -7,12 +7,12 @@ row trigger sees) or from a change log with a skew-safe per-key lag.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cargolake import schemas
 from cargolake.functions.common import is_distinct, ts_lit
-from cargolake.functions.sequences import hour_chunk, keyed_lag, keyed_last, newest_first, seq_chunk
+from cargolake.functions.sequences import crowded, hour_chunk, keyed_lag, keyed_last, newest_first, seq_chunk
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -227,10 +227,17 @@ def inventory_guard(records: DataFrame, requests: DataFrame) -> DataFrame:
     """H7: status requests in order; SHIPPED is terminal (SHIPPED -> SHIPPED is
     allowed), so every request before the first SHIPPED applies and only that
     status follows it.  Unknown records are refused."""
-    r = keyed_lag(requests.withColumn("_asked", F.upper(F.trim("new_status"))), ["record_id"], ["request_seq"],
-                  ["_asked"], seq_chunk("request_seq"))
-    shipped = requests.groupBy("record_id").agg(_first(F.upper(F.trim("new_status")) == "SHIPPED", "request_seq").alias("_shipped"))
-    r = r.join(shipped, "record_id", "left").join(records.select("record_id", F.upper(F.trim("status")).alias("_start")), "record_id", "left")
+    start = records.select("record_id", F.upper(F.trim("status")).alias("_start"))
+    asked = crowded(requests.withColumn("_asked", F.upper(F.trim("new_status"))), ["record_id"])
+    shipped = _first(F.col("_asked") == "SHIPPED", "request_seq")
+    # most records have few requests: one shuffle of them serves both windows and the join
+    by_record = Window.partitionBy("record_id")
+    few = (asked.where(~F.col("_crowded"))
+           .withColumn("prev__asked", F.lag("_asked").over(by_record.orderBy("request_seq")))
+           .withColumn("_shipped", shipped.over(by_record)))
+    many = keyed_lag(asked.where("_crowded"), ["record_id"], ["request_seq"], ["_asked"], seq_chunk("request_seq"))
+    many = many.join(F.broadcast(asked.where("_crowded").groupBy("record_id").agg(shipped.alias("_shipped"))), "record_id", "left")
+    r = few.unionByName(many).join(start, "record_id", "left")
     current = (F.when(F.col("_start").isNull(), F.lit(None)).when(F.col("_start") == "SHIPPED", F.lit("SHIPPED"))
                .when(_passed("_shipped", "request_seq"), F.lit("SHIPPED"))
                .otherwise(F.coalesce("prev__asked", "_start")))

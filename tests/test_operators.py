@@ -227,3 +227,38 @@ def test_upsert_never_sorts_the_stored_rows(spark):
             (k, "wide text" if k < 100 else None, "a" if k < 50 else "b") for k in range(150)}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("limit", [1, 3, 1 << 16])
+def test_inventory_guard_of_crowded_records(spark, monkeypatch, limit):
+    """Records of many requests go another way, to the same result."""
+    from cargolake.functions import sequences
+    from cargolake.operators import history
+    monkeypatch.setattr(sequences.crowded, "__defaults__", (limit,))
+    kept = spark.createDataFrame([("a", "stored"), ("b", "shipped"), (None, "stored")], "record_id string, status string")
+    verbs = ["received", None, "stored", "shipped ", "stored", "shipped"]
+    asked = [(i * 40_000, r, verbs[i % 6]) for i in range(6) for r in ("a", "b", "c", None)][:-3]
+    out = history.inventory_guard(kept, spark.createDataFrame(asked, "request_seq long, record_id string, new_status string"))
+    got = {(r.record_id, r.request_seq): (r.current_status, r.reason) for r in out.collect()}
+    want = {}
+    for seq, record, _ in asked:
+        before = [v.strip().upper() if v else None for s, r, v in asked if r == record and s < seq]
+        asks = next(v for s, r, v in asked if (s, r) == (seq, record))
+        now = {"a": "STORED", "b": "SHIPPED"}.get(record)
+        if now == "STORED":
+            now = "SHIPPED" if "SHIPPED" in before else (before[-1] or "STORED") if before else now
+        refused = now == "SHIPPED" and asks is not None and asks.strip().upper() != "SHIPPED"
+        want[record, seq] = (now, "record_not_found" if now is None else "already_shipped" if refused else None)
+    assert got == want
+
+
+def test_inventory_guard_shuffles_the_requests_once(spark):
+    from cargolake.operators import history
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = spark.range(9).select(F.col("id").cast("string").alias("record_id"), F.lit("stored").alias("status"))
+        asked = kept.select(F.lit(1).alias("request_seq"), "record_id", F.lit("shipped").alias("new_status"))
+        text = _plan(history.inventory_guard(kept, asked))
+        assert text.count("Exchange hashpartitioning(record_id") <= 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
