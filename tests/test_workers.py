@@ -321,6 +321,16 @@ def test_many_sagas_share_a_call(spark, tmp_path):
     assert sum(r[2] == "COMPLETED" for r in told) == 200 and sum(r[2] == "FAILED" for r in told) == 100
 
 
+def test_groups_do_not_change_what_is_told(spark, tmp_path):
+    """Sagas that share a group keep their own states and times."""
+    event = lambda k, name, m: (f"{k}{m}", name, "9", k, "{}", at(m))
+    batches = [[event("a", "shipment.created", 0), event("a", "delivery.completed", 1), event("b", "shipment.created", 0)],
+               [event("c", "shipment.created", 500)], [event("d", "shipment.created", 501)],
+               [event("b", "delivery.failed", 502), event("a", "delivery.failed", 502), event("e", "delivery.failed", 502)]]
+    alone, together = (saga_turn(spark, tmp_path, f"g{n}", batches, n)[0] for n in (1 << 13, 1))
+    assert alone == together and {(r[0], r[1]) for r in together} >= {("b", "step_timeout"), ("a", "outcome"), ("b", "command"), ("e", "outcome")}
+
+
 def test_sagas_of_the_snapshot_are_known(spark, tmp_path):
     sagas = spark.createDataFrame([(1, 5, 6, 7, "started", at(0), at(0)), (2, 5, None, None, "Completed", at(0), at(0))],
                                   "saga_id long, shipment_id long, warehouse_id long, delivery_id long, status string, started_at timestamp, updated_at timestamp")
