@@ -87,6 +87,17 @@ def test_files_without_a_ledger_entry_are_not_seen(spark, store):
     assert [r.v for r in again.read("t").where("k = 1").collect()] == ["whole"]
 
 
+def test_a_commit_writes_rows_from_where_they_are(spark, store):
+    """No shuffle before the files: each task writes its own of a bucket."""
+    every = store.read("t").select("k")
+    store.commit(0, {"t": Change(every, lambda old: old.withColumn("v", F.lit("new")).repartition(3, "v", "k"))})
+    counts = {}
+    for p in store.read("t").inputFiles():
+        counts[os.path.dirname(p)] = counts.get(os.path.dirname(p), 0) + 1
+    assert max(counts.values()) == 3 and len(counts) == 8
+    assert store.read("t").where("v = 'new'").count() == 101
+
+
 def test_emptied_buckets_and_stray_rows(spark, store):
     every = Change(store.read("t").select("k"), lambda old: old.limit(0))
     store.commit(0, {"t": every})
