@@ -110,6 +110,47 @@ def test_emptied_buckets_and_stray_rows(spark, store):
         store.read("nothing")
 
 
+def test_rows_go_without_a_bucket_written_again(spark, store, monkeypatch):
+    """What goes is noted beside the files, until a bucket has too many such parts; a null key goes like any other."""
+    monkeypatch.setattr("cargolake.streaming.store.LAYERS", 3)
+    base = files(f"{store.path}/t/store_version=0")
+    want = {i: f"v{i}" for i in range(100)} | {None: "null key"}
+    for batch, gone in enumerate([[1, 2, None, 500], [1, 3], [1, 4], [1, 5]]):
+        more = spark.createDataFrame([(1, f"again {batch}"), (200 + batch, "new")], "k int, v string")
+        keys = spark.createDataFrame([(k,) for k in gone], "gone long")
+        assert store.commit(batch, {"t": Change(more=more, gone=keys)})
+        want = {k: v for k, v in want.items() if k not in gone} | {1: f"again {batch}", 200 + batch: "new"}
+        store = SnapshotStore(spark, store.path)  # as after a restart
+        assert rows(store.read("t")) == sorted(want.items(), key=repr)
+        assert files(f"{store.path}/t/store_version=0") == base
+        assert any("store_version=0" in p for p in store.read("t", keys.limit(0).union(keys.where("gone = 1"))).inputFiles()) == (batch < 2)
+    assert store.read("t", version=0).count() == 101 and store.read("t", version=1).where("k = 1").first().v == "again 0"
+    store.commit(9, {"t": set_to(spark, [1], "whole")})  # a change that rewrites its buckets drops what they had noted
+    assert rows(store.read("t")) == sorted((want | {1: "whole"}).items(), key=repr)
+
+
+def test_commands_leave_the_stored_files(spark, tmp_path):
+    """A batch writes what its commands change, not the buckets that they touch."""
+    frame = lambda schema, row: spark.createDataFrame([row(i) for i in range(300)], schema)
+    worker = workers.CommandWorker.start(
+        spark, str(tmp_path / "s"), frame("record_id string, shipment_id long, status string", lambda i: (f"r{i}", i % 100, "SHIPPED" if i == 4 else "stored")),
+        frame("delivery_id long, shipment_id long", lambda i: (i, i)), frame("shipment_id long, status string", lambda i: (i, "a")),
+        frame("item_id string, shipment_id long", lambda i: (f"i{i}", i % 100)), str(tmp_path / "out"), 2)
+    names = ("inventory", "deliveries", "shipments", "items")
+    base = {n: set(worker.store.read(n).inputFiles()) for n in names}
+    schema = "command_id string, command_type string, aggregate_id long, payload string"
+    commands = [(f"{kind}{i}", kind, i, f'{{"shipment_id":"{i}"}}') for kind in ("inventory.release", "courier.unassign", "shipment.cancel") for i in (4, 5)]
+    for number in (0, 1):
+        worker.handle(spark.createDataFrame(commands, schema), number)
+    for n in names:
+        assert base[n] <= set(worker.store.read(n).inputFiles()), n
+    assert {r.record_id for r in worker.store.read("inventory").where("status = 'received'").collect()} == {"r104", "r204", "r5", "r105", "r205"}
+    assert worker.store.read("inventory").count() == 300
+    assert [worker.store.read(n).count() for n in names[1:]] == [298, 298, 294]
+    found = spark.read.parquet(f"{worker.out}/cancelled").select("batch", "result").distinct()
+    assert rows(found) == [(0, "deleted"), (1, "shipment_not_found")]
+
+
 # ---- S3
 
 def test_split_stream_restarts_from_its_checkpoint(spark, tmp_path):
